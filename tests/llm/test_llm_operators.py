@@ -397,7 +397,7 @@ def test_pii_base_spans(spark, documents):
 
 def test_pii_added_and_redaction(spark, documents):
     secrets = [(d.doc_id, d.text) for d in documents if d.text and re.search(r'(token|key|secret) = "[0-9a-f]{32,}"', d.text)]
-    rows = secrets + [(i + 10_000, t) for i, t in enumerate(PII_TEXTS[:10])] + [(20_000 + i, f'note {i}: token = "{i:020x}abcdef1234" ends') for i in range(30)]
+    rows = secrets + [(i + 10_000, t) for i, t in enumerate(PII_TEXTS[:10])] + [(20_000 + i, f'note {i}: token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ends') for i in range(30)]
     docs = docs_of(spark, rows).withColumn("pii_spans", F.lit("clash"))
     found = {r.doc_id: [s for s in r.spans if s.kind == "secret"] for r in pii.find_pii(docs).collect()}
     assert all(found[k] for k, _ in secrets) and all(found[20_000 + i] for i in range(30))

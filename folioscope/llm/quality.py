@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import LOWER, NON_SPACE, STARTS_CHAR, WORD_CHARS, Block, blocks, byte_class, byte_ngrams, mix, ngram_rows, prefix_hash, row_sums, span_hash, word_spans
+from folioscope.llm.shared import LOWER, NON_SPACE, STARTS_CHAR, WORD_CHARS, Block, blocks, byte_class, byte_ngrams, cut, mix, ngram_rows, prefix_hash, row_sums, span_hash, word_spans
 
-MAX_LABELLED = 4096
+#: Labelled rows that are learned from; the low-quality head, whose features are many, takes about MAX_FULL of them.
+MAX_LABELLED, MAX_FULL = 4096, 1400
 #: A document goes if its calibrated probability of low quality, or of toxicity, reaches these.
 LOW_QUALITY_LIMIT, TOXIC_LIMIT = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -129,28 +130,34 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
     """Sparse counts of the labelled sample: bounded in rows, and per row by the feature space."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna()
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    own = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
+    share = min(1.0, MAX_FULL / max(1, own.count()))
+    own = own.withColumn("full", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * share))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
-    texts = texts.dropDuplicates(["doc_id"]).select("doc_id", "quality", "toxic", "text")
+    texts = texts.dropDuplicates(["doc_id"]).select("doc_id", "quality", "toxic", "full", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, count = [], []
-            for block in blocks(batch.column(3)):
+            index, count, full = [], [], batch.column(3).to_pylist()
+            for block in blocks(batch.column(4)):
                 groups = hashed_features(block)
                 for i in range(block.rows):
-                    f, c = np.unique(np.concatenate([g[first[i] : first[i + 1]] for g, first in groups]), return_counts=True)
+                    own_groups = groups if full[block.first + i] else groups[:1]
+                    f, c = np.unique(np.concatenate([g[first[i] : first[i + 1]] for g, first in own_groups]), return_counts=True)
                     index.append(f.astype(np.int32).tobytes())
                     count.append(c.astype(np.int32).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(index, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "quality", "toxic", "f", "c"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(index, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "quality", "toxic", "full", "f", "c"])
 
-    return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, f binary, c binary").collect(), key=lambda r: r.doc_id)
+    return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, c binary").collect(), key=lambda r: r.doc_id)
 
 
 def _fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, l2: float, rounds: int = 80, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Adam steps on the logistic loss with an L2 penalty, classes weighted equally."""
     n = len(y)
-    used, index = np.unique(index, return_inverse=True)
+    used = np.flatnonzero(np.bincount(index, minlength=DIM))
+    place = np.zeros(DIM, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[index]
     w, b = np.zeros(len(used)), 0.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
@@ -186,37 +193,45 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """The two calibrated heads; a fifth of the sample, by a hash of the id, is held out for calibration."""
     rows = _sample(docs, labels, max_labelled)
     heads = {"low": Head(), "toxic": Head(by_frequency=False)}
-    if not rows:
-        return heads
-    size = np.array([len(r.f) // 4 for r in rows])
-    index = np.concatenate([np.frombuffer(r.f, np.int32) for r in rows]).astype(np.int64)
-    count = np.concatenate([np.frombuffer(r.c, np.int32) for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), size)
-    group = np.digitize(index, [UNI, UNI + BI])
-    seen = np.bincount(index, minlength=DIM) >= 3
-    total = np.ones((3, len(rows)))
-    for g in range(3):
-        total[g] = np.maximum(np.bincount(row[group == g], count[group == g], len(rows)), 1)
-    held = mix(np.array([r.doc_id for r in rows]).astype(np.uint64)) % np.uint64(5) == 4
-    where = np.cumsum(~held) - 1
-    for name, y in (("low", np.array([r.quality == 0 for r in rows], float)), ("toxic", np.array([r.toxic == 1 for r in rows], float))):
-        head = heads[name]
-        if min(y[~held].sum(), (1 - y[~held]).sum()) < 2:
-            continue
-        if head.by_frequency:
-            use, value = seen[index], FEATURE_SCALE * count / total[group, row]
-        else:
-            use, value = (group == 0) & _telling(index, row, y, ~held)[index], np.ones(len(index))
-        fit = use & ~held[row]
-        if not fit.any():
-            continue
-        head.weights, head.bias = _fit(index[fit], value[fit], where[row[fit]], y[~held], 1e-4)
-        z = np.bincount(row[use], value[use] * head.weights[index[use]], len(rows)) + head.bias
-        enough = min(y[held].sum(), (1 - y[held]).sum()) >= 2
-        head.slope, head.shift = _platt(z[held] if enough else z, y[held] if enough else y)
+    for name, head in heads.items():
+        own = [r for r in rows if r.full] if head.by_frequency else rows
+        if own:
+            _train_head(head, own, np.array([r.quality == 0 if name == "low" else r.toxic == 1 for r in own], float))
     return heads
 
 
+def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
+    """Fits and calibrates one head in place; leaves it as it is if a class is missing."""
+    held = mix(np.array([r.doc_id for r in rows]).astype(np.uint64)) % np.uint64(5) == 4
+    if min(y[~held].sum(), (1 - y[~held]).sum()) < 2:
+        return
+    size = np.array([len(r.f) // 4 for r in rows])
+    index = np.frombuffer(b"".join(r.f for r in rows), np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    if head.by_frequency:
+        count = np.frombuffer(b"".join(r.c for r in rows), np.int32)
+        group = np.digitize(index, [UNI, UNI + BI]).astype(np.int8)
+        value = np.zeros(len(index), np.float32)
+        for g in range(3):
+            at = group == g
+            total = np.maximum(np.bincount(row[at], count[at], len(rows)), 1)
+            value[at] = FEATURE_SCALE * count[at] / total[row[at]]
+        use = (np.bincount(index, minlength=DIM) >= 3)[index]
+    else:
+        words = index < UNI
+        use = words & _telling(index[words], row[words], y, ~held)[index]
+        value = np.ones(len(index), np.float32)
+    index, row, value = index[use], row[use], value[use]
+    fit = ~held[row]
+    if not fit.any():
+        return
+    where = (np.cumsum(~held) - 1).astype(np.int32)
+    head.weights, head.bias = _fit(index[fit], value[fit], where[row[fit]], y[~held], 1e-4)
+    z = np.bincount(row, value * head.weights[index], len(rows)) + head.bias
+    enough = min(y[held].sum(), (1 - y[held]).sum()) >= 2
+    head.slope, head.shift = _platt(z[held] if enough else z, y[held] if enough else y)
+
+
 def _telling(index: np.ndarray, row: np.ndarray, y: np.ndarray, fit: np.ndarray, least: int = 4, deviations: float = 6.0) -> np.ndarray:
     """Features in at least ``least`` positive rows, and in so many deviations more than chance has it."""
     own = fit[row]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.shared import LOWER, NON_SPACE, STARTS_CHAR, WORD_CHARS, Block, blocks, byte_class, byte_ngrams, cut, mix, ngram_rows, prefix_hash, row_sums, span_hash, word_spans
 
 #: Labelled rows that are learned from; the low-quality head, whose features are many, takes about MAX_FULL of them.
-MAX_LABELLED, MAX_FULL = 4096, 1400
+MAX_LABELLED, MAX_FULL = 4096, 2400
 #: A document goes if its calibrated probability of low quality, or of toxicity, reaches these.
 LOW_QUALITY_LIMIT, TOXIC_LIMIT = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -151,7 +151,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
     return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, c binary").collect(), key=lambda r: r.doc_id)
 
 
-def _fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, l2: float, rounds: int = 80, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, l2: float, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Adam steps on the logistic loss with an L2 penalty, classes weighted equally."""
     n = len(y)
     used = np.flatnonzero(np.bincount(index, minlength=DIM))

@@ -138,40 +138,47 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, count, full = [], [], batch.column(3).to_pylist()
+            index, value, full = [], [], batch.column(3).to_pylist()
             for block in blocks(batch.column(4)):
                 groups = hashed_features(block)
                 for i in range(block.rows):
                     own_groups = groups if full[block.first + i] else groups[:1]
                     f, c = np.unique(np.concatenate([g[first[i] : first[i + 1]] for g, first in own_groups]), return_counts=True)
+                    group = np.digitize(f, [UNI, UNI + BI])
+                    total = np.maximum(np.bincount(group, c, 3), 1)
                     index.append(f.astype(np.int32).tobytes())
-                    count.append(c.astype(np.int32).tobytes())
-            yield pa.record_batch([*batch.columns[:4], pa.array(index, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "quality", "toxic", "full", "f", "c"])
+                    value.append((FEATURE_SCALE * c / total[group]).astype(np.float32).tobytes() if full[block.first + i] else b"")
+            yield pa.record_batch([*batch.columns[:4], pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "quality", "toxic", "full", "f", "v"])
 
-    return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, c binary").collect(), key=lambda r: r.doc_id)
+    return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, v binary").collect(), key=lambda r: r.doc_id)
 
 
-def _fit(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, l2: float, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Adam steps on the logistic loss with an L2 penalty, classes weighted equally."""
+def _fit(parts: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, l2: float = 1e-4, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Adam steps on the logistic loss with an L2 penalty, classes weighted equally; rows are taken a few at a time."""
     n = len(y)
-    used = np.flatnonzero(np.bincount(index, minlength=DIM))
-    place = np.zeros(DIM, np.int32)
-    place[used] = np.arange(len(used))
-    index = place[index]
-    w, b = np.zeros(len(used)), 0.0
-    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    size = np.array([len(f) for f in parts])
+    cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 1 << 18), "left").tolist() + [n]
+    index, value = np.concatenate(parts), np.concatenate(values)
+    start = np.r_[0, np.cumsum(size)]
+    chunks = []
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            at = slice(start[a], start[b])
+            chunks.append((slice(a, b), index[at], value[at], np.repeat(np.arange(b - a, dtype=np.int32), size[a:b])))
+    w, bias = np.zeros(DIM), 0.0
+    m, v = np.zeros(DIM + 1), np.zeros(DIM + 1)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[index], n) + b
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        full = np.append(np.bincount(index, value * g[row], len(used)) + l2 * w, g.sum())
+        full = np.append(l2 * w, 0.0)
+        for rows, f, x, row in chunks:
+            z = np.bincount(row, x * w[f], rows.stop - rows.start) + bias
+            g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows])
+            full[:-1] += np.bincount(f, x * g[row], DIM)
+            full[-1] += g.sum()
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full * full
-        step = rate * (1 - (t - 1) / rounds)
-        move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        w, b = w - move[:-1], b - move[-1]
-    out = np.zeros(DIM, np.float32)
-    out[used] = w
-    return out, b
+        move = rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        w, bias = w - move[:-1], bias - float(move[-1])
+    return w.astype(np.float32), bias
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -205,39 +212,34 @@ def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
     held = mix(np.array([r.doc_id for r in rows]).astype(np.uint64)) % np.uint64(5) == 4
     if min(y[~held].sum(), (1 - y[~held]).sum()) < 2:
         return
-    size = np.array([len(r.f) // 4 for r in rows])
-    index = np.frombuffer(b"".join(r.f for r in rows), np.int32)
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    parts = [np.frombuffer(r.f, np.int32) for r in rows]
     if head.by_frequency:
-        count = np.frombuffer(b"".join(r.c for r in rows), np.int32)
-        group = np.digitize(index, [UNI, UNI + BI]).astype(np.int8)
-        value = np.zeros(len(index), np.float32)
-        for g in range(3):
-            at = group == g
-            total = np.maximum(np.bincount(row[at], count[at], len(rows)), 1)
-            value[at] = FEATURE_SCALE * count[at] / total[row[at]]
-        use = (np.bincount(index, minlength=DIM) >= 3)[index]
+        seen = np.zeros(DIM, np.int32)
+        for f in parts:
+            seen[f] += 1
+        useful = seen >= 3
     else:
-        words = index < UNI
-        use = words & _telling(index[words], row[words], y, ~held)[index]
-        value = np.ones(len(index), np.float32)
-    index, row, value = index[use], row[use], value[use]
-    fit = ~held[row]
-    if not fit.any():
+        parts = [f[f < UNI] for f in parts]
+        useful = _telling(parts, y, ~held)
+    values = [np.frombuffer(r.v, np.float32)[useful[f]] if head.by_frequency else np.ones(int(useful[f].sum()), np.float32) for r, f in zip(rows, parts)]
+    parts = [f[useful[f]] for f in parts]
+    if not useful.any():
         return
-    where = (np.cumsum(~held) - 1).astype(np.int32)
-    head.weights, head.bias = _fit(index[fit], value[fit], where[row[fit]], y[~held], 1e-4)
-    z = np.bincount(row, value * head.weights[index], len(rows)) + head.bias
+    fit = np.flatnonzero(~held)
+    head.weights, head.bias = _fit([parts[i] for i in fit], [values[i] for i in fit], y[fit])
+    z = np.array([float(v @ head.weights[f]) for f, v in zip(parts, values)]) + head.bias
     enough = min(y[held].sum(), (1 - y[held]).sum()) >= 2
     head.slope, head.shift = _platt(z[held] if enough else z, y[held] if enough else y)
 
 
-def _telling(index: np.ndarray, row: np.ndarray, y: np.ndarray, fit: np.ndarray, least: int = 4, deviations: float = 6.0) -> np.ndarray:
+def _telling(parts: list[np.ndarray], y: np.ndarray, fit: np.ndarray, least: int = 4, deviations: float = 6.0) -> np.ndarray:
     """Features in at least ``least`` positive rows, and in so many deviations more than chance has it."""
-    own = fit[row]
     share = y[fit].mean()
-    up = np.bincount(index[own], y[row[own]], DIM)
-    expected = share * np.bincount(index[own], minlength=DIM)
+    up, every = np.zeros(DIM), np.zeros(DIM)
+    for i in np.flatnonzero(fit):
+        every[parts[i]] += 1
+        up[parts[i]] += y[i]
+    expected = share * every
     return (up >= least) & (up - expected >= deviations * np.sqrt(np.maximum(expected * (1 - share), 1e-9)))
 
 

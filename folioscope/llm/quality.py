@@ -2,8 +2,10 @@
 
 Features are hashed word 1- and 2-grams (lower-cased words of letters and digits) and
 byte 3- and 4-grams of the raw text.  Two heads are trained on the labelled rows: *low
-quality* on n-gram frequencies, and *toxic* on the presence of words that a screening
-test finds over-represented in toxic rows, so that one rude word counts in a long text.  Each head is calibrated (Platt) on rows it was not
+quality* on n-gram frequencies, and *toxic* on the presence of words, and of the first
+4 and 5 bytes of words (compounds and inflections of a rude word share them), that a
+screening test finds over-represented in toxic rows, so that one rude word counts in a
+long text.  Each head is calibrated (Platt) on rows it was not
 fitted on, and a document is kept if it passes the base rules and both calibrated
 probabilities stay under fixed thresholds.
 
@@ -35,8 +37,11 @@ MAX_LABELLED, MAX_FULL = 4096, 2400
 LOW_QUALITY_LIMIT, TOXIC_LIMIT = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-UNI, BI, CHAR = 1 << 17, 1 << 16, 1 << 16
-DIM = UNI + BI + CHAR
+UNI, BI, CHAR, START = 1 << 17, 1 << 16, 1 << 16, 1 << 17
+#: Places of the features: words, pairs, byte n-grams, and from FIRST_START the starts of words.
+FIRST_START = UNI + BI + CHAR
+DIM = FIRST_START + START
+START_BYTES = (4, 5)
 SYMBOLS = byte_class(b"#*$%&|<>")
 FEATURE_SCALE = 100.0
 
@@ -80,10 +85,11 @@ def base_counts(block: Block, texts: list[bytes] | None = None) -> dict[str, np.
 
 
 def hashed_features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Groups of (feature, first position of each row, one more at the end): words, pairs, byte n-grams."""
+    """Groups of (feature, first position of each row, one more at the end): words, pairs, byte n-grams, starts of words."""
     data = LOWER[block.data]
     starts, ends, first = word_spans(block, data, WORD_CHARS)
-    hashes = span_hash(prefix_hash(data), starts, ends)
+    sums = prefix_hash(data)
+    hashes = span_hash(sums, starts, ends)
     uni = (hashes >> np.uint64(64 - 17)).astype(np.int64)
     row = np.repeat(np.arange(block.rows), np.diff(first))
     keep = np.flatnonzero(row[1:] == row[:-1]) if len(row) > 1 else np.zeros(0, np.int64)
@@ -97,6 +103,11 @@ def hashed_features(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
         np.add.at(inside, np.minimum(hi, len(grams)), -1)
         keep = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
         out.append((grams[keep], np.searchsorted(keep, block.offsets)))
+    lengths = np.array(START_BYTES)
+    whole = np.flatnonzero((ends - starts)[:, None] >= lengths)
+    word, n = whole // len(lengths), lengths[whole % len(lengths)]
+    heads = span_hash(sums, starts[word], starts[word] + n)
+    out.append(((heads >> np.uint64(64 - 17)).astype(np.int64) + FIRST_START, np.searchsorted(word, first)))
     return out
 
 
@@ -116,10 +127,10 @@ class Head:
             for features, first in groups:
                 out += row_sums(self.weights[features].astype(np.float64), first) * FEATURE_SCALE / np.maximum(np.diff(first), 1)
             return out
-        features, first = groups[0]
-        at = np.flatnonzero(self.weights[features])
-        present = np.unique((np.searchsorted(first, at, "right") - 1) * UNI + features[at])
-        np.add.at(out, present // UNI, self.weights[present % UNI])
+        for features, first in (groups[0], groups[-1]):
+            at = np.flatnonzero(self.weights[features])
+            present = np.unique((np.searchsorted(first, at, "right") - 1) * DIM + features[at])
+            np.add.at(out, present // DIM, self.weights[present % DIM])
         return out
 
     def probability(self, logits: np.ndarray) -> np.ndarray:
@@ -142,10 +153,10 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
             for block in blocks(batch.column(4)):
                 groups = hashed_features(block)
                 for i in range(block.rows):
-                    own_groups = groups if full[block.first + i] else groups[:1]
+                    own_groups = groups if full[block.first + i] else (groups[0], groups[-1])
                     f, c = np.unique(np.concatenate([g[first[i] : first[i + 1]] for g, first in own_groups]), return_counts=True)
-                    group = np.digitize(f, [UNI, UNI + BI])
-                    total = np.maximum(np.bincount(group, c, 3), 1)
+                    group = np.digitize(f, [UNI, UNI + BI, FIRST_START])
+                    total = np.maximum(np.bincount(group, c, 4), 1)
                     index.append(f.astype(np.int32).tobytes())
                     value.append((FEATURE_SCALE * c / total[group]).astype(np.float32).tobytes() if full[block.first + i] else b"")
             yield pa.record_batch([*batch.columns[:4], pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "quality", "toxic", "full", "f", "v"])
@@ -217,9 +228,9 @@ def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
         seen = np.zeros(DIM, np.int32)
         for f in parts:
             seen[f] += 1
-        useful = seen >= 3
+        useful = (seen >= 3) & (np.arange(DIM) < FIRST_START)
     else:
-        parts = [f[f < UNI] for f in parts]
+        parts = [f[(f < UNI) | (f >= FIRST_START)] for f in parts]
         useful = _telling(parts, y, ~held)
     values = [np.frombuffer(r.v, np.float32)[useful[f]] if head.by_frequency else np.ones(int(useful[f].sum()), np.float32) for r, f in zip(rows, parts)]
     parts = [f[useful[f]] for f in parts]
@@ -251,7 +262,7 @@ def _score(column: pa.Array, heads: dict[str, Head], limits: tuple[float, float]
     for block in blocks(column):
         own = base_counts(block)
         groups = hashed_features(block)
-        own["p_low"] = heads["low"].probability(heads["low"].logits([groups[0], groups[1], _joined(groups[2:])]))
+        own["p_low"] = heads["low"].probability(heads["low"].logits([groups[0], groups[1], _joined(groups[2:4])]))
         own["p_toxic"] = heads["toxic"].probability(heads["toxic"].logits(groups))
         own["base_failed"] = (own["n_words"] < MIN_WORDS) | (100 * own["n_repeat_words"] > MAX_REPEAT_PERCENT * own["n_words"])
         own["kept"] = ~own["base_failed"] & (own["p_low"] < limits[0]) & (own["p_toxic"] < limits[1])

@@ -164,27 +164,28 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
     return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, v binary").collect(), key=lambda r: r.doc_id)
 
 
-def _fit(parts: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, l2: float = 1e-4, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Adam steps on the logistic loss with an L2 penalty, classes weighted equally; rows are taken a few at a time."""
+def _fit(index: np.ndarray, value: np.ndarray, size: np.ndarray, width: int, y: np.ndarray, l2: float = 1e-4, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Adam steps on the logistic loss with an L2 penalty, classes weighted equally; rows are taken a few at a time.
+
+    Row i has the next size[i] entries of index (below width) and value.
+    """
     n = len(y)
-    size = np.array([len(f) for f in parts])
     cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 1 << 18), "left").tolist() + [n]
-    index, value = np.concatenate(parts), np.concatenate(values)
     start = np.r_[0, np.cumsum(size)]
     chunks = []
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             at = slice(start[a], start[b])
             chunks.append((slice(a, b), index[at], value[at], np.repeat(np.arange(b - a, dtype=np.int32), size[a:b])))
-    w, bias = np.zeros(DIM), 0.0
-    m, v = np.zeros(DIM + 1), np.zeros(DIM + 1)
+    w, bias = np.zeros(width), 0.0
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
     for t in range(1, rounds + 1):
         full = np.append(l2 * w, 0.0)
         for rows, f, x, row in chunks:
             z = np.bincount(row, x * w[f], rows.stop - rows.start) + bias
             g = weight[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows])
-            full[:-1] += np.bincount(f, x * g[row], DIM)
+            full[:-1] += np.bincount(f, x * g[row], width)
             full[-1] += g.sum()
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full * full
         move = rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -224,21 +225,34 @@ def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
     if min(y[~held].sum(), (1 - y[~held]).sum()) < 2:
         return
     parts = [np.frombuffer(r.f, np.int32) for r in rows]
+    place = np.arange(DIM)
     if head.by_frequency:
         seen = np.zeros(DIM, np.int32)
         for f in parts:
             seen[f] += 1
-        useful = (seen >= 3) & (np.arange(DIM) < FIRST_START)
+        useful = (seen >= 3) & (place < FIRST_START)
     else:
-        parts = [f[(f < UNI) | (f >= FIRST_START)] for f in parts]
-        useful = _telling(parts, y, ~held)
-    values = [np.frombuffer(r.v, np.float32)[useful[f]] if head.by_frequency else np.ones(int(useful[f].sum()), np.float32) for r, f in zip(rows, parts)]
-    parts = [f[useful[f]] for f in parts]
+        useful = _telling(parts, y, ~held) & ((place < UNI) | (place >= FIRST_START))
     if not useful.any():
         return
-    fit = np.flatnonzero(~held)
-    head.weights, head.bias = _fit([parts[i] for i in fit], [values[i] for i in fit], y[fit])
-    z = np.array([float(v @ head.weights[f]) for f, v in zip(parts, values)]) + head.bias
+    # one copy of the entries that are used, fitted rows first
+    order = np.argsort(held, kind="stable")
+    size = np.array([int(useful[parts[i]].sum()) for i in order])
+    start = np.r_[0, np.cumsum(size)]
+    narrow = (np.cumsum(useful) - 1).astype(np.int32)
+    index, value = np.empty(start[-1], np.int32), np.ones(start[-1], np.float32)
+    for k, i in enumerate(order):
+        own = useful[parts[i]]
+        index[start[k] : start[k + 1]] = narrow[parts[i][own]]
+        if head.by_frequency:
+            value[start[k] : start[k + 1]] = np.frombuffer(rows[i].v, np.float32)[own]
+    fit = order[: int((~held).sum())]
+    last = start[len(fit)]
+    weights, head.bias = _fit(index[:last], value[:last], size[: len(fit)], int(useful.sum()), y[fit])
+    head.weights[useful] = weights
+    z = np.empty(len(rows))
+    for k, i in enumerate(order):
+        z[i] = float(value[start[k] : start[k + 1]] @ weights[index[start[k] : start[k + 1]]]) + head.bias
     enough = min(y[held].sum(), (1 - y[held]).sum()) >= 2
     head.slope, head.shift = _platt(z[held] if enough else z, y[held] if enough else y)
 

@@ -166,6 +166,19 @@ def raster_scale(w: Column, h: Column) -> Column:
     return F.when((w > 0) & (h > 0), F.least(s, F.sqrt(F.lit(16e6) / (w * h))).cast("float"))
 
 
+def blend_on_white(channel: Column, alpha: Column) -> Column:
+    """A colour channel (0 to 255) laid over white with an alpha of 0 to 255, rounded down."""
+    return F.floor((channel * alpha + 255 * (255 - alpha)) / 255).cast("int")
+
+
+def fit_radii(width: Column, height: Column, corners: tuple[Column, Column, Column, Column]) -> Column:
+    """Corner radii (lower left, lower right, upper right, upper left) shrunk alike until no side is shorter than its two."""
+    r = [F.greatest(F.lit(0.0), c) for c in corners]
+    sides = ((width, 0, 1), (width, 2, 3), (height, 0, 3), (height, 1, 2))
+    shrink = F.least(F.lit(1.0), *(side / F.greatest(F.lit(1e-6), r[i] + r[j]) for side, i, j in sides))
+    return F.array(*(c * shrink for c in r))
+
+
 def gutter_marker(number: Column, digits: Column, continuation: Column, numbers: Column) -> Column:
     plain = F.when(continuation, "» ").otherwise("")
     own = F.when(continuation, F.concat(F.repeat(F.lit(" "), digits), F.lit(" │ » "))).otherwise(F.concat(F.lpad(number.cast("string"), F.greatest(digits, F.length(number.cast("string"))), F.lit(" ")), F.lit(" │ ")))

@@ -345,6 +345,18 @@ def image_fit(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", T.fit_scale(mm(w), mm(h), F.lit(174.0), F.lit(200.54)).alias("scale"), T.raster_scale(w, h).alias("raster"))
 
 
+@query(
+    """SELECT p_partkey, CAST((p_size * (p_partkey % 256) + 255 * (255 - p_partkey % 256)) // 255 AS INTEGER) AS channel,
+       greatest(0.0, p_size - 10.0::DOUBLE) * k AS lower_left, 4.0::DOUBLE * k AS upper_right
+       FROM (SELECT *, least(1.0::DOUBLE, p_partkey % 90 / greatest(1e-6, greatest(0.0, p_size - 10.0::DOUBLE) + 2), p_partkey % 90 / 4.0::DOUBLE, 30 / greatest(1e-6, greatest(0.0, p_size - 10.0::DOUBLE)), 30 / 6.0::DOUBLE) AS k FROM part)"""
+)
+def pixel_and_corner(spark, sf_dir):
+    """Pixels over white, and corners of boxes p_partkey % 90 wide and 30 high with radii (p_size - 10, 2, 4, 0)."""
+    alpha, radius = F.col("p_partkey") % 256, F.col("p_size") - F.lit(10.0)
+    corners = T.fit_radii(F.col("p_partkey") % 90, F.lit(30.0), (radius, F.lit(2.0), F.lit(4.0), F.lit(0.0)))
+    return read_table(spark, sf_dir, "part").select("p_partkey", T.blend_on_white(F.col("p_size"), alpha).alias("channel"), corners[0].alias("lower_left"), corners[2].alias("upper_right"))
+
+
 @query(
     r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages),
         b AS (SELECT DISTINCT host FROM h WHERE page_id % 5 = 0), x AS (SELECT DISTINCT host FROM h WHERE page_id % 10 = 0)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import bwt_dedup, chat, decontaminate, html_content, langid, mixing, pii, quality, queries, simhash, tokencount
+from folioscope.llm import bwt_dedup, chat, decontaminate, html_content, langid, mixing, near_copies, pii, quality, queries, simhash, tokencount
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -497,6 +497,59 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_near_copies(rows, shingle=5):
+    """Ids that stay: the least of each group linked by a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(least.values())
+
+
+def planted_near_copies(rng):
+    """Copies with some words changed, over all similarities around 0.8, among texts that share a passage."""
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, rows = say(40), []
+    for size in (6, 12, 30, 100, 300, 1000):
+        for changed in (0, 1, 2, 3, 5, 8, 12, 20):
+            base = say(size) + (passage if changed % 2 else [])
+            copy = list(base)
+            for k in rng.sample(range(size), min(changed, size)):
+                copy[k] = "Ünew"
+            rows += [" ".join(base), " \n".join(copy).upper()]
+    group = say(200)
+    for _ in range(40):
+        copy = list(group)
+        for k in rng.sample(range(200), rng.randint(0, 5)):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    rows += [None, "", " \t", "one two", "One Two", "one two three", *(" ".join(say(30) + passage) for _ in range(60))]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("common", [16, 2])
+def test_pipeline_near_copies_brute_force(spark, sf_dir, monkeypatch, common):
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rows = planted_near_copies(random.Random(common))
+    kept = dict(corpus_pipeline.STAGES)["simhash near-duplicates"](spark, docs_of(spark, rows), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_near_copies(rows)
+
+
 # ---------------------------------------------------------------- language
 
 

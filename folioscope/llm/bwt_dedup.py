@@ -298,7 +298,7 @@ def _dealt_again(texts: DataFrame, hot: DataFrame, length: int, gram: int) -> Da
     quarters = []
     for q in range(4):
         low, high = reach * q // 4, reach * (q + 1) // 4  # windows that begin low..high bytes before the anchor
-        shared_left = F.expr(f"right(before, {low})") if low else F.lit(b"")
+        shared_left = F.expr(f"substring(before, length(before) - {low} + 1, {low})") if low else F.lit(b"")
         shared_right = F.substring("after", 1, length - high)
         enough = (F.length("before") >= low) & (F.length("after") >= length - high)
         quarters.append(F.when(enough, F.xxhash64("anchor", F.lit(q), shared_left, shared_right)))

@@ -329,6 +329,18 @@ def test_repeats_documents(spark, documents):
     check_repeats(spark, [(d.doc_id, d.text) for d in documents[:60]], 40, 16, hot_anchor=3)
 
 
+def test_repeats_hot_anchor_counts_bytes(spark):
+    """A hot anchor is dealt by bytes: repeats of two- and three-byte letters with left overlaps around the quarters."""
+    rng = random.Random(6)
+    rows = []
+    for letters in ("абвгдежз", "日本語文字列漢", "aéoü"):
+        say = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        passage = say(120)
+        for k in range(14):
+            rows.append((len(rows), say(25) + passage[4 * k : 4 * k + 64 + 3 * (k % 4)] + say(25)))
+    check_repeats(spark, rows, 100, 32, hot_anchor=2)
+
+
 def test_repeats_empty(spark):
     assert bwt_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 

@@ -119,8 +119,8 @@ def _on_driver(rows: list, targets: Mapping, budget: float, rounds: int = ROUNDS
     return [(*(r[m] for m in MARGINS), float(w), float(p)) for r, w, p in zip(rows, weight, keep)]
 
 
-def _distributed(cells: DataFrame, targets: Mapping, budget: float, rounds: int = 20) -> DataFrame:
-    """The same raking with one aggregation and join per margin and round."""
+def _distributed(cells: DataFrame, targets: Mapping, budget: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same raking with one aggregation and join per margin and round, to the same tolerance."""
     cells = cut(cells)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     own = cells.withColumn("share", F.col("tokens") / F.lit(total or 1.0))
@@ -129,20 +129,30 @@ def _distributed(cells: DataFrame, targets: Mapping, budget: float, rounds: int
         sums = own.groupBy(F.col(m).alias("v")).agg(F.sum("tokens").alias("t")).filter("t > 0")
         if targets.get(m) is not None:
             named = own.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[m].items()], "k string, raw double")
-            sums = sums.join(named, F.col("v").eqNullSafe(F.col("k")), "left").select("v", F.coalesce("raw", F.lit(0.0)).alias("raw"))
+            sums = sums.join(named, F.col("v").eqNullSafe(F.col("k")), "left").select("v", "t", F.coalesce("raw", F.lit(0.0)).alias("raw"))
         else:
-            sums = sums.select("v", F.pow(F.col("t").cast("double"), F.lit(TEMPER[m])).alias("raw"))
-        all_raw = float(sums.agg(F.sum("raw")).first()[0] or 1.0)
+            sums = sums.select("v", "t", F.pow(F.col("t").cast("double"), F.lit(TEMPER[m])).alias("raw"))
+        all_raw = float(sums.agg(F.sum("raw")).first()[0] or 0.0)
+        if all_raw <= 0:  # no value that is wanted occurs: the present shares
+            sums, all_raw = sums.withColumn("raw", F.col("t").cast("double")), total or 1.0
         margins.append(cut(sums.select("v", (F.col("raw") / F.lit(all_raw)).alias("target"))))
     for _ in range(rounds):
+        own = own.withColumn("worst", F.lit(0.0))
         for m, target in zip(MARGINS, margins):
             now = own.groupBy(F.col(m).alias("v")).agg(F.sum("share").alias("now")).filter("now > 0")
-            factor = now.join(target, now.v.eqNullSafe(target.v), "left").select(now.v.alias("v"), (F.coalesce("target", F.lit(0.0)) / F.col("now")).alias("f"))
-            own = own.join(factor, F.col(m).eqNullSafe(F.col("v")), "left").withColumn("share", F.col("share") * F.coalesce("f", F.lit(1.0))).drop("v", "f")
+            wanted = F.coalesce("target", F.lit(0.0))
+            factor = now.join(target, now.v.eqNullSafe(target.v), "left").select(now.v.alias("v"), (wanted / F.col("now")).alias("f"), F.abs(F.col("now") - wanted).alias("off"))
+            own = own.join(factor, F.col(m).eqNullSafe(F.col("v")), "left").withColumns({"share": F.col("share") * F.coalesce("f", F.lit(1.0)), "worst": F.greatest("worst", "off")}).drop("v", "f", "off")
         own = cut(own)
+        if float(own.agg(F.max("worst")).first()[0] or 0.0) < tolerance:
+            break
     own = own.withColumn("weight", F.when(F.col("tokens") > 0, F.col("share") * F.lit(total) / F.col("tokens")).otherwise(F.lit(1.0)))
     own = cut(own)
     lo, hi, want = 0.0, float(2**40), budget * total
+    if want >= float(own.filter("weight > 0").agg(F.sum("tokens")).first()[0] or 0):
+        return own.select(*MARGINS, "weight", (F.col("weight") > 0).cast("double").alias("probability"))
+    while float(own.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(hi) * F.col("weight")))).first()[0] or 0) < want:
+        hi *= 2.0**40
     for _ in range(8):
         # expected tokens at 64 factors in one aggregation narrow the bracket 65-fold
         grid = [lo + (hi - lo) * k / 65 for k in range(1, 65)] if lo > 0 else [hi * 2.0 ** (k - 65) for k in range(1, 65)]

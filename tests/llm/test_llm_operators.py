@@ -116,6 +116,19 @@ def test_mixing_driver_and_distributed_agree(spark, documents):
     assert {k: r.n_tokens for k, r in near.items()} == words
 
 
+def test_mixing_same_above_max_cells(spark):
+    """Both branches stop by the same rounds and tolerance and fall back to the present shares."""
+    import inspect
+
+    own = inspect.signature(mixing._distributed).parameters
+    assert (own["rounds"].default, own["tolerance"].default) == (mixing.ROUNDS, mixing.TOLERANCE)
+    cells = spark.createDataFrame([("s0", "en", "prose", 400), ("s1", "de", "prose", 60), ("s0", "de", "prose", 20)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"elsewhere": 1.0}}
+    near = {r[:3]: r[3:] for r in mixing._on_driver(cells.collect(), targets, 0.7, rounds=1)}
+    far = {r[:3]: r[3:] for r in mixing._distributed(cells, targets, 0.7, rounds=1).collect()}
+    assert near.keys() == far.keys() and all(np.allclose(near[k], far[k], rtol=1e-6) for k in near)
+
+
 def test_mixing_edges(spark):
     rows = [(1, "a b", None, None, 3), (2, None, "en", "s", 0), (2, None, "en", "s", 0), (None, "", "en", "s", 0), (3, "c d e", "en", "s", 5)]
     docs = docs_of(spark, rows, DOC_SCHEMA).withColumn("weight", F.lit("clash")).withColumn("topic", F.lit(9))

@@ -38,8 +38,12 @@ from folioscope.llm.shared import cut
 SHINGLE, SEED, BITS = 3, 42, 64
 BUDGET = 2
 HOT_BUCKET = 50_000
-#: (lowest bit, width) of the fields; with three fields, two differing bits leave one untouched.
-FIELDS = ((0, 21), (21, 21), (42, 22))
+
+
+def fields(budget: int = BUDGET) -> list[tuple[int, int]]:
+    """(lowest bit, width) of the fields, one more than differing bits (three at least), so that one is untouched."""
+    n = max(3, budget + 1)
+    return [(k * BITS // n, (k + 1) * BITS // n - k * BITS // n) for k in range(n)]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -157,11 +161,11 @@ def trie_links(keys: np.ndarray, bucket: np.ndarray, budget: int = BUDGET, most:
 def bucket_links(distinct: DataFrame, budget: int = BUDGET, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Links (a, b) between fingerprints: a spanning forest of every bucket's links."""
     field = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1)
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), field(*f).alias("v")) for k, f in enumerate(FIELDS)))).alias("f")).select("fp", (F.col("f.k") * (1 << 22) + F.col("f.v")).alias("bucket"))
+    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), field(*f).alias("v")) for k, f in enumerate(fields(budget))))).alias("f")).select("fp", (F.col("f.k") * (1 << 22) + F.col("f.v")).alias("bucket"))
     counts = dealt.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket", F.lit(True).alias("hot"))
     dealt = dealt.join(counts, "bucket", "left")
-    # a hot bucket is dealt again by the three fields of a mixed-radix split of its other bits
-    sub = F.array(*(F.struct(F.lit(j).alias("j"), F.expr(_sub_field(j)).alias("s")) for j in range(3)))
+    # a hot bucket is dealt again by as many fields of a mixed-radix split of its other bits
+    sub = F.array(*(F.struct(F.lit(j).alias("j"), F.expr(_sub_field(j, budget)).alias("s")) for j in range(len(fields(budget)))))
     none = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).cast("long").alias("s")))
     dealt = dealt.select("fp", "bucket", F.explode(F.when(F.col("hot"), sub).otherwise(none)).alias("x"))
     dealt = dealt.select(F.xxhash64("bucket", "x.j", "x.s").alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
@@ -199,13 +203,14 @@ def bucket_links(distinct: DataFrame, budget: int = BUDGET, hot_bucket: int = HO
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _sub_field(j: int) -> str:
-    """SQL for third j of the bits outside field k of a bucket, as one integer."""
+def _sub_field(j: int, budget: int = BUDGET) -> str:
+    """SQL for part j of the bits outside field k of a bucket, as one integer."""
     out = []
-    for k, (at, width) in enumerate(FIELDS):
+    n = len(fields(budget))
+    for k, (at, width) in enumerate(fields(budget)):
         rest = [b for b in range(BITS) if not at <= b < at + width]
-        third = rest[j * len(rest) // 3 : (j + 1) * len(rest) // 3]
-        mask = sum(1 << b for b in third)
+        part = rest[j * len(rest) // n : (j + 1) * len(rest) // n]
+        mask = sum(1 << b for b in part)
         out.append(f"WHEN {k} THEN fp & {mask - (1 << 64) if mask >> 63 else mask}L".replace("& -9223372036854775808L", "& (-9223372036854775807L - 1L)"))
     return f"CASE shiftright(bucket, 22) {' '.join(out)} END"
 

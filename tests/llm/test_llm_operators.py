@@ -505,6 +505,14 @@ def test_simhash_links_planted(spark, hot):
     assert groups(mine) == groups(want)
 
 
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_simhash_wider_budget(spark, hot):
+    """Three differing bits, one in each of the fields of op8's budget."""
+    a, b = 0x0123456789ABCDEF, 0x0123456789ABCDEF ^ (1 << 3 | 1 << 30 | 1 << 50)
+    links = simhash.bucket_links(spark.createDataFrame([(a,), (b,)], "fp long"), budget=3, hot_bucket=hot).collect()
+    assert {frozenset(r) for r in links} == {frozenset((a, b))}
+
+
 def test_long_chain_components(spark):
     rng = random.Random(2)
     names = rng.sample(range(10**6), 300)

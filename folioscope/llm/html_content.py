@@ -16,7 +16,10 @@ comments, in changing order, nesting and naming.
 Scale: one pass in Arrow batches without a shuffle; the model is a few hundred numbers.
 
 Defined cases: null and empty html give an empty text; broken and unclosed markup is
-parsed as far as it goes; depth is not limited (no recursion); repeated rows each give a row.
+parsed as far as it goes, in time linear in its length: a quote that is never closed ends
+with its word, a tag that never ends is no text, and a drawing or control without an end
+tag hides nothing; depth is not limited (no recursion); repeated rows each give a row;
+columns that are not kept, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ from pyspark.sql import functions as F
 
 # HTML's elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
+#: Text up to the end tag (or the end of the page) is no markup and never shown.
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Left out with everything inside: drawings, controls, fallbacks, notation behind formulas.
+UNSHOWN = frozenset("svg template select datalist button label legend output progress meter canvas audio video object annotation annotation-xml".split())
 BLOCK = frozenset(
     "html head body article aside section nav header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary dialog center hr".split()
 )
@@ -60,8 +66,13 @@ for _group, _words in MARKERS.items():
     for _word in _words.split():
         _MARKER_OF.setdefault(_word, []).append(_group)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/(?=[^a-zA-Z])|/?[a-zA-Z])")
+#: A tag whose attributes hold no angle brackets and no loose quotes; others are read attribute by attribute.
+_PLAIN_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"'=]++|=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]*+))*+)>""")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_GAP, _NAME, _EQUALS, _BARE = re.compile(r"[\s/]*+"), re.compile(r"[^\s/>][^\s/>=]*+"), re.compile(r"\s*+=\s*+"), re.compile(r"[^\s>]*+")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*+)))?""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -76,96 +87,188 @@ class Tree:
         self.runs: list[tuple[int, str, bool, int]] = []
 
 
+class _Reader:
+    """Tags of a source, each character looked at a bounded number of times."""
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        #: Searches that have failed once fail from any later place as well.
+        self.absent: set[str] = set()
+        self.last: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.absent:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def past(self, what: str, at: int) -> int:
+        """One past the next ``what``, or the end."""
+        found = self.find(what, at)
+        return len(self.source) if found < 0 else found + len(what)
+
+    def has_end(self, name: str, at: int) -> bool:
+        """Whether an end tag of this name is still to come."""
+        if (last := self.last.get(name)) is None:
+            last = self.last[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}(?=[\\s/>])", self.source, re.I)), default=-1)
+        return last >= at
+
+    def past_end_tag(self, name: str, at: int) -> int:
+        """One past the end tag of an element without markup; -1 if there is none."""
+        if name in self.absent:
+            return -1
+        found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(self.source, at)
+        if not found:
+            self.absent.add(name)
+            return -1
+        return found.end()
+
+    def tag(self, at: int) -> tuple[bool, str, str, int]:
+        """(is an end tag, name, attributes, one past it) of the tag at a place."""
+        if m := _PLAIN_TAG.match(self.source, at):
+            return bool(m[1]), m[2].lower(), m[3], m.end()
+        m = _TAG_NAME.match(self.source, at)
+        begin = here = m.end()
+        source, size = self.source, len(self.source)
+        while True:
+            here = _GAP.match(source, here).end()
+            if here >= size:
+                return bool(m[1]), "", "", size  # a tag that never ends is no text
+            if source[here] == ">":
+                return bool(m[1]), m[2].lower(), source[begin:here], here + 1
+            here = _NAME.match(source, here).end()
+            if not (equals := _EQUALS.match(source, here)):
+                continue
+            here = equals.end()
+            quote = source[here : here + 1]
+            if quote and quote in "\"'" and (end := self.find(quote, here + 1)) >= 0:
+                here = end + 1
+            else:  # a quote that is never closed ends with its word
+                here = _BARE.match(source, here).end()
+
+
+def _attributes(raw: str) -> tuple[bool, list[str]]:
+    """Whether an element is hidden, and the marker groups that its names belong to."""
+    hidden, marks = False, set()
+    for a in _ATTRIBUTE.finditer(raw):
+        key = a[1].lower()
+        if key in ("class", "id", "role"):
+            marks.update(g for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower()) for g in _MARKER_OF.get(w, ()))
+        elif key == "hidden" or key == "aria-hidden" and (a[2] or a[3] or a[4] or "").lower() == "true":
+            hidden = True
+        elif key == "style" and _HIDING.search((a[2] or a[3] or a[4] or "").lower()):
+            hidden = True
+    return hidden, sorted(marks)
+
+
 def parse(source: str) -> Tree:
-    """A tolerant tree of a page; elements whose text is never shown are left out with their text."""
-    tree = Tree()
-    #: Open elements: (tag, node that its text belongs to, links around it)
-    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]
+    """A tolerant tree of a page; what is never shown is left out with its text."""
+    tree, reader = Tree(), _Reader(source)
+    #: Open elements: (tag, node that its text belongs to, links around it, is never shown)
+    stack: list[tuple[str, int, int, bool]] = [("#root", 0, 0, False)]
+    #: How many of a name are open: blocks in all, and others since the innermost block.
+    blocks: dict[str, int] = {}
+    inline: list[dict[str, int]] = [{}]
     turn = at = 0
     size = len(source)
 
     def text(upto: int) -> None:
-        if upto > at:
-            raw = source[at:upto]
-            if raw and not raw.isspace() or raw:
-                tree.runs.append((stack[-1][1], raw, stack[-1][2] > 0, turn))
+        if upto > at and not stack[-1][3]:
+            tree.runs.append((stack[-1][1], source[at:upto], stack[-1][2] > 0, turn))
 
     def close_to(k: int) -> None:
         nonlocal turn
-        if any(t in BLOCK for t, _, _ in stack[k:]):
-            turn += 1
+        for tag, _, _, unshown in reversed(stack[k:]):
+            if tag in BLOCK:
+                blocks[tag] -= 1
+                inline.pop()
+                turn += not unshown
+            else:
+                inline[-1][tag] -= 1
         del stack[k:]
 
+    def innermost(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of some names that no bound is inside of; -1 if there is none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in bounds:
+                break
+        return -1
+
     while at < size:
-        found = _TOKEN.search(source, at)
+        found = _OPENS.search(source, at)
         if not found:
             text(size)
             break
         text(found.start())
-        at = found.end()
-        name = found[2]
+        lead, at = found[0], found.end()
+        if lead == "<!--":
+            at = reader.past("-->", at)
+            continue
+        if lead == "<![CDATA[":
+            at = reader.past("]]>", at)
+            continue
+        if lead in ("<!", "<?", "</"):
+            at = reader.past(">", at)
+            continue
+        is_end, name, raw, at = reader.tag(found.start())
         if not name:
             continue
-        name = name.lower()
-        if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close_to(k)
-                    break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break  # a stray inline end tag leaves blocks open
+        if is_end:
+            if name in BLOCK and blocks.get(name) or name not in BLOCK and inline[-1].get(name):
+                close_to(innermost({name}, frozenset()))
             continue
+        closed = raw.endswith("/")
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
+            end = at if closed and inline[-1].get("svg") else reader.past_end_tag(name, at)
+            at = size if end < 0 else end
             continue
         if name == "br":
-            tree.runs.append((stack[-1][1], " ", False, turn))
+            if not stack[-1][3]:
+                tree.runs.append((stack[-1][1], " ", False, turn))
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close_to(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+        if name in CLOSES_P and blocks.get("p") and (k := innermost({"p"}, BLOCK)) > 0:
+            close_to(k)
         if name in IMPLIED:
             closes, bounds = IMPLIED[name]
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in bounds:
-                    break
-                if stack[k][0] in closes:
-                    lowest = k
-            if lowest is not None:
-                close_to(lowest)
-        _, node, links = stack[-1]
-        if name in BLOCK:
+            while any(blocks.get(c) for c in closes) and (k := innermost(closes, bounds)) > 0:
+                close_to(k)
+        _, node, links, unshown = stack[-1]
+        hidden, marks = _attributes(raw) if raw else (False, [])
+        unshown = unshown or hidden or name in UNSHOWN
+        if name in BLOCK and not unshown:
             turn += 1
-            marks = []
-            if found[3]:
-                for a in _ATTRIBUTE.finditer(found[3]):
-                    key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                    if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                        marks.append("hidden")
-                    elif key != "style":
-                        marks += [g for w in _WORD.findall(value) for g in _MARKER_OF.get(w, ())]
             tree.parent.append(node)
             tree.tag.append(name)
-            tree.marks.append(sorted(set(marks)))
+            tree.marks.append(marks)
             node = len(tree.tag) - 1
-        if name in VOID or found[3].endswith("/"):
+        # a slash closes void and foreign elements only
+        if name in VOID or closed and name in ("svg", "math"):
+            continue
+        if name in UNSHOWN and not reader.has_end(name, at):
             continue
-        stack.append((name, node, links + (name == "a")))
+        stack.append((name, node, links + (name == "a"), unshown))
+        if name in BLOCK:
+            blocks[name] = blocks.get(name, 0) + 1
+            inline.append({})
+        else:
+            inline[-1][name] = inline[-1].get(name, 0) + 1
     return tree
 
 
 def features(tree: Tree) -> list[list[str]]:
-    """Evidence of every node, from itself and the text below it."""
+    """Evidence of every node, from itself, the text below it, and where it stands on the page."""
     n = len(tree.tag)
-    chars, linked, sentences = [0] * n, [0] * n, [0] * n
+    chars, linked, sentences, before = [0] * n, [0] * n, [0] * n, [-1] * n
+    total = 0
     for node, raw, in_link, _ in tree.runs:
         size = len(raw.strip())
+        if before[node] < 0:
+            before[node] = total
+        total += size
         chars[node] += size
         linked[node] += size * in_link
         sentences[node] += raw.count(". ") + raw.count(", ")
@@ -174,11 +277,15 @@ def features(tree: Tree) -> list[list[str]]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         sentences[p] += sentences[i]
+        if before[i] >= 0 and (before[p] < 0 or before[i] < before[p]):
+            before[p] = before[i]
     out = []
     for i in range(n):
         tag = tree.tag[i]
         share = linked[i] / chars[i] if chars[i] else 0.0
-        own = ["bias", f"tag={tag}", f"links={min(3, int(share * 4))}", f"size={min(5, int(math.log2(chars[i] + 1) / 2))}", f"commas={min(3, int(math.log2(sentences[i] + 1)))}"]
+        size = min(5, int(math.log2(chars[i] + 1) / 2))
+        own = ["bias", f"tag={tag}", f"links={min(3, int(share * 4))}", f"size={size}", f"commas={min(3, int(math.log2(sentences[i] + 1)))}"]
+        own.append(f"place={min(4, 5 * max(0, before[i]) // (total + 1))}")
         own += [f"mark={m}" for m in tree.marks[i]]
         out.append(own)
     return out
@@ -231,7 +338,7 @@ class ContentModel:
         return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
 
 
-def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
+def labelled_pages(count: int = 480, seed: int = 11) -> Iterator[tuple[str, list[int]]]:
     """Composed pages and the label of each of their block elements, in page order."""
     rng = random.Random(seed)
     syllables = "an the re ti on ou ing ed er st le de la en que ment sch ung ver lich cion ado para mi".split()
@@ -241,10 +348,14 @@ def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[str, list
         return " ".join(word() + rng.choice(["", "", "", ",", ".", ""]) for _ in range(rng.randint(lo, hi))) + "."
 
     def links(tag: str, n: int) -> tuple[str, list[int]]:
+        if rng.random() < 0.2:
+            return f"<{tag}>" + " ".join(f'<a href="/{word()}">{prose(1, 3)}</a>' for _ in range(n)) + f"</{tag.split()[0]}>", [0]
         return f"<{tag}><ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n)) + f"</ul></{tag.split()[0]}>", [0] * (n + 2)
 
-    def wrap(tag: str, names: list[str], inner: tuple[str, list[int]], label: int = 0) -> tuple[str, list[int]]:
+    def wrap(tag: str, names: list[str], inner: tuple[str, list[int]], label: int = 0, neutral: float = 0.0) -> tuple[str, list[int]]:
         how = rng.random()
+        if rng.random() < neutral:  # a name that says nothing
+            names = [word() for _ in range(3)]
         own = f' class="{rng.choice(names)}"' if how < 0.6 else f' id="{rng.choice(names)}"' if how < 0.8 else f' class="{rng.choice(names)}-{rng.choice(["wrap", "box", "inner", "1"])}"'
         return f"<{tag}{own}>{inner[0]}</{tag}>", [label, *inner[1]]
 
@@ -255,26 +366,30 @@ def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[str, list
         return "".join(p[0] for p in parts), [x for p in parts for x in p[1]]
 
     def article() -> tuple[str, list[int]]:
-        parts = [text_of("h1", 3, 10, 1)]
-        for _ in range(rng.randint(1, 12)):
+        parts = [text_of("h1", 1, 10, 1)]
+        most = rng.choice([3, 12, 90, 90])  # articles of verses and lines, and of paragraphs
+        for _ in range(rng.randint(1, 12 if most > 12 else 30)):
             kind = rng.random()
-            if kind < 0.65:
-                parts.append(text_of("p", 1, 90, 1))
-            elif kind < 0.72:
+            if kind < 0.54:
+                parts.append(text_of("p", 1, most, 1))
+            elif kind < 0.61:
                 parts.append((f"<p>{prose(2, 20)} <a href='/x'>{prose(1, 5)}</a> {prose(2, 20)}</p>", [1]))
-            elif kind < 0.77:
+            elif kind < 0.66:
                 parts.append(text_of("h2", 1, 6, 1))
-            elif kind < 0.82:
+            elif kind < 0.71:
                 items = [text_of("li", 2, 20, 1) for _ in range(rng.randint(2, 5))]
                 body = joined(items)
                 parts.append((f"<ul>{body[0]}</ul>", [1, *body[1]]))
-            elif kind < 0.85:
+            elif kind < 0.76:
+                body = joined([(f'<li><a href="/{word()}">{prose(1, 6)}</a></li>', [1]) for _ in range(rng.randint(2, 6))])
+                parts.append((f"<{(own := rng.choice(['ul', 'ol']))}>{body[0]}</{own}>", [1, *body[1]]))
+            elif kind < 0.79:
                 inner = text_of("p", 5, 30, 1)
                 parts.append((f"<blockquote>{inner[0]}</blockquote>", [1, *inner[1]]))
-            elif kind < 0.88:
+            elif kind < 0.83:
                 inner = joined([text_of("td", 1, 3, 1) for _ in range(3)])
                 parts.append((f"<table><tr>{inner[0]}</tr></table>", [1, 1, *inner[1]]))
-            elif kind < 0.91:
+            elif kind < 0.86:
                 parts.append((f"<figure><img src='/x.png'><figcaption>{prose(2, 9)}</figcaption></figure>", [1, 1]))
             elif kind < 0.96:
                 parts.append(boilerplate(rng.choice(["ad", "aside", "form", "notice", "div.ad"])))
@@ -287,17 +402,17 @@ def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[str, list
     def boilerplate(kind: str) -> tuple[str, list[int]]:
         some = lambda lo, hi: joined([text_of(rng.choice(["p", "div", "li", "h3"]), lo, hi, 0) for _ in range(rng.randint(1, 3))])
         if kind == "nav":
-            return links("nav", rng.randint(2, 9)) if rng.random() < 0.7 else wrap("div", ["nav", "menu", "navbar", "breadcrumbs"], links("div", rng.randint(2, 6)))
+            return links("nav", rng.randint(2, 9)) if rng.random() < 0.7 else wrap("div", ["nav", "menu", "navbar", "breadcrumbs"], links("div", rng.randint(2, 6)), neutral=0.4)
         if kind == "header":
             return wrap("header", ["header", "masthead", "top"], some(1, 8)) if rng.random() < 0.5 else (f"<header>{prose(1, 8)}</header>", [0])
         if kind == "footer":
-            return (f"<footer>&copy; {prose(2, 25)}</footer>", [0]) if rng.random() < 0.6 else wrap(rng.choice(["footer", "div"]), ["footer", "copyright", "legal"], some(2, 25))
+            return (f"<footer>&copy; {prose(2, 25)}</footer>", [0]) if rng.random() < 0.6 else wrap(rng.choice(["footer", "div"]), ["footer", "copyright", "legal"], some(2, 25), neutral=0.1)
         if kind in ("ad", "div.ad"):
             return (f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo"])}">{prose(2, 40)}</div>', [0]) if rng.random() < 0.7 else wrap(rng.choice(["div", "section", "aside"]), ["ad", "advert", "sponsor", "promo"], some(2, 40))
         if kind == "aside":
-            return (f"<aside>{prose(3, 40)}</aside>", [0]) if rng.random() < 0.4 else wrap(rng.choice(["aside", "div"]), ["sidebar", "related", "widget", "trending"], joined([some(2, 30), links("div", 3)]))
+            return (f"<aside>{prose(3, 40)}</aside>", [0]) if rng.random() < 0.4 else wrap(rng.choice(["aside", "div"]), ["sidebar", "related", "widget", "trending"], joined([some(2, 30), links("div", 3)]), neutral=0.3)
         if kind == "form":
-            return (f"<form><label>{prose(1, 4)}</label><input name=q><button>{word()}</button></form>", [0]) if rng.random() < 0.5 else wrap("form", ["search", "login", "signup", "newsletter"], some(1, 12))
+            return (f"<form><label>{prose(1, 4)}</label><input name=q><button>{word()}</button></form>", [0]) if rng.random() < 0.5 else wrap("form", ["search", "login", "signup", "newsletter"], some(1, 12), neutral=0.5)
         if kind == "notice":
             return wrap(rng.choice(["div", "section", "aside", "dialog"]), ["cookie", "notice", "consent", "newsletter", "alert", "popup"], some(3, 40)) if rng.random() < 0.6 else (f'<div class="{rng.choice(["cookie-notice", "notice", "gdpr", "alert"])}">{prose(3, 40)}</div>', [0])
         inner = joined([wrap("div", ["comment", "reply"], some(3, 50)) for _ in range(rng.randint(1, 4))])
@@ -306,19 +421,27 @@ def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[str, list
     for _ in range(count):
         body = article()
         where = rng.random()
-        if where < 0.6:
+        if where < 0.45:
             main = (f"<article>{body[0]}</article>", [1, *body[1]])
-        elif where < 0.75:
-            main = wrap("article", ["post", "entry", "story"], body, 1)
-        elif where < 0.85:
+        elif where < 0.6:
+            main = wrap("article", ["post", "entry", "story"], body, 1, neutral=0.4)
+        elif where < 0.7:
             main = (f"<main>{body[0]}</main>", [1, *body[1]])
+        elif where < 0.85:  # boxes without a name, or with one that says nothing
+            main = body
+            for _ in range(rng.randint(1, 3)):
+                main = (f"<div>{main[0]}</div>", [1, *main[1]]) if rng.random() < 0.6 else wrap("div", [word() for _ in range(3)], main, 1)
         else:
-            main = wrap("div", ["content", "post", "entry", "article-body", "story"], body, 1)
+            main = wrap(rng.choice(["div", "div", "section"]), ["content", "post", "entry", "article-body", "story"], body, 1, neutral=0.4)
         before = [boilerplate(k) for k in rng.sample(["nav", "header", "ad", "notice", "form", "aside"], rng.randint(1, 4))]
         after = [boilerplate(k) for k in rng.sample(["footer", "aside", "comments", "ad", "nav", "form"], rng.randint(1, 4))]
         whole = joined([*before, main, *after])
-        if rng.random() < 0.3:
-            whole = (f'<div id="{rng.choice(["page", "wrapper", "site"])}">{whole[0]}</div>', [0, *whole[1]])
+        how = rng.random()
+        if how < 0.3:
+            whole = wrap("div", ["page", "wrapper", "site", "root"], whole, 0, neutral=0.5)
+        elif how < 0.4:  # a layout table: a row for each part
+            rows = joined([(f"<tr><td>{part}</td></tr>", [labels[0], labels[0], *labels]) for part, labels in [*before, main, *after]])
+            whole = (f"<table>{rows[0]}</table>", [0, *rows[1]])
         yield f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{whole[0]}</body></html>", [0, 0, 0, 0, *whole[1]]
 
 

@@ -3,10 +3,12 @@
 Texts are handled as UTF-8 bytes in the Arrow buffers that Spark hands to a Python
 worker.  A batch is cut into blocks of about ``BLOCK_BYTES`` (one longer text is a
 block of its own), so a worker's arrays stay small however many rows a batch has.
+Workers live on between stages; after each batch they hand freed memory back.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 #: ASCII white space: space and \t \n \v \f \r.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -26,12 +28,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's own, or (only where none is set) a new one."""
+    """The shared folder for checkpoints: the session's own, or (only where none is set, and all runs on one machine) a new one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -80,6 +84,17 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
         hi = min(hi, len(column))
         yield Block(lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine, as other processes of the executor need it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def byte_class(members: bytes) -> np.ndarray:

@@ -48,11 +48,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import blocks, cut, prefix_hash, span_hash
+from folioscope.llm.shared import among, blocks, cut, prefix_hash, span_hash
 
 LENGTH, GRAM = 200, 64
 #: Representatives of a bucket that one task takes; larger ones are split.
-HOT_ANCHOR = 20_000
+HOT_ANCHOR = 5_000
 #: Share of the sampled documents' anchors, and number of them, from which an anchor counts as frequent.
 SAMPLE, HOT_SHARE, HOT_SEEN = 0.02, 1 / 20_000, 8
 #: Representatives whose texts a worker holds at a time (whole buckets; each has under 2 * LENGTH bytes).
@@ -532,19 +532,21 @@ def removed_ranges(
     frequent = _frequent(keyed, length, gram, sample, hot_share, hot_seen)
     grouped = cut(_group_anchors(_find_anchors(keyed, length, gram, frequent)))
     whole = grouped.filter("repeats").select("key", "tag", F.greatest(F.lit(0), F.col("pos") - (length - gram)).alias("lo"), (F.col("pos") + length).alias("hi"))
-    stands = grouped.filter("NOT repeats")
-    hot = stands.groupBy("anchor").count().filter(F.col("count") > hot_anchor).select(F.col("anchor").alias("bucket"))
-    by_doc = stands.groupBy("key", "tag").agg(F.collect_set(F.struct("pos", "anchor")).alias("stands"))
-    joined = keyed.join(by_doc, ["key", "tag"]).select("key", "tag", "doc_id", "text", "stands")
-    texts = _texts_of(joined, length, gram)
+    stands = grouped.filter("NOT repeats").drop("repeats")
+    hot = cut(stands.groupBy("anchor").count().filter(F.col("count") > hot_anchor).select("anchor"))
     ranges = whole
     if not hot.isEmpty():
-        hot = cut(hot)
-        warm = cut(texts.join(hot, "bucket", "left_semi").select(*(x.split()[0] for x in _TEXTS.split(", "))))
-        for more in _split_ranges(warm, length, gram, hot_anchor):
+        own = cut(stands.join(hot, "anchor", "left_semi"))
+        some = among(keyed, own, "tag", "key long, tag long, doc_id long, text string")
+        for more in _split_ranges(cut(_representatives(some, own, length, gram)), length, gram, hot_anchor):
             ranges = ranges.union(more)
-        texts = texts.join(hot, "bucket", "left_anti").select(*(x.split()[0] for x in _TEXTS.split(", ")))
-    return keyed, ranges.union(_bucket_ranges(texts, length, gram))
+        stands = stands.join(hot, "anchor", "left_anti")
+    return keyed, ranges.union(_bucket_ranges(_representatives(keyed, stands, length, gram), length, gram))
+
+
+def _representatives(keyed: DataFrame, stands: DataFrame, length: int, gram: int) -> DataFrame:
+    by_doc = stands.groupBy("key", "tag").agg(F.collect_set(F.struct("pos", "anchor")).alias("stands"))
+    return _texts_of(keyed.join(by_doc, ["key", "tag"]).select("key", "tag", "doc_id", "text", "stands"), length, gram)
 
 
 def _kept(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 19
 
@@ -46,6 +47,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SLOTS = 1 << 22
+
+
+def among(rows: DataFrame, wanted: DataFrame, column: str, schema: str) -> DataFrame:
+    """Most rows whose value of an integer column is not in wanted are left out, none that is in it.
+
+    A bit table of fixed size, so that texts nobody asks for stay out of the join that follows.
+    """
+    slots = wanted.select(F.col(column).bitwiseAND(SLOTS - 1).alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    bits = np.zeros(SLOTS, bool)
+    bits[slots] = True
+    table = np.packbits(bits, bitorder="little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(column).to_numpy(zero_copy_only=False) & (SLOTS - 1)
+            found = table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    return rows.select(*(x.split()[0] for x in schema.split(", "))).mapInArrow(run, schema)
+
+
 class Block:
     """Some consecutive rows of a text column as one byte array with row offsets."""
 

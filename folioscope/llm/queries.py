@@ -15,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"), targets=mixing.TARGETS)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

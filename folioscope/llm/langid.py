@@ -76,7 +76,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _sample(docs: DataFrame, max_rows: int) -> list:
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lang", "text")
+    texts = rows.join(F.broadcast(chosen), "doc_id")
+    # of several rows of an id the same one in every run
+    texts = texts.groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("lang", "text"), "lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,9 +2,10 @@
 
 Candidates come from patterns: e-mail addresses, IP addresses, payment cards and phone
 numbers (the base kinds, with their checks), and quoted secrets, IBANs and social
-security numbers (added kinds).  Four labelers vote on every candidate, yes, no or
-abstain: a strict pattern, a gazetteer, the words before it, and the variety of its
-characters.  Expectation-maximisation over the counts of vote patterns estimates how each
+security numbers (added kinds).  Five labelers vote on every candidate, yes, no or
+abstain: a strict form (grouping and number rules), check digits, a gazetteer of parts of
+the value (top-level domains, countries, token prefixes), the words before it, and the
+variety of its characters; no two of them read the same evidence.  Expectation-maximisation over the counts of vote patterns estimates how each
 labeler votes on true and on false candidates; its posteriors train the final span
 classifier, a logistic regression over votes, kind and length, which is applied as a SQL
 expression.  Base spans always stay; added spans stay where the classifier says so.
@@ -60,8 +61,9 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
 }
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
+TOKEN_PREFIXES = ("sk", "pk", "rk", "ghp", "gho", "ghs", "glpat", "AKIA", "ASIA", "AIza", "xoxb", "xoxp", "eyJ", "SG", "npm", "hf")
 IBAN_COUNTRIES = ("AT", "BE", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE")
-LABELERS = ("strict", "gazetteer", "context", "variety")
+LABELERS = ("strict", "checksum", "gazetteer", "context", "variety")
 LENGTH_CLASSES = 4
 THRESHOLD = 0.5
 PRIOR_VOTES = 20.0
@@ -128,6 +130,17 @@ def _validity(kind: str) -> Callable[[Column], Column]:
     return lambda span: _valid(span, kind)
 
 
+def _mod97(value: Column) -> Column:
+    """The remainder by which account numbers are checked: first four characters last, letters as 10 to 35."""
+    turned = F.split(F.concat(F.substring(value, 5, 64), F.substring(value, 1, 4)), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return (acc * F.when(digit, 10).otherwise(100) + F.when(digit, F.ascii(c) - 48).otherwise(F.ascii(c) - 55)) % 97
+
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), step)
+
+
 def _votes(span: Column) -> dict[str, Column]:
     """1 yes, 0 no, -1 abstain, from each labeler."""
     kind, value, before = span["kind"], span["value"], F.lower(span["before"])
@@ -136,18 +149,20 @@ def _votes(span: Column) -> dict[str, Column]:
     variety = F.size(F.array_distinct(F.split(value, "")))
     strict = (
         F.when(kind == "secret", ((digits > 0) & (letters > 0) & (F.length(value) >= 20)).cast("int"))
-        .when(kind == "iban", F.length(value).between(15, 34).cast("int"))
+        .when(kind == "iban", F.lit(-1))
         .when(kind == "ssn", (~value.rlike("^(000|666|9[0-9][0-9])|-00-|-0000$")).cast("int"))
         .when(kind == "email", value.rlike(r"\.[A-Za-z]{2,}$").cast("int"))
-        .otherwise(F.lit(1))
+        .when(kind == "ip", (~value.rlike(r"(^|\.)0[0-9]")).cast("int"))
+        .when(kind == "card", value.rlike(r"^(?:[0-9]{4}[ -]?){3,4}[0-9]{1,4}$").cast("int"))
+        .otherwise((value.rlike(r"[ ().-]") | (digits >= 10)).cast("int"))
     )
-    word = F.lower(F.regexp_extract(span["before"], r"([A-Za-z_]+)[^A-Za-z_]*$", 1))
+    checksum = F.when(kind == "iban", (_mod97(value) == 1).cast("int")).when(kind == "card", 1).otherwise(-1)  # cards have passed theirs
     gazetteer = (
         F.when(kind == "email", F.when(F.regexp_extract(F.lower(value), r"\.([a-z0-9-]+)$", 1).isin(*DOMAINS), 1).otherwise(-1))
         .when(kind == "ip", F.when(value.rlike(r"^(0|127|255)\."), 0).otherwise(-1))
         .when(kind == "card", F.when(value.rlike("^[3-6]"), 1).otherwise(0))
         .when(kind == "phone", F.when(value.rlike(r"^\+(1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[1246]|9[0-58])"), 1).otherwise(-1))
-        .when(kind == "secret", F.when(word.rlike("|".join(CONTEXT["secret"])), 1).otherwise(0))
+        .when(kind == "secret", F.when(value.rlike(f"^(?:{'|'.join(TOKEN_PREFIXES)})[_-]?"), 1).otherwise(-1))
         .when(kind == "iban", F.when(F.substring(value, 1, 2).isin(*IBAN_COUNTRIES), 1).otherwise(0))
         .otherwise(-1)
     )
@@ -155,7 +170,7 @@ def _votes(span: Column) -> dict[str, Column]:
     for k in KINDS:
         context = F.when((kind == k) & before.rlike("|".join(rf"\b{w}" for w in CONTEXT[k])), 1).otherwise(context)
     spread = F.when(variety >= 6, 1).when(variety <= 2, 0).otherwise(-1)
-    return dict(zip(LABELERS, (strict, gazetteer, context, spread)))
+    return dict(zip(LABELERS, (strict, checksum, gazetteer, context, spread)))
 
 
 def candidate_spans(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -186,7 +201,8 @@ def estimate_reliability(patterns: list[tuple], rounds: int = 100) -> tuple[dict
     checks and count as certain.  Labelers start out as mostly right, and each estimate is
     smoothed by ``PRIOR_VOTES`` votes that fall that way, so the two classes cannot trade places.
     """
-    first = {(j, y, v): (0.6 if v == y else 0.15 if v == 1 - y else 0.25) for j in range(len(LABELERS)) for y in (0, 1) for v in (-1, 0, 1)}
+    labelers = range(max((len(x[1]) for x in patterns), default=0))
+    first = {(j, y, v): (0.6 if v == y else 0.15 if v == 1 - y else 0.25) for j in labelers for y in (0, 1) for v in (-1, 0, 1)}
     vote = dict(first)
     prior = {k: 0.5 for k in KINDS}
     post = [0.5] * len(patterns)
@@ -194,7 +210,7 @@ def estimate_reliability(patterns: list[tuple], rounds: int = 100) -> tuple[dict
         for i, (kind, votes, _, _) in enumerate(patterns):
             like = [math.log(prior[kind] if y else 1 - prior[kind]) + sum(math.log(vote[j, y, v]) for j, v in enumerate(votes)) for y in (0, 1)]
             post[i] = 1.0 if kind in BASE_KINDS else 1 / (1 + math.exp(min(700, like[0] - like[1])))
-        for j in range(len(LABELERS)):
+        for j in labelers:
             for y in (0, 1):
                 mass = {v: PRIOR_VOTES * first[j, y, v] for v in (-1, 0, 1)}
                 for p, (_, votes, _, n) in zip(post, patterns):
@@ -267,11 +283,15 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with every span of personal data replaced by its kind in angle brackets."""
+    """docs with every span of personal data replaced by its kind in angle brackets.
+
+    Texts are scanned once: rows and their candidates wait in a checkpoint for the classifier.
+    """
     held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("document"), F.col(text_col).alias("pii_text"))
-    weights = train_on(candidate_spans(held.select("pii_text"), text_col="pii_text"))
+    found = cut(candidate_spans(held, text_col="pii_text"))
+    weights = train_on(found)
     spans = F.array_sort(F.transform(classify("pii_spans", weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = candidate_spans(held, text_col="pii_text").withColumn("pii_spans", spans)
+    rows = found.withColumn("pii_spans", spans)
     text = F.col("pii_text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

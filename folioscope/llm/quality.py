@@ -10,12 +10,13 @@ fitted on, and a document is kept if it passes the base rules and both calibrate
 probabilities stay under fixed thresholds.
 
 Scale: at most ``max_labelled`` labelled rows (those with the smallest hash of their id)
-are turned into sparse counts on the executors and fitted on the driver; scoring is one
+with at most ``max_bytes`` of text, and ``max_full`` of them for the low-quality head, are
+turned into sparse counts on the executors and fitted on the driver; scoring is one
 pass in Arrow batches without a shuffle, over whole texts, with weights of fixed size.
 
 Defined cases: a null or empty text has no words and fails the base rules; rows with a
 null label are not learned from, of several labels of one document the lowest quality and
-highest toxicity count; with no rows of some class that head rejects nothing; repeated
+highest toxicity count, of several texts the one with the least hash; with no rows of some class that head rejects nothing; repeated
 document rows each get their row; extra columns pass through :func:`keep_quality`.
 """
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import LOWER, NON_SPACE, STARTS_CHAR, WORD_CHARS, Block, blocks, byte_class, byte_ngrams, cut, mix, ngram_rows, prefix_hash, row_sums, span_hash, word_spans
+from folioscope.llm.shared import LOWER, NON_SPACE, STARTS_CHAR, WORD_CHARS, Block, blocks, byte_class, byte_ngrams, cut, give_back, mix, ngram_rows, prefix_hash, row_sums, span_hash, word_spans
 
-#: Labelled rows that are learned from; the low-quality head, whose features are many, takes about MAX_FULL of them.
-MAX_LABELLED, MAX_FULL = 4096, 2400
+#: Labelled rows that are learned from, those of them that the low-quality head (whose features are many) takes, and bytes of their texts.
+MAX_LABELLED, MAX_FULL, MAX_BYTES = 4096, 2400, 16 << 20
 #: A document goes if its calibrated probability of low quality, or of toxicity, reaches these.
 LOW_QUALITY_LIMIT, TOXIC_LIMIT = 0.5, 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -137,14 +138,31 @@ class Head:
         return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.shift, -30, 30)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list:
-    """Sparse counts of the labelled sample: bounded in rows, and per row by the feature space."""
+def _chosen(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int, max_bytes: int) -> DataFrame:
+    """doc_id, a hash of its text, labels and full of the rows to learn from, in the order of a hash of the id.
+
+    Bounded in rows and in bytes of text; of several texts of an id the one with the least
+    hash counts.  full: rows that the low-quality head takes too.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna()
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     own = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
-    share = min(1.0, MAX_FULL / max(1, own.count()))
-    own = own.withColumn("full", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * share))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    least = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct("tag", "size")).alias("t"))
+    rows, held, used, in_full = [], 0, 0, 0
+    for r in least.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held + r.t.size > max_bytes:
+            continue
+        full = in_full < max_full and used + r.t.size <= max_bytes // 2
+        held, used, in_full = held + r.t.size, used + r.t.size * full, in_full + full
+        rows.append((r.doc_id, r.t.tag, int(r.quality), int(r.toxic), full))
+    return docs.sparkSession.createDataFrame(rows, "doc_id long, tag long, quality int, toxic int, full boolean")
+
+
+def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int, max_bytes: int) -> list:
+    """Sparse counts of the labelled sample: at most eight bytes per n-gram position of the texts chosen."""
+    chosen = _chosen(docs, labels, max_labelled, max_full, max_bytes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").join(F.broadcast(chosen), ["doc_id", "tag"])
     texts = texts.dropDuplicates(["doc_id"]).select("doc_id", "quality", "toxic", "full", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +226,15 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> dict[str, Head]:
+def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_full: int = MAX_FULL, max_bytes: int = MAX_BYTES) -> dict[str, Head]:
     """The two calibrated heads; a fifth of the sample, by a hash of the id, is held out for calibration."""
-    rows = _sample(docs, labels, max_labelled)
+    rows = _sample(docs, labels, max_labelled, max_full, max_bytes)
     heads = {"low": Head(), "toxic": Head(by_frequency=False)}
     for name, head in heads.items():
         own = [r for r in rows if r.full] if head.by_frequency else rows
         if own:
             _train_head(head, own, np.array([r.quality == 0 if name == "low" else r.toxic == 1 for r in own], float))
+            give_back()
     return heads
 
 

@@ -67,7 +67,16 @@ class Element:
         return self.tag == selector
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], [iter(self.children)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, Element):
+                    stack.append(iter(c.children))
+                    break
+                out.append(c)
+            else:
+                stack.pop()
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -79,10 +88,18 @@ class _Builder(HTMLParser):
         self.html.children += [self.head, self.body]
         self.in_body = False
         self.open = [self.html, self.head]
+        #: How many elements of a tag are open, so that a search for one is only made if there is one.
+        self.count: dict[str, int] = {}
 
     def _to_body(self) -> None:
         if not self.in_body:
-            self.in_body, self.open = True, [self.html, self.body]
+            self.in_body, self.open, self.count = True, [self.html, self.body], {}
+
+    def _close(self, k: int) -> None:
+        for e in self.open[k:]:
+            if e.tag in self.count:
+                self.count[e.tag] -= 1
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
         own = {k: v or "" for k, v in reversed(attrs)}
@@ -99,29 +116,35 @@ class _Builder(HTMLParser):
             self._end("p", SCOPE)
         if tag in ENDS:
             ends, stop = ENDS[tag]
-            for k in range(len(self.open) - 1, 0, -1):
+            lowest = None
+            for k in range(len(self.open) - 1, 0, -1) if any(self.count.get(t) for t in ends) else ():
                 if self.open[k].tag in stop:
                     break
                 if self.open[k].tag in ends:
-                    del self.open[k:]
+                    lowest = k
+            if lowest is not None:
+                self._close(lowest)
         if tag == "tr" and self.open[-1].tag == "table":
             self._push("tbody", {})
         self._push(tag, own)
         if tag in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Element(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
         self.open.append(node)
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def _end(self, tag: str, stop: frozenset) -> None:
+        if not self.count.get(tag):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag and self.open[k] is not self.body:
-                del self.open[k:]
+                self._close(k)
                 return
             if self.open[k].tag in stop:
                 return

@@ -66,36 +66,60 @@ def shown(e: Element) -> Iterator[Element | str]:
     return (c for c in e.children if isinstance(c, str) or not skipped(c))
 
 
-def score(e: Element) -> int:
-    """Bytes of cleaned text below, and a bonus per paragraph."""
-    total, stack = 0, [] if skipped(e) else [e]
-    while stack:
-        now = stack.pop()
-        total += K.PARAGRAPH_BONUS * (now.tag == "p")
-        for c in shown(now):
-            if isinstance(c, str):
-                total += len(clean(c).encode())
-            else:
-                stack.append(c)
-    return total
+def measure(root: Element) -> dict[int, tuple[int, int]]:
+    """By id of each element: its score (bytes of shown, cleaned text below and a bonus per paragraph) and its nodes.
+
+    One fold from the leaves up, as elements come after their parents in page order.
+    """
+    every = [root, *root.walk()]
+    scores, nodes, hidden = {}, {}, {}
+    for e in every:
+        texts = [c for c in e.children if isinstance(c, str)]
+        hidden[id(e)] = skipped(e)
+        scores[id(e)] = sum(len(clean(t).encode()) for t in texts) + K.PARAGRAPH_BONUS * (e.tag == "p")
+        nodes[id(e)] = 1 + len(texts)
+    for e in reversed(every[1:]):
+        above = id(e.parent)
+        nodes[above] += nodes[id(e)]
+        if not hidden[id(e)]:
+            scores[above] += scores[id(e)]
+    return {k: (0 if hidden[k] else scores[k], nodes[k]) for k in scores}
 
 
 def text_of(e: Element, leave: frozenset = frozenset()) -> str:
     """Shown text; br is a line end, and every piece of text is followed by a space."""
     if e.tag == "br":
         return "\n"
-    return "".join(f"{c} " if isinstance(c, str) else text_of(c, leave) for c in shown(e) if isinstance(c, str) or c.tag not in leave)
+    out, stack = [], [shown(e)]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                out.append(f"{c} ")
+            elif c.tag in leave:
+                continue
+            elif c.tag == "br":
+                out.append("\n")
+            else:
+                stack.append(shown(c))
+                break
+        else:
+            stack.pop()
+    return "".join(out)
 
 
 def inline_text(e: Element) -> str:
-    out = []
-    for c in shown(e):
-        if isinstance(c, str):
-            out.append(f"{c} ")
-        elif c.tag == "br":
-            out.append(" ")
-        elif c.tag in _INLINE:
-            out.append(inline_text(c))
+    out, stack = [], [shown(e)]
+    while stack:
+        for c in stack[-1]:
+            if isinstance(c, str):
+                out.append(f"{c} ")
+            elif c.tag == "br":
+                out.append(" ")
+            elif c.tag in _INLINE:
+                stack.append(shown(c))
+                break
+        else:
+            stack.pop()
     return "".join(out)
 
 
@@ -114,12 +138,12 @@ def clean_title(raw: str) -> str:
 
 
 def choose_container(root: Element, least: int) -> tuple[Element | None, int]:
-    every = list(root.walk())
+    every, sizes = list(root.walk()), measure(root)
     found: list[tuple[int, int, Element]] = []
     best = 0
     for selectors in (K.PLATFORM_SELECTORS, K.STRUCTURE_SELECTORS, ("body",)):
         for s in selectors:
-            found += [(score(e), e.nodes(), e) for e in every if e.matches(s)]
+            found += [(*sizes[id(e)], e) for e in every if e.matches(s)]
         best = max((f[0] for f in found), default=0)
         if best >= least:
             break
@@ -130,6 +154,7 @@ def choose_container(root: Element, least: int) -> tuple[Element | None, int]:
 
 
 def cell_text(e: Element) -> str:
+    """Lines of a table cell; blocks and br end a line, list items begin with a bullet."""
     lines: list[str] = []
     now: list[str] = []
 
@@ -138,44 +163,54 @@ def cell_text(e: Element) -> str:
             lines.append(t)
         now.clear()
 
-    def visit(n: Element) -> None:
-        if n.tag == "br":
-            return flush()
-        item = n.tag == "li"
-        if item:
-            flush()
-        before = len(lines)
-        for c in shown(n):
+    if skipped(e):
+        return ""
+    #: Open elements: what is left of their children, the tag, and how many lines were there before.
+    stack = [(shown(e), e.tag, 0)]
+    if e.tag == "br":
+        return ""
+    while stack:
+        children, tag, before = stack[-1]
+        for c in children:
             if isinstance(c, str):
                 now.append(f"{c} ")
+            elif c.tag == "br":
+                flush()
             else:
-                visit(c)
-        if item or n.tag in _BREAKS:
-            flush()
-        if item and len(lines) > before:
-            lines[before] = f"• {lines[before]}"
-
-    if not skipped(e):
-        visit(e)
-        flush()
+                if c.tag == "li":
+                    flush()
+                stack.append((shown(c), c.tag, len(lines)))
+                break
+        else:
+            stack.pop()
+            if tag == "li" or tag in _BREAKS:
+                flush()
+            if tag == "li" and len(lines) > before:
+                lines[before] = f"• {lines[before]}"
+    flush()
     return "\n".join(lines)
 
 
-def _above(e: Element, top: Element) -> Iterator[str]:
-    while (e := e.parent) is not None and e is not top:
-        yield e.tag
+def _own_rows(e: Element) -> Iterator[tuple[Element, bool]]:
+    """Rows of a table that are in no table inside it, and whether they are in a head."""
+    stack = [(e.elements(), False)]
+    while stack:
+        for c in stack[-1][0]:
+            if c.tag == "tr":
+                yield c, stack[-1][1]
+            if c.tag != "table":
+                stack.append((c.elements(), stack[-1][1] or c.tag == "thead"))
+                break
+        else:
+            stack.pop()
 
 
 def table_of(e: Element) -> dict | None:
     rows: list[tuple[list[str], bool]] = []
-    for tr in e.walk():
-        if tr.tag != "tr":
-            continue
-        around = list(_above(tr, e))
+    for tr, in_head in _own_rows(e):
         cells = [c for c in tr.elements() if c.tag in ("td", "th")]
-        if "table" in around or not cells:
-            continue
-        rows.append(([cell_text(c) for c in cells], "thead" in around or any(c.tag == "th" for c in cells)))
+        if cells:
+            rows.append(([cell_text(c) for c in cells], in_head or any(c.tag == "th" for c in cells)))
     if not rows:
         return None
     width = max(len(r) for r, _ in rows)
@@ -304,25 +339,34 @@ def is_marked(e: Element) -> bool:
 
 def code_of(pre: Element) -> tuple[str, list[int]]:
     """Code text without directive lines, and the zero-based lines to highlight."""
-    text, marks, whole = "", set(), []
+    parts, marks, whole = [], set(), []
+    size = newlines = 0
+
+    def put(t: str) -> None:
+        nonlocal size, newlines
+        parts.append(t)
+        size += len(t)
+        newlines += t.count("\n")
 
-    def visit(e: Element) -> None:
-        nonlocal text
-        for c in shown(e):
+    #: Open elements, and how many parts, characters and line ends came before each.
+    stack = [(shown(pre), None, 0, 0, 0)]
+    while stack:
+        children, e, part, begin, first = stack[-1]
+        for c in children:
             if isinstance(c, str):
-                text += c
+                put(c)
             elif c.tag == "br":
-                text += "\n"
+                put("\n")
             else:
-                begin = len(text)
-                visit(c)
-                first = text.count("\n", 0, begin)
-                if c.tag == "mark":
-                    whole.append((begin, len(text), first))
-                elif is_marked(c):
-                    marks.update(range(first, first + text[begin:].rstrip("\n \t\r").count("\n") + 1))
-
-    visit(pre)
+                stack.append((shown(c), c, len(parts), size, newlines))
+                break
+        else:
+            stack.pop()
+            if e is not None and e.tag == "mark":
+                whole.append((begin, size, first))
+            elif e is not None and is_marked(e):
+                marks.update(range(first, first + "".join(parts[part:]).rstrip("\n \t\r").count("\n") + 1))
+    text = "".join(parts)
     for begin, end, line in whole:
         # a mark counts if nothing but indentation shares its line
         if not text[:begin].rpartition("\n")[2].strip(" \t") and not text[end:].partition("\n")[0].strip(" \t\r"):
@@ -352,7 +396,7 @@ class Walker:
     """Blocks of a container in page order, and the distinct images in the order they are met."""
 
     def __init__(self, base: str):
-        self.base, self.out, self.images = base, [], []
+        self.base, self.out, self.images = base, [], {}
 
     def put(self, kind: str, text: str | None = None, **more) -> None:
         if text is None or text:
@@ -362,13 +406,21 @@ class Walker:
         source = image_source(img)
         url = absolute_url(self.base, source) if source else None
         if url:
-            if url not in self.images:
-                self.images.append(url)
+            self.images.setdefault(url)
             self.put("image", img_url=url, alt=alt_text(img))
 
-    def walk(self, e: Element, depth: int = 0) -> None:
+    def walk(self, container: Element) -> None:
+        """Works off elements in page order; a list and its items are told apart from what else they hold."""
+        work: list[tuple[str, Element, int]] = [("any", container, 0)]
+        while work:
+            what, e, depth = work.pop()
+            more = self.list_parts(e, depth) if what == "list" else self.block(e, depth) if what == "any" else self.item(e, depth)
+            work += reversed(more)
+
+    def block(self, e: Element, depth: int) -> list[tuple[str, Element, int]]:
+        """Puts the block that an element is; gives what is still to be looked at inside it."""
         if skipped(e):
-            return
+            return []
         tag = e.tag
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             self.put("heading", flat(text_of(e)), level=int(tag[1]))
@@ -386,31 +438,32 @@ class Walker:
         elif tag in ("figcaption", "caption"):
             self.put("caption", flat(text_of(e)))
         elif tag in ("ul", "ol"):
-            self.list(e, depth)
+            return [("list", e, depth)]
         elif tag == "img":
             self.image(e)
         elif tag == "hr":
             self.put("divider")
+        elif tag == "table" and (t := table_of(e)) and not is_layout(e, t):
+            self.put("table", tbl=t)
         else:
-            if tag == "table" and (t := table_of(e)) and not is_layout(e, t):
-                self.put("table", tbl=t)
-                return
             if tag != "table" and tag not in _INLINE:
                 self.put("paragraph", flat(inline_text(e)))
-            for c in e.elements():
-                self.walk(c, depth)
+            return [("any", c, depth) for c in e.elements()]
+        return []
 
-    def list(self, e: Element, depth: int) -> None:
+    def list_parts(self, e: Element, depth: int) -> list[tuple[str, Element, int]]:
+        out: list[tuple[str, Element, int]] = []
         for c in e.elements():
-            if c.tag != "li":
-                if c.tag in ("div", "ul", "ol"):
-                    self.walk(c, depth)
-                continue
-            if not skipped(c):
-                self.put("list_item", flat(text_of(c, frozenset(("ul", "ol")))), ordered=e.tag == "ol", depth=depth)
-            for sub in c.elements():
-                if sub.tag in ("ul", "ol"):
-                    self.list(sub, depth + 1)
+            if c.tag == "li":
+                out += [("item", c, depth), *(("list", sub, depth + 1) for sub in c.elements() if sub.tag in ("ul", "ol"))]
+            elif c.tag in ("div", "ul", "ol"):
+                out.append(("any", c, depth))
+        return out
+
+    def item(self, e: Element, depth: int) -> list[tuple[str, Element, int]]:
+        if not skipped(e):
+            self.put("list_item", flat(text_of(e, frozenset(("ul", "ol")))), ordered=e.parent.tag == "ol", depth=depth)
+        return []
 
 
 def repeats_title(text: str, title: str) -> bool:
@@ -453,7 +506,7 @@ def extract_article(source: str | None, base: str | None, least: int = K.MIN_TEX
     walker = Walker(base or "")
     walker.walk(container)
     blocks = tidy(walker.out, out["title"])
-    return out | {"container": container.tag, "blocks": blocks, "images": walker.images} | ({} if blocks else {"status": "no_blocks", "images": []})
+    return out | {"container": container.tag, "blocks": blocks, "images": list(walker.images)} | ({} if blocks else {"status": "no_blocks", "images": []})
 
 
 def extract_articles(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "url"), min_text_len: int = K.MIN_TEXT_LENGTH) -> DataFrame:

@@ -114,3 +114,9 @@ PALETTES = {
 }
 AUTO_CODE_THEME = {"light": "github-light", "dark": "dark-on-page", "sepia": "sepia"}
 CODE_THEME_ALIASES = {"github": "github-light", "solarized": "solarized-light"}
+
+# Font sizes (pt) of headings by level and of other kinds of blocks, and the
+# characters that page furniture uses.
+HEADING_SIZES = (17.0, 15.0, 13.0, 12.0)
+FONT_SIZES = {"code": 9.0, "table": 9.0, "caption": 8.0}
+INTERFACE_TEXT = "Sayfa 0123456789 · kod devamı │ » • [görsel ağ: ] / . -"

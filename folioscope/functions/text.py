@@ -1,7 +1,9 @@
 """Scalar functions as native columns: titles, addresses, names, chunks, colours, dates."""
 
-from __future__ import annotations
+import math
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,12 +95,10 @@ def normalize_language(s: Column) -> Column:
 
 
 def parse_ranges(s: Column) -> Column:
-    """Line numbers named by "2, 5-7": one-based, in order, invalid and reversed ranges left out."""
-    parts = F.filter(F.split(s, "[, ]"), lambda p: p.rlike(r"^\d{1,9}(?:-\d{1,9})?$"))
-    first = lambda p: F.substring_index(p, "-", 1).cast("int")
-    last = lambda p: F.substring_index(p, "-", -1).cast("int")
-    good = F.filter(parts, lambda p: (first(p) > 0) & (last(p) >= first(p)))
-    return F.flatten(F.transform(good, lambda p: F.sequence(first(p), last(p))))
+    """Line ranges named by "2, 5-7" as (first, last): one-based, in order, invalid, zero and reversed ones left out."""
+    parts = F.filter(F.split(s, "[, ]"), lambda p: p.rlike(r"^[0-9]{1,18}(?:-[0-9]{1,18})?$"))
+    pair = lambda p: F.struct(F.substring_index(p, "-", 1).cast("long").alias("first"), F.substring_index(p, "-", -1).cast("long").alias("last"))
+    return F.filter(F.transform(parts, pair), lambda r: (r["first"] > 0) & (r["last"] >= r["first"]))
 
 
 def best_srcset(s: Column) -> Column:
@@ -139,15 +139,77 @@ def sniff_format(body: Column) -> Column:
 
 
 def image_size(body: Column) -> Column:
-    """(width, height) from the header of a PNG, GIF or JPEG; null where it cannot be read."""
-    number = lambda at, n: F.conv(F.hex(F.substring(body, at, n)), 16, 10).cast("int")
-    little = lambda at: number(at, 1) + number(at + 1, 1) * 256
-    frame = F.instr(F.regexp_replace(F.hex(body), "(..)", "$1 "), "FF C0 ")
-    at = ((frame - 1) / 3).cast("int") + 1
-    big = lambda o: F.conv(F.hex(F.substring(body, at + o, F.lit(2))), 16, 10).cast("int")
-    kind = sniff_format(body)
-    pair = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
-    return F.when((kind == "png") & (F.length(body) >= 24), pair(number(17, 4), number(21, 4))).when((kind == "gif") & (F.length(body) >= 10), pair(little(7), little(9))).when((kind == "jpeg") & (frame > 0), pair(big(7), big(5)))
+    """(width, height) from the header of a PNG, GIF, JPEG, WebP or SVG; null where it cannot be read."""
+    return F.pandas_udf(_sizes, "width int, height int")(body)
+
+
+def pixel_size(body: bytes | None) -> tuple[int, int] | None:
+    """Width and height by the format's own header; an SVG's by its size or view box."""
+    b = bytes(body or b"")
+    number = lambda at, n, order="big": int.from_bytes(b[at : at + n], order)
+    if b.startswith(b"\x89PNG\r\n\x1a\n"):
+        return (number(16, 4), number(20, 4)) if len(b) >= 24 else None
+    if b[:6] in (b"GIF87a", b"GIF89a"):
+        return (number(6, 2, "little"), number(8, 2, "little")) if len(b) >= 10 else None
+    if b.startswith(b"\xff\xd8"):
+        return _jpeg_size(b)
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+        kind = b[12:16]
+        if kind == b"VP8X" and len(b) >= 30:
+            return 1 + number(24, 3, "little"), 1 + number(27, 3, "little")
+        if kind == b"VP8L" and len(b) >= 25 and b[20] == 0x2F:
+            bits = number(21, 4, "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 " and len(b) >= 30 and b[23:26] == b"\x9d\x01\x2a":
+            return number(26, 2, "little") & 0x3FFF, number(28, 2, "little") & 0x3FFF
+        return None
+    return _svg_size(b)
+
+
+def _jpeg_size(b: bytes) -> tuple[int, int] | None:
+    """Segments from the header on, up to the first frame (of any kind); thumbnails inside segments are passed over."""
+    at = 2
+    while at + 9 <= len(b):
+        if b[at] != 0xFF:
+            return None
+        marker = b[at + 1]
+        if marker == 0xFF:  # a fill byte
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD8:
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+        elif marker in (0xD9, 0xDA):
+            return None
+        else:
+            at += 2 + max(2, int.from_bytes(b[at + 2 : at + 4], "big"))
+    return None
+
+
+_SVG = re.compile(rb"<svg\b([^>]*)>", re.S)
+_LENGTH = re.compile(rb"""(?:^|\s)(width|height|viewBox)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_PIXELS = {b"": 1.0, b"px": 1.0, b"pt": 96 / 72, b"pc": 16.0, b"in": 96.0, b"cm": 96 / 2.54, b"mm": 96 / 25.4}
+
+
+def _svg_size(b: bytes) -> tuple[int, int] | None:
+    root = _SVG.search(b)
+    if not root:
+        return None
+    found = {m[1]: (m[2] if m[2] is not None else m[3]).strip() for m in _LENGTH.finditer(root[1])}
+    box = [float(x) for x in re.split(rb"[\s,]+", found.get(b"viewBox", b"")) if re.fullmatch(rb"[-+]?[0-9]*\.?[0-9]+", x)]
+    own = []
+    for name, k in ((b"width", 2), (b"height", 3)):
+        m = re.fullmatch(rb"([0-9]*\.?[0-9]+)\s*([a-z]*)", found.get(name, b""))
+        if m and m[2] in _PIXELS:
+            own.append(float(m[1]) * _PIXELS[m[2]])
+        elif len(box) == 4:
+            own.append(box[k])
+    return (math.ceil(own[0]), math.ceil(own[1])) if len(own) == 2 and min(own) > 0 else None
+
+
+def _sizes(bodies: pd.Series) -> pd.DataFrame:
+    sizes = [pixel_size(b) or (None, None) for b in bodies]
+    return pd.DataFrame({"width": pd.array([w for w, _ in sizes], "Int32"), "height": pd.array([h for _, h in sizes], "Int32")})
 
 
 def fit_scale(w: Column, h: Column, max_w: Column, max_h: Column) -> Column:

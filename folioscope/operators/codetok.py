@@ -47,12 +47,15 @@ def _rules(lang: str) -> tuple[re.Pattern, frozenset, str]:
     return re.compile("|".join(re.sub(r"\n\s*", "", p) for p in parts), re.S), frozenset(words), flags
 
 
-def _kind(word: str, after: str, words: frozenset, flags: str) -> str:
+_CALLED = re.compile(r"[ \t]*+(?:\(|! *+\()")
+
+
+def _kind(word: str, code: str, end: int, words: frozenset, flags: str) -> str:
     if word in words or "nocase" in flags and word.lower() in words:
         return "keyword"
     if word[0] == "@" or "capital" in flags and word[0].isupper():
         return "type"
-    return "function" if re.match(r"[ \t]*(?:\(|! *\()", after) else "plain"
+    return "function" if _CALLED.match(code, end) else "plain"
 
 
 def _pieces(code: str, lang: str | None) -> Iterator[tuple[str, str]]:
@@ -60,7 +63,7 @@ def _pieces(code: str, lang: str | None) -> Iterator[tuple[str, str]]:
     for m in pattern.finditer(code):
         group, text = m.lastgroup, m[0]
         if group == "word":
-            yield text, _kind(text, code[m.end() : m.end() + 200], words, flags)
+            yield text, _kind(text, code, m.end(), words, flags)
         elif group == "tag":
             head = re.match(r"(<)(/?)([A-Za-z0-9\-_:.@#*$]*)", text)
             yield "<", "plain"
@@ -109,7 +112,23 @@ def code_tokens(blocks: DataFrame, *, keep: tuple[str, ...] = ("page_id", "pos")
     return narrow.mapInArrow(run, f"{kept}, line_no int, tok_no int, text string, kind string")
 
 
+def code_lines(blocks: DataFrame, *, keep: tuple[str, ...] = ("page_id", "pos")) -> DataFrame:
+    """The keys and ``lines``, an array of lines of tokens, in one row for each row with ``text`` and ``lang``."""
+    narrow = blocks.select(*keep, "text", "lang")
+    token = pa.list_(pa.list_(pa.struct([("text", pa.string()), ("kind", pa.string())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                made = [[[{"text": t, "kind": k} for t, k in line] for line in tokenize(c or "", x)] for c, x in zip(part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist())]
+                yield pa.record_batch([*part.columns[:-2], pa.array(made, token)], names=[*keep, "lines"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema[: len(keep)])
+    return narrow.mapInArrow(run, f"{kept}, lines array<array<struct<text:string,kind:string>>>")
+
+
 def token_styles(tokens: DataFrame, palette: DataFrame) -> DataFrame:
     """Tokens with their colour from a palette (role, colour); comments are italic."""
     role = F.when(F.col("kind") == "str", "string").otherwise(F.col("kind"))
-    return tokens.withColumn("role", role).join(F.broadcast(palette.limit(64)), "role", "left").withColumn("italic", F.col("kind") == "comment")
+    return tokens.withColumn("role", role).join(palette, "role", "left").withColumn("italic", F.col("kind") == "comment")

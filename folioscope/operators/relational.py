@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import constants as K
@@ -74,17 +75,25 @@ def outline(headings: DataFrame, key: str) -> DataFrame:
     The parent is the nearest heading before with a smaller level; descendants reach up to
     the next heading of the same or a smaller level.
     """
-    w = Window.partitionBy(key).orderBy("idx")
-    before = F.collect_list(F.struct("idx", "level")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(F.struct("idx", "level")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = headings.withColumn("_b", before).withColumn("_a", after).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    parent = F.try_element_at(F.filter("_b", lambda x: x["level"] < F.col("level")), F.lit(-1))["idx"]
-    end = F.coalesce(F.try_element_at(F.filter("_a", lambda x: x["level"] <= F.col("level")), F.lit(1))["idx"], F.col("_n"))
-    rows = rows.withColumn("parent_idx", parent).withColumn("n_descendants", (end - F.col("idx") - 1).cast("int")).drop("_a", "_b", "_n")
+    ahead, back = Window.partitionBy(key).orderBy("idx"), Window.partitionBy(key).orderBy(F.desc("idx"))
+    rest = F.count(F.lit(1)).over(Window.partitionBy(key))
+    # levels are six: the last (next) heading of each level is a running maximum (minimum)
+    seen = lambda fold, w, n: fold(F.when(F.col("level") == n, F.col("idx"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fits = lambda k, n, holds: F.when(holds, F.col(f"_{k}{n}"))
+    rows = headings.select("*", rest.alias("_n"), *(seen(F.max, ahead, n).alias(f"_b{n}") for n in range(1, 7)), *(seen(F.min, back, n).alias(f"_a{n}") for n in range(1, 7)))
+    parent = F.greatest(*(fits("b", n, F.col("level") > n) for n in range(1, 7)))
+    end = F.coalesce(F.least(*(fits("a", n, F.col("level") >= n) for n in range(1, 7))), F.col("_n"))
+    rows = rows.withColumn("parent_idx", parent).withColumn("n_descendants", (end - F.col("idx") - 1).cast("int")).drop("_n", *(f"_{k}{n}" for k in "ab" for n in range(1, 7)))
     s = Window.partitionBy(key, "parent_idx").orderBy("idx")
     return rows.withColumn("prev_idx", F.lag("idx").over(s)).withColumn("next_idx", F.lead("idx").over(s))
 
 
+def outline_roots(tree: DataFrame, key: str) -> DataFrame:
+    """Of each outline its roots, and the count written at its top: roots and all their descendants."""
+    roots = tree.filter("parent_idx IS NULL")
+    return roots.groupBy(key).agg(F.count(F.lit(1)).alias("n_roots"), F.sum(F.col("n_descendants") + 1).alias("n_entries"))
+
+
 def column_weights(tables: DataFrame, key: str) -> DataFrame:
     """Weight 1 to 3 of each table column: mean cell length over 20, header cells included."""
     lines = F.concat(F.when(F.size("tbl.header") > 0, F.array("tbl.header")).otherwise(F.array().cast("array<array<string>>")), F.col("tbl.rows"))
@@ -96,6 +105,11 @@ def column_weights(tables: DataFrame, key: str) -> DataFrame:
 # ---- characters
 
 
+def interface_charset(spark: SparkSession) -> DataFrame:
+    """Characters that page furniture may use whatever a document holds."""
+    return spark.createDataFrame([(c,) for c in sorted(set(K.INTERFACE_TEXT))], "ch string")
+
+
 def charset(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Distinct characters of each text."""
     return rows.select(key, F.explode(F.array_distinct(F.split(F.col(text), ""))).alias("ch")).filter("ch <> ''")
@@ -111,18 +125,18 @@ def missing_glyphs(chars: DataFrame, coverage: DataFrame) -> DataFrame:
     return chars.filter(needs_glyph(F.col("ch"))).join(coverage.select("ch"), "ch", "left_anti")
 
 
-def coverage_runs(rows: DataFrame, key: str, covered: Column, text: str = "text") -> DataFrame:
+def coverage_runs(rows: DataFrame, key: str, covered: str, text: str = "text") -> DataFrame:
     """Maximal runs of characters that do, or do not, need the fallback font.
 
-    covered: a condition on the column ``ch``.  Gaps and islands over the characters of a
-    row; the text of a run is put together inside its group.
+    covered: the inside of a character class, of what the main font has.  A pattern cuts
+    each row into its runs; only runs, not characters, are put in order.
     """
-    chars = rows.select(key, F.posexplode(F.filter(F.split(F.col(text), ""), lambda c: c != "")).alias("at", "ch"))
-    chars = chars.withColumn("needs_fallback", needs_glyph(F.col("ch")) & ~covered)
-    w = Window.partitionBy(key)
-    group = F.row_number().over(w.orderBy("at")) - F.row_number().over(Window.partitionBy(key, "needs_fallback").orderBy("at"))
-    runs = chars.withColumn("g", group).groupBy(key, "needs_fallback", "g").agg(F.min("at").alias("at"), F.count(F.lit(1)).cast("int").alias("n_chars"))
-    return runs.select(key, F.row_number().over(w.orderBy("at")).cast("int").alias("run"), "needs_fallback", F.col("at").cast("int").alias("start"), "n_chars")
+    falls = rf"[^{covered}\s\p{{Cntrl}}{T.INVISIBLE[1:-1]}]"
+    keeps = rf"[{covered}\s\p{{Cntrl}}{T.INVISIBLE[1:-1]}]"
+    runs = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(rf"(?U)(?:{falls})++|(?:{keeps})++"), F.lit(0))).alias("at", "run_text"))
+    w = Window.partitionBy(key).orderBy("at")
+    start = F.coalesce(F.sum(F.length("run_text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return runs.select(key, (F.col("at") + 1).alias("run"), F.rlike(F.substring("run_text", 1, 1), F.lit(rf"(?U)^{falls}")).alias("needs_fallback"), start.cast("int").alias("start"), F.length("run_text").alias("n_chars"))
 
 
 # ---- filter rules
@@ -151,7 +165,20 @@ def host_suffixes(url: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")))
 
 
-MAX_TEXT_RULES = 20_000
+MAX_TEXT_RULES = 500
+
+
+#: Characters by which longer substring rules meet addresses.
+GRAM = 6
+
+
+def _contained(keys: DataFrame, residue: DataFrame, url: str) -> DataFrame:
+    """Addresses that hold a pattern, by an equi-join: a pattern's last characters are among an address's grams."""
+    sizes = [r[0] for r in residue.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()]
+    low = F.lower(F.col(url))
+    grams = F.concat(*(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda k, n=n: F.substring(low, k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes or [1]))
+    cut = residue.withColumn("gram", F.right("pattern", F.least(F.length("pattern"), F.lit(GRAM))))
+    return keys.select(url, F.explode(F.array_distinct(grams)).alias("gram")).join(cut, "gram").filter(low.contains(F.col("pattern"))).select(url)
 
 
 def _hits(requests: DataFrame, rules: DataFrame, url: str, resource: str) -> DataFrame:
@@ -160,9 +187,9 @@ def _hits(requests: DataFrame, rules: DataFrame, url: str, resource: str) -> Dat
     keys = requests.select(url).distinct()
     by_host = keys.select(url, F.explode(host_suffixes(F.col(url))).alias("pattern")).join(fitting.filter("kind = 'host'").select("pattern").distinct(), "pattern").select(url)
     # substring rules are a small residue; they are broadcast only while they number at most MAX_TEXT_RULES
-    residue = fitting.filter("kind = 'text'").select("pattern").distinct()
+    residue = fitting.filter("kind = 'text' AND pattern <> ''").select("pattern").distinct()
     few = residue.limit(MAX_TEXT_RULES + 1).count() <= MAX_TEXT_RULES
-    by_text = keys.join(F.broadcast(residue) if few else residue, F.lower(url).contains(F.col("pattern"))).select(url)
+    by_text = keys.join(F.broadcast(residue), F.lower(url).contains(F.col("pattern"))).select(url) if few else _contained(keys, residue, url)
     return by_host.union(by_text).distinct()
 
 
@@ -196,44 +223,135 @@ def with_outcome(blocks: DataFrame, outcomes: DataFrame) -> DataFrame:
     return blocks.join(known, F.col("img_url") == F.col("_u"), "left").drop("_u").withColumn("reason", F.when(F.col("outcome").isNull(), "network").otherwise(F.col("reason"))).withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
 
 
+def prefetch_urls(blocks: DataFrame) -> DataFrame:
+    """Addresses to fetch: each once, none empty, in order."""
+    return blocks.filter("img_url <> ''").select("img_url").distinct().orderBy("img_url")
+
+
+def image_counters(blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Of image blocks with their outcome: loaded, skipped, failed, and loaded drawings (which are rasterized)."""
+    is_ = lambda what: F.col("outcome") == what
+    return blocks.groupBy(key).agg(*(F.count_if(is_(k)).alias(k) for k in ("loaded", "skipped", "failed")), F.count_if(is_("loaded") & (F.col("format") == "svg")).alias("rasterized"))
+
+
 # ---- layout
 
 
+def block_styles(blocks: DataFrame) -> DataFrame:
+    """Blocks with their font size (pt), whether their font is monospaced, bold or italic, and whether they make a bookmark."""
+    kind, level = F.col("kind"), F.col("level")
+    size = F.when(kind == "heading", F.element_at(F.array(*map(F.lit, K.HEADING_SIZES)), F.least(level, F.lit(len(K.HEADING_SIZES)))))
+    for k, pt in K.FONT_SIZES.items():
+        size = size.when(kind == k, F.lit(pt))
+    return blocks.withColumns({"font_pt": size, "mono": kind == "code", "bold": kind == "heading", "italic": kind.isin("quote", "caption"), "bookmark": kind == "heading"})
+
+
+def heading_placed(blocks: DataFrame) -> DataFrame:
+    """Headings that stand on a page: with some height, or with nothing left to render."""
+    return blocks.withColumn("placed", (F.col("height_mm") > 0) | ~F.col("has_more"))
+
+
+def copy_texts(lines: DataFrame) -> DataFrame:
+    """Visual lines with what a reader copies: no line numbers, continuation marks or badges."""
+    return lines.withColumn("copy_text", F.col("text")).withColumn("shown_text", F.concat("marker", "text"))
+
+
+def kind_runs(chars: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Neighbouring pieces of a line that are of one kind as one (keys, tok_no, kind, text)."""
+    w = Window.partitionBy(*key).orderBy("tok_no")
+    group = F.sum((F.coalesce(F.lag("kind").over(w), F.lit("")) != F.col("kind")).cast("int")).over(w)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "text"))), lambda x: x["text"]), "")
+    return chars.withColumn("_g", group).groupBy(*key, "_g").agg(F.min("tok_no").alias("tok_no"), F.first("kind").alias("kind"), text.alias("text")).drop("_g")
+
+
+def page_items(placed: DataFrame, pages: DataFrame, key: str = "page_no") -> DataFrame:
+    """Boxes and bands with the object of the page that they are painted on."""
+    return placed.join(pages, key)
+
+
+def font_families(chars: DataFrame, covered: DataFrame, blocks: DataFrame, key: str = "page_id") -> DataFrame:
+    """Which fonts a document takes: sans always, mono with code, the fallback where a drawn character is uncovered."""
+    missing = missing_glyphs(chars, covered).groupBy(key).agg(F.count(F.lit(1)).alias("n_missing"))
+    mono = blocks.groupBy(key).agg(F.bool_or(F.col("kind") == "code").alias("mono"))
+    return mono.join(missing, key, "left").select(key, F.lit(True).alias("sans"), "mono", (F.coalesce("n_missing", F.lit(0)) > 0).alias("fallback"))
+
+
+def missing_union(chars: DataFrame, *coverages: DataFrame) -> DataFrame:
+    """Drawn characters that any of several fonts lacks, each once."""
+    out = missing_glyphs(chars, coverages[0])
+    for c in coverages[1:]:
+        out = out.union(missing_glyphs(chars, c))
+    return out.distinct()
+
+
+def page_end(starts: list[int], total: int, at: int, room: int) -> int:
+    """Where the page ends that begins with line ``at`` and has room for so many lines.
+
+    starts: the first line of each unit (a source line with its wraps), in order.  Pages end
+    between units; a unit longer than a page is cut.  If a single line would be left for the
+    next page, the last unit here goes with it, as long as another one stays.
+    """
+    limit = at + max(room, 0)
+    if limit >= total:
+        return total
+    end = starts[bisect_right(starts, limit) - 1]
+    if end <= at:
+        end = limit
+    if total - end == 1 and end - at > 1:
+        last = starts[bisect_left(starts, end) - 1]
+        end = last if last > at else end
+    return end
+
+
+def unit_starts(units: list[int]) -> list[int]:
+    return [k for k, u in enumerate(units) if not k or units[k - 1] != u]
+
+
 def page_lines(units: list[int], at: int, available: float, height: float) -> int:
-    """How many lines from ``at`` fit: whole units, an over-long one cut, no single line left over."""
+    """How many lines from ``at`` fit on a page; units: the unit of each line."""
     if at >= len(units) or height <= 0:
         return 0
-    room = max(0, int(available // height))
-    ends = [k for k in range(at + 1, len(units) + 1) if k == len(units) or units[k] != units[k - 1]]
-    fitting = [k for k in ends if k - at <= room]
-    stop = fitting[-1] if fitting else at + (room if ends[0] - at > room else 0)
-    if len(units) - stop == 1 and stop - at > 1:
-        first = stop - 1
-        while first > at and units[first - 1] == units[stop - 1]:
-            first -= 1
-        stop = first if first > at else stop
-    return stop - at
+    return page_end(unit_starts(units), len(units), at, int(available // height)) - at
 
 
 def paginate(lines: DataFrame, key: str, *, first_mm: float, page_mm: float, line_mm: float) -> DataFrame:
-    """(key, vline_no, unit) with the page each line of a code block is on; blocks move on whole if they can."""
+    """(key, vline_no, unit) with page and offset of each line of a code block; blocks move on whole if they can."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vline_no")
-        units = rows["unit"].tolist()
-        height = len(units) * line_mm
-        moves = height > first_mm + 0.5 and height <= page_mm - 1
-        at, page, room, pages = 0, int(moves), page_mm if moves else first_mm, []
-        while at < len(units):
-            n = page_lines(units, at, room, line_mm)
-            if n == 0 and room >= page_mm:
-                n = 1
-            pages += [page] * n
-            at, page, room = at + n, page + 1, page_mm
-        return rows.assign(page_no=pages)
+        starts, total = unit_starts(rows["unit"].tolist()), len(rows)
+        moves = total * line_mm > first_mm + 0.5 and total * line_mm <= page_mm - 1
+        at, page, room, pages, tops = 0, int(moves), page_mm if moves else first_mm, [], []
+        while at < total:
+            end = page_end(starts, total, at, int(room // line_mm))
+            if end == at and room >= page_mm:
+                end = at + 1
+            pages += [page] * (end - at)
+            tops += [(k + (page_mm - room) / line_mm) * line_mm for k in range(end - at)]
+            at, page, room = end, page + 1, page_mm
+        return rows.assign(page_no=pages, y_mm=tops)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema)
-    return lines.groupBy(key).applyInPandas(run, f"{kept}, page_no int")
+    return lines.groupBy(key).applyInPandas(run, f"{kept}, page_no int, y_mm double")
+
+
+def code_boxes(placed: DataFrame, key: str, *, line_mm: float) -> DataFrame:
+    """The box behind a code block on each of its pages, and on which pages it goes on from the one before."""
+    per_page = placed.groupBy(key, "page_no").agg(F.min("y_mm").alias("top_mm"), (F.max("y_mm") + line_mm).alias("bottom_mm"), F.count(F.lit(1)).alias("n_lines"), F.min("vline_no").alias("first_line"))
+    return per_page.withColumn("continued", F.min("page_no").over(Window.partitionBy(key)) < F.col("page_no"))
+
+
+def code_splits(boxes: DataFrame, key: str) -> DataFrame:
+    """How often a block is broken by the end of a page."""
+    return boxes.groupBy(key).agg(F.count_if("continued").alias("code_splits"))
+
+
+def highlight_bands(placed: DataFrame, key: str, *, line_mm: float) -> DataFrame:
+    """Bands behind neighbouring highlighted lines of a page, each from the first line's top to the last one's bottom."""
+    lit = placed.filter("highlighted")
+    w = Window.partitionBy(key, "page_no").orderBy("vline_no")
+    run = lit.withColumn("_g", F.col("vline_no") - F.row_number().over(w))
+    return run.groupBy(key, "page_no", "_g").agg(F.min("y_mm").alias("top_mm"), (F.max("y_mm") + line_mm).alias("bottom_mm"), F.count(F.lit(1)).alias("n_lines")).drop("_g")
 
 
 def visual_lines(blocks: DataFrame, key: tuple[str, ...], *, columns: int, numbers: bool = True) -> DataFrame:
@@ -268,8 +386,41 @@ def translate_jobs(jobs: DataFrame, translate: Callable[[Column], Column], *, mo
     return rows.withColumn("translated", done).drop("_p", "_c")
 
 
-def write_back(blocks: DataFrame, jobs: DataFrame, key: str = "page_id") -> DataFrame:
-    """Text blocks with their translation in place of their text."""
-    done = jobs.filter("row IS NULL").select(key, "pos", "translated")
-    return blocks.join(done, [key, "pos"], "left").withColumn("text", F.coalesce("translated", "text")).drop("translated")
+def title_jobs(articles: DataFrame, key: str = "page_id") -> DataFrame:
+    """A job for the title of each article, in the form of the others (pos -1)."""
+    none = F.lit(None).cast("int")
+    return articles.select(key, F.lit(-1).alias("pos"), F.lit("title").alias("kind"), none.alias("row"), none.alias("col"), F.col("title").alias("text"))
 
+
+def write_back(blocks: DataFrame, jobs: DataFrame, key: str = "page_id") -> DataFrame:
+    """Blocks with their translation in place of their text and, by row and column, of their table cells."""
+    texts = jobs.filter("row IS NULL AND pos >= 0").select(key, "pos", "translated")
+    inner = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    cells = jobs.filter("row IS NOT NULL").groupBy(key, "pos", "row").agg(inner("col", "translated").alias("cells"))
+    tables = cells.groupBy(key, "pos").agg(F.coalesce(F.first(F.when(F.col("row") == 0, F.col("cells")), True), F.array().cast("array<string>")).alias("_header"), F.transform(F.array_sort(F.collect_list(F.when(F.col("row") > 0, F.struct("row", "cells")))), lambda x: x["cells"]).alias("_rows"))
+    out = blocks.join(texts, [key, "pos"], "left").withColumn("text", F.coalesce("translated", "text")).drop("translated")
+    if "tbl" not in blocks.columns:
+        return out
+    out = out.join(tables, [key, "pos"], "left")
+    table = F.when(F.col("_rows").isNotNull(), F.struct(F.col("_header").alias("header"), F.col("_rows").alias("rows"), F.col("tbl.columns").alias("columns"))).otherwise(F.col("tbl"))
+    return out.withColumn("tbl", table).drop("_header", "_rows")
+
+
+def translate_text(text: Column, translate: Callable[[Column], Column], most: int = 3000) -> Column:
+    """One text: protected pieces masked, chunks translated by a column over each, put together and restored, or left."""
+    masked = T.protect(text)
+    done = T.restore(F.array_join(F.transform(T.chunk_text(masked["masked"], most), translate), " "), masked["parts"])
+    return F.when(F.trim(text) == "", text).otherwise(F.coalesce(done, text))
+
+
+def translate_blocks(articles: DataFrame, translate: Callable[[Column], Column], *, most: int = 3000) -> DataFrame:
+    """Articles with title, block texts and table cells translated in place, without a join."""
+    one = lambda t: translate_text(t, translate, most)
+    worded = lambda b: b["kind"].isin("paragraph", "heading", "caption", "quote", "list_item")
+    cells = lambda a: F.transform(a, one)
+
+    def block(b: Column) -> Column:
+        table = F.when(b["tbl"].isNotNull(), F.struct(cells(b["tbl"]["header"]).alias("header"), F.transform(b["tbl"]["rows"], cells).alias("rows"), b["tbl"]["columns"].alias("columns")))
+        return b.withField("text", F.when(worded(b), one(b["text"])).otherwise(b["text"])).withField("tbl", table)
+
+    return articles.withColumns({"title": one(F.col("title")), "blocks": F.transform("blocks", block)})

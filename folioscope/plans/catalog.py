@@ -6,6 +6,7 @@ are markup or bytes put around table values, so the expected rows are SQL over t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -127,7 +128,8 @@ def extraction_run(spark, sf_dir):
 )
 def render_summary(spark, sf_dir):
     blocks = _articles(spark, sf_dir).select("page_id", "url", F.explode("blocks").alias("b"))
-    glyphs = F.size(F.array_distinct(F.flatten(F.collect_list(F.split("b.text", ""))))).cast("long")
+    # distinct characters of a block first, so a page gathers alphabets, not texts
+    glyphs = F.size(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.split("b.text", ""))))))).cast("long")
     return blocks.groupBy("page_id", T.host(F.col("url")).alias("author"), T.output_name(F.col("url")).alias("output_name")).agg(
         F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("b.kind") == "heading").alias("n_bookmarks"), F.bool_or(F.col("b.kind") == "code").alias("needs_mono"), F.count_if(F.col("b.kind") == "image").alias("n_images"), glyphs.alias("n_glyphs")
     )
@@ -155,15 +157,14 @@ def missing_glyphs_top12(spark, sf_dir):
 
 
 @query(
-    f"""WITH c AS (SELECT conv_id * 1000 + turn AS k, unnest(range(1, length(text) + 1)) AS place, text FROM conversations),
-        d AS (SELECT k, place - 1 AS place, {_MISSING} AS f FROM (SELECT k, place, text[place] AS ch FROM c)),
-        g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY place) - row_number() OVER (PARTITION BY k, f ORDER BY place) AS g FROM d),
-        r AS (SELECT k, f, min(place) AS s, count(*) AS n FROM g GROUP BY k, f, g)
-        SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY s) AS INTEGER) AS run, f AS needs_fallback, CAST(s AS INTEGER) AS start, CAST(n AS INTEGER) AS n_chars FROM r"""
+    f"""WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS place, text FROM documents),
+        d AS (SELECT doc_id, place - 1 AS place, {_MISSING} AS f FROM (SELECT doc_id, place, text[place] AS ch FROM c)),
+        g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - row_number() OVER (PARTITION BY doc_id, f ORDER BY place) AS g FROM d),
+        r AS (SELECT doc_id, f, min(place) AS s, count(*) AS n FROM g GROUP BY doc_id, f, g)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) AS INTEGER) AS run, f AS needs_fallback, CAST(s AS INTEGER) AS start, CAST(n AS INTEGER) AS n_chars FROM r"""
 )
 def coverage_runs(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text")
-    return relational.coverage_runs(rows, "k", F.col("ch").rlike("^[\\x21-\\x7E]$"))
+    return relational.coverage_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", r"\x21-\x7E")
 
 
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}]')) AS INTEGER) AS n_invisible FROM documents")
@@ -190,9 +191,17 @@ def visual_chunks(spark, sf_dir):
     return lines.select("doc_id", "line_no", F.posexplode(T.visual_chunks(F.col("line"), F.lit(55), F.lit(53))).alias("part", "text"))
 
 
-@query()
+@query(
+    r"""WITH w AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
+        f AS (SELECT doc_id, text, list_reduce(list_transform(ws, lambda x: [x]), lambda acc, x:
+                CASE WHEN length(x[1]) > 400 THEN acc[:-2] || CASE WHEN acc[-1] <> '' THEN [acc[-1]] ELSE [] END || list_transform(range(1, length(x[1]) + 1, 400), lambda k: substr(x[1], k, 400)) || ['']
+                     WHEN length(acc[-1]) + length(x[1]) + 1 > 400 THEN acc || x
+                     ELSE acc[:-2] || [CASE WHEN acc[-1] <> '' THEN acc[-1] || ' ' || x[1] ELSE x[1] END] END, ['']) AS c FROM w),
+        g AS (SELECT doc_id, CASE WHEN length(text) <= 400 THEN [text] WHEN c[-1] = '' THEN c[:-2] ELSE c END AS c FROM f)
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS no, CAST(length(c[i]) AS INTEGER) AS n_chars, sha256(c[i]) AS sha FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM g)"""
+)
 def text_chunks(spark, sf_dir):
-    """Pieces of at most 400 characters; tested against a plain version, as SQL has no running state."""
+    """Pieces of at most 400 characters."""
     rows = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunk_text(F.col("text"), 400)).alias("no", "chunk"))
     return rows.select("doc_id", "no", F.length("chunk").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
 
@@ -313,26 +322,54 @@ def image_collapse(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'png' WHEN 3 THEN 'jpeg' ELSE 'png' END AS format,
-       CASE WHEN p_partkey % 5 < 2 OR p_partkey % 5 = 3 THEN p_size ELSE 0 END AS width_px, CASE WHEN p_partkey % 5 < 2 OR p_partkey % 5 = 3 THEN p_size + 7 ELSE 0 END AS height_px,
-       CASE WHEN p_partkey % 5 = 2 THEN 'failed' WHEN p_partkey % 5 = 4 THEN 'failed' WHEN p_size < 24 THEN 'skipped' ELSE 'loaded' END AS outcome,
-       CASE p_partkey % 5 WHEN 2 THEN 'network' WHEN 4 THEN 'decode' END AS reason FROM part"""
+    """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'png' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'png' WHEN 5 THEN 'webp' WHEN 6 THEN 'jpeg' ELSE 'svg' END AS format,
+       CASE WHEN p_partkey % 8 NOT IN (2, 4) THEN p_size ELSE 0 END AS width_px, CASE WHEN p_partkey % 8 NOT IN (2, 4) THEN p_size + 7 ELSE 0 END AS height_px,
+       CASE WHEN p_partkey % 8 IN (2, 4) THEN 'failed' WHEN p_size < 24 THEN 'skipped' ELSE 'loaded' END AS outcome,
+       CASE p_partkey % 8 WHEN 2 THEN 'network' WHEN 4 THEN 'decode' END AS reason FROM part"""
 )
 def image_outcome(spark, sf_dir):
+    """Headers of every format; the JPEGs have a thumbnail's frame inside a segment, and one is progressive."""
+    return _image_outcomes(spark, sf_dir).select("p_partkey", "format", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width_px", "height_px")), "outcome", "reason")
+
+
+def _image_outcomes(spark, sf_dir) -> DataFrame:
     hex4 = lambda c: F.lpad(F.hex(c), 8, "0")
     hex2 = lambda c: F.lpad(F.hex(c), 4, "0")
     little = lambda c: F.concat(F.substring(hex2(c), 3, 2), F.substring(hex2(c), 1, 2))
-    w, h, k = F.col("p_size").cast("long"), (F.col("p_size") + 7).cast("long"), F.col("p_partkey") % 5
+    w, h, k = F.col("p_size").cast("long"), (F.col("p_size") + 7).cast("long"), F.col("p_partkey") % 8
+    thumbnail = "FFE1000DFFD8FFC000110800010001"  # a segment of 13 bytes that holds another frame
+    jpeg = lambda frame: F.concat(F.lit(f"FFD8FFE000074A46494600{thumbnail}FF{frame}001108"), hex2(h), hex2(w), F.lit("03"))
     body = (
         F.when(k == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex4(w), hex4(h), F.lit("0806")))
         .when(k == 1, F.concat(F.lit("474946383961"), little(w), little(h), F.lit("F700")))
         .when(k == 2, F.lit(""))
-        .when(k == 3, F.concat(F.lit("FFD8FFE000104A46494600FFC0001108"), hex2(h), hex2(w), F.lit("03")))
+        .when(k == 3, jpeg("C0"))
+        .when(k == 5, F.concat(F.lit("524946461600000057454250565038580A00000000000000"), little(w - 1), F.lit("00"), little(h - 1), F.lit("00")))
+        .when(k == 6, jpeg("C2"))
+        .when(k == 7, F.hex(F.concat(F.lit('<?xml version="1.0"?><svg viewBox="0 0 9 9" width="'), w.cast("string"), F.lit('px" height="'), h.cast("string"), F.lit('"></svg>'))))
         .otherwise(F.lit("00010203"))
     )
     kind = F.when(k == 1, "image/gif").when(k == 0, "image/png")
-    rows = read_table(spark, sf_dir, "part").select("p_partkey", F.lit("https://img.example/x").alias("url"), kind.alias("content_type"), F.unhex(body).alias("body"))
-    return relational.image_outcomes(rows).select("p_partkey", "format", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("width_px", "height_px")), "outcome", "reason")
+    rows = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat(F.lit("https://img.example/"), F.col("p_partkey").cast("string")).alias("url"), kind.alias("content_type"), F.unhex(body).alias("body"))
+    return relational.image_outcomes(rows)
+
+
+@query(
+    """SELECT p_brand, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size >= 24) AS loaded, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size < 24) AS skipped,
+       count(*) FILTER (p_partkey % 8 IN (2, 4) OR p_partkey % 9 = 0) AS failed, count(*) FILTER (p_partkey % 8 = 7 AND p_partkey % 9 <> 0 AND p_size >= 24) AS rasterized FROM part GROUP BY p_brand"""
+)
+def image_counts(spark, sf_dir):
+    """Outcomes of image blocks, counted; one without a response has failed."""
+    known = _image_outcomes(spark, sf_dir)
+    blocks = known.select("p_brand", F.col("url").alias("img_url"), F.col("format").alias("own"))
+    told = relational.with_outcome(blocks, known.filter("p_partkey % 9 <> 0"))
+    return relational.image_counters(told.withColumnRenamed("own", "format"), "p_brand")
+
+
+@query("SELECT DISTINCT 'https://img.example/' || p_size AS img_url FROM part WHERE p_size % 4 <> 0")
+def prefetch_list(spark, sf_dir):
+    urls = F.when(F.col("p_size") % 4 != 0, F.concat(F.lit("https://img.example/"), F.col("p_size").cast("string"))).otherwise(F.lit(""))
+    return relational.prefetch_urls(read_table(spark, sf_dir, "part").select(urls.alias("img_url")))
 
 
 @query(
@@ -404,15 +441,10 @@ def token_kind_counts(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS n_chars, sha256(text) AS sha FROM documents")
 def token_round_trip(spark, sf_dir):
-    """Tokens of every document, put together again."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), "text", F.lit(None).cast("string").alias("lang"))
-    tokens = codetok.code_tokens(docs, keep=("doc_id",))
-    lines = tokens.groupBy("doc_id", "line_no").agg(_joined(F.col("text"), F.col("tok_no")).alias("line"))
-    # empty lines have no tokens: their places come from the line numbers
-    texts = lines.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("m"), F.max("line_no").alias("last"))
-    rest = docs.select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), "\n")
-    return rest.join(texts, "doc_id", "left").select("doc_id", F.length(whole).cast("long").alias("n_chars"), F.sha2(whole, 256).alias("sha"))
+    """Tokens of every document, put together again: one row of lines of tokens each, folded where it is."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    whole = F.array_join(F.transform("lines", lambda line: F.array_join(F.transform(line, lambda t: t["text"]), "")), "\n")
+    return codetok.code_lines(docs, keep=("doc_id",)).select("doc_id", whole.alias("whole")).select("doc_id", F.length("whole").cast("long").alias("n_chars"), F.sha2("whole", 256).alias("sha"))
 
 
 _MARKER_ROWS = ", ".join(f"({i}, '{m}')" for i, m in enumerate(K.BOILERPLATE_MARKERS))
@@ -458,10 +490,25 @@ def protect_restore(spark, sf_dir):
 
 @query(f"WITH {_PAGE_SQL} SELECT page_id, pos, kind, lower(text) AS text FROM blocks")
 def translate_roundtrip(spark, sf_dir):
-    """Blocks to jobs, a lower-casing translator, and back into the blocks."""
-    blocks = extract.explode_blocks(_articles(spark, sf_dir))
-    jobs = relational.translate_jobs(relational.translation_jobs(blocks), F.lower, most=100_000)
-    return relational.write_back(blocks, jobs).select("page_id", "pos", "kind", "text")
+    """Titles and blocks through a lower-casing translator, chunk by chunk, in place."""
+    done = relational.translate_blocks(_articles(spark, sf_dir), F.lower)
+    return extract.explode_blocks(done).select("page_id", "pos", "kind", "text")
+
+
+@query(
+    """SELECT CAST(n_regionkey AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS row_no, lower(n_name) AS name, n_nationkey || ' key' AS code, 'nation|key' AS header,
+       lower(r_name) AS title FROM nation JOIN region ON r_regionkey = n_regionkey"""
+)
+def translate_tables(spark, sf_dir):
+    """Title and table cells as jobs, translated, and joined back by row and column."""
+    pages = _nation_tables(spark, sf_dir).join(read_table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("page_id"), "r_name"), "page_id")
+    titled = pages.select("page_id", F.lit("https://site.example/a/").alias("url"), F.replace("html", F.lit("<html>"), F.concat(F.lit("<html><head><title>"), "r_name", F.lit("</title></head>"))).alias("html"))
+    articles = extract.extract_articles(titled, keep=("page_id",))
+    blocks = extract.explode_blocks(articles)
+    jobs = relational.translate_jobs(relational.translation_jobs(blocks).unionByName(relational.title_jobs(articles)), F.lower)
+    titles = jobs.filter("kind = 'title'").select("page_id", F.col("translated").alias("title"))
+    rows = relational.write_back(blocks, jobs).filter("kind = 'table'").select("page_id", F.posexplode("tbl.rows").alias("row_no", "r"), F.array_join("tbl.header", "|").alias("header"))
+    return rows.join(titles, "page_id").select("page_id", "row_no", F.col("r")[0].alias("name"), F.replace(F.col("r")[1], F.lit("\n"), F.lit(" ")).alias("code"), "header", "title")
 
 
 # ---- outline, pagination, dimensions
@@ -480,15 +527,68 @@ def outline_tree(spark, sf_dir):
     return relational.outline(rows, "k").select("k", "idx", "level", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("parent_idx", "prev_idx", "next_idx")), "n_descendants")
 
 
-@query()
-def code_pagination(spark, sf_dir):
-    """Pages of code lines, brand by brand; a running state that SQL lacks, tested on small cases."""
+_PAGES_SQL = """u AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS unit, 1 + p_size % 3 AS n, p_size % 5 = 0 AS hl FROM part),
+    v AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand ORDER BY unit) AS BIGINT) - n AS first FROM u),
+    b AS (SELECT p_brand, list(first ORDER BY first) AS starts, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY p_brand),
+    m AS (SELECT *, total * 4.2 > 120.5 AND total * 4.2 <= 270 AS moves FROM b),
+    r(p_brand, starts, total, page_no, begins, stop) AS (
+        SELECT p_brand, starts, total, CAST(moves AS INTEGER), CAST(0 AS BIGINT), page_stop(starts, total, 0, CASE WHEN moves THEN 64 ELSE 28 END) FROM m
+        UNION ALL SELECT p_brand, starts, total, page_no + 1, stop, page_stop(starts, total, stop, 64) FROM r WHERE stop < total),
+    l AS (SELECT p_brand, page_no, begins, unnest(range(begins, stop)) AS k FROM r),
+    placed AS (SELECT l.p_brand, v.unit, v.hl, CAST(k + 1 AS INTEGER) AS vline_no, page_no, k - begins AS on_page FROM l JOIN v ON v.p_brand = l.p_brand AND k >= first AND k < first + n)"""
+
+
+def _with_stop(sql: str) -> str:
+    """The rule of page ends, written into a query (limit, last start within it, last start before the end)."""
+    def stop(m: re.Match) -> str:
+        starts, total, at, room = (x.strip() for x in m[1].split(", ", 3))
+        last = f"list_filter({starts}, lambda x: x <= ({at}) + {room})[-1]"
+        end = f"(CASE WHEN ({at}) + {room} >= {total} THEN {total} WHEN {last} > ({at}) THEN {last} ELSE ({at}) + {room} END)"
+        back = f"list_filter({starts}, lambda x: x < {end})[-1]"
+        return f"CAST(CASE WHEN {total} - {end} = 1 AND {end} - ({at}) > 1 AND {back} > ({at}) THEN {back} ELSE {end} END AS BIGINT)"
+
+    return re.sub(r"page_stop\((starts, total, (?:0, CASE WHEN moves THEN 64 ELSE 28 END|stop, 64))\)", stop, sql)
+
+
+def _placed_code(spark, sf_dir) -> DataFrame:
     part = read_table(spark, sf_dir, "part").withColumn("unit", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("int"))
-    lines = part.select("p_brand", "unit", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("part"))
-    lines = lines.select("p_brand", "unit", F.row_number().over(Window.partitionBy("p_brand").orderBy("unit", "part")).alias("vline_no"))
+    lines = part.select("p_brand", "unit", (F.col("p_size") % 5 == 0).alias("highlighted"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("part"))
+    lines = lines.select("p_brand", "unit", "highlighted", F.row_number().over(Window.partitionBy("p_brand").orderBy("unit", "part")).alias("vline_no"))
     return relational.paginate(lines, "p_brand", first_mm=120.0, page_mm=271.0, line_mm=4.2)
 
 
+@query(_with_stop(f"WITH RECURSIVE {_PAGES_SQL} SELECT p_brand, unit, vline_no, page_no FROM placed"))
+def code_pagination(spark, sf_dir):
+    """Pages of code lines, brand by brand."""
+    return _placed_code(spark, sf_dir).select("p_brand", "unit", "vline_no", "page_no")
+
+
+@query(
+    _with_stop(
+        f"""WITH RECURSIVE {_PAGES_SQL}, x AS (SELECT p_brand, page_no, count(*) AS n_lines, CAST(min(vline_no) AS INTEGER) AS first_line FROM placed GROUP BY ALL)
+        SELECT *, page_no > min(page_no) OVER (PARTITION BY p_brand) AS continued, (max(page_no) OVER (PARTITION BY p_brand) - min(page_no) OVER (PARTITION BY p_brand)) AS code_splits FROM x"""
+    )
+)
+def code_box_pages(spark, sf_dir):
+    """Boxes behind code blocks, page by page, and how often each block is broken."""
+    boxes = relational.code_boxes(_placed_code(spark, sf_dir), "p_brand", line_mm=4.2)
+    return boxes.join(relational.code_splits(boxes, "p_brand"), "p_brand").select("p_brand", "page_no", "n_lines", "first_line", "continued", F.col("code_splits").cast("int").alias("code_splits"))
+
+
+@query(
+    _with_stop(
+        f"""WITH RECURSIVE {_PAGES_SQL}, h AS (SELECT *, vline_no - row_number() OVER (PARTITION BY p_brand, page_no ORDER BY vline_no) AS g FROM placed WHERE hl)
+        SELECT p_brand, page_no, CAST(min(vline_no) AS INTEGER) AS first_line, count(*) AS n_lines, CAST(round(count(*) * 4.2, 3) AS DOUBLE) AS height_mm FROM h GROUP BY p_brand, page_no, g"""
+    )
+)
+def highlight_band_pages(spark, sf_dir):
+    """Bands behind highlighted lines; a band ends with its page."""
+    placed = _placed_code(spark, sf_dir)
+    bands = relational.highlight_bands(placed, "p_brand", line_mm=4.2)
+    first = placed.select("p_brand", "page_no", F.round("y_mm", 3).alias("top"), "vline_no")
+    return bands.withColumn("top", F.round("top_mm", 3)).join(first, ["p_brand", "page_no", "top"]).select("p_brand", "page_no", F.col("vline_no").alias("first_line"), "n_lines", F.round(F.col("bottom_mm") - F.col("top_mm"), 3).alias("height_mm"))
+
+
 @query(
     """WITH p(page, w, h) AS (VALUES ('a4', 210.0, 297.0), ('a5', 148.0, 210.0), ('letter', 216.0, 279.0), ('tablet', 162.0, 216.0)),
        m AS (SELECT page, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, CAST(floor(10 * h / 297 + 0.5) AS INTEGER) AS t, CAST(floor(18 * w / 210 + 0.5) AS INTEGER) AS r, CAST(floor(16 * h / 297 + 0.5) AS INTEGER) AS b FROM p)
@@ -498,6 +598,78 @@ def page_geometry(spark, sf_dir):
     return dimensions.page_geometry(spark)
 
 
+@query(
+    f"""WITH {_PAGE_SQL} SELECT page_id, pos, CASE WHEN kind = 'heading' THEN CASE level WHEN 1 THEN 17.0::DOUBLE WHEN 2 THEN 15.0 WHEN 3 THEN 13.0 ELSE 12.0 END END AS font_pt, kind = 'heading' AS bold, false AS mono, kind = 'heading' AS bookmark FROM blocks"""
+)
+def block_style(spark, sf_dir):
+    return relational.block_styles(extract.explode_blocks(_articles(spark, sf_dir))).select("page_id", "pos", "font_pt", "bold", "mono", "bookmark")
+
+
+@query(
+    """WITH l AS (SELECT p_partkey, u.i AS unit, u.l AS line FROM (SELECT p_partkey, unnest(list_transform(string_split(p_name || chr(10) || repeat(p_type || ' ', 1 + p_size % 9), chr(10)), lambda x, i: {'l': x, 'i': i - 1})) AS u FROM part)),
+       p AS (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((length(line) - 35) / 33.0) AS BIGINT)))) AS part FROM l)
+       SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY unit, part) - 1 AS INTEGER) AS vline_no, CASE WHEN part = 0 THEN ' ' || (unit + 1) || ' │ ' ELSE '   │ » ' END AS marker,
+       CASE WHEN part = 0 THEN substr(line, 1, 35) ELSE substr(line, 36 + (part - 1) * 33, 33) END AS copy_text, unit = 1 AS highlighted FROM p"""
+)
+def code_visual_lines(spark, sf_dir):
+    """Code wrapped at forty columns with its gutter; what is copied leaves the gutter out."""
+    text = F.concat("p_name", F.lit("\n"), F.expr("repeat(p_type || ' ', 1 + p_size % 9)"))
+    blocks = read_table(spark, sf_dir, "part").select("p_partkey", text.alias("text"), F.array(F.lit(1)).alias("highlights"))
+    lines = relational.copy_texts(relational.visual_lines(blocks, ("p_partkey",), columns=40))
+    return lines.select("p_partkey", "vline_no", "marker", "copy_text", "highlighted")
+
+
+@query(
+    """SELECT p_partkey, CAST(0 AS INTEGER) AS tok_no, 'keyword' AS kind, 'return' AS text, 'CF222E' AS colour, false AS italic FROM part UNION ALL SELECT p_partkey, 1, 'plain', ' ', '24292F', false FROM part
+       UNION ALL SELECT p_partkey, 2, 'number', CAST(p_size AS VARCHAR), '0550AE', false FROM part UNION ALL SELECT p_partkey, 3, 'plain', ' ', '24292F', false FROM part UNION ALL SELECT p_partkey, 4, 'comment', '# ' || p_brand, '6E7781', true FROM part"""
+)
+def token_colours(spark, sf_dir):
+    line = F.concat(F.lit("return "), F.col("p_size").cast("string"), F.lit(" # "), F.col("p_brand"))
+    tokens = codetok.code_tokens(read_table(spark, sf_dir, "part").select("p_partkey", line.alias("text"), F.lit("py").alias("lang")), keep=("p_partkey",))
+    palette = dimensions.code_palettes(spark).filter("theme = 'github-light'").select("role", "colour")
+    return codetok.token_styles(tokens, palette).select("p_partkey", "tok_no", "kind", "text", "colour", "italic")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, CASE WHEN l_quantity > 25 THEN 'a' ELSE 'b' END AS kind FROM lineitem),
+         g AS (SELECT *, n - row_number() OVER (PARTITION BY k, kind ORDER BY n) AS g FROM t)
+    SELECT k, CAST(min(n) AS INTEGER) AS tok_no, kind, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY n) || ' ' AS text FROM g GROUP BY k, kind, g"""
+)
+def merged_kind_runs(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("tok_no"), F.when(F.col("l_quantity") > 25, "a").otherwise("b").alias("kind"))
+    return relational.kind_runs(rows.withColumn("text", F.concat(F.col("tok_no").cast("string"), F.lit(" "))), ("k",)).select("k", "tok_no", "kind", "text")
+
+
+@query(
+    """WITH h AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx, 1 + (l_linenumber * l_partkey) % 6 AS level FROM lineitem),
+       p AS (SELECT *, min(level) OVER (PARTITION BY k ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM h)
+       SELECT k, count(*) FILTER (least IS NULL OR least >= level) AS n_roots, count(*) AS n_entries FROM p GROUP BY k"""
+)
+def outline_counts(spark, sf_dir):
+    return relational.outline_roots(outline_tree(spark, sf_dir).withColumn("parent_idx", F.nullif("parent_idx", F.lit(-1))), "k")
+
+
+@query(f"WITH {_PAGE_SQL} SELECT page_id, true AS sans, false AS mono, bool_or(len(list_filter(string_split(text, ''), lambda ch: ch <> '' AND {_MISSING})) > 0) AS fallback FROM blocks GROUP BY page_id")
+def font_choice(spark, sf_dir):
+    blocks = extract.explode_blocks(_articles(spark, sf_dir))
+    chars = relational.charset(blocks, "page_id").distinct()
+    return relational.font_families(chars, _ascii(spark), blocks)
+
+
+@query(f"SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' AND unicode(ch) <> 32 AND {_MISSING} UNION SELECT 'x'")
+def missing_of_both(spark, sf_dir):
+    """Characters that the text font or the code font (which here lacks an x) does not have."""
+    chars = relational.charset(read_table(spark, sf_dir, "documents"), "doc_id").select("ch").distinct()
+    return relational.missing_union(chars, _ascii(spark), _ascii(spark).filter("ch <> 'x'"))
+
+
+@query("SELECT ch FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' UNION SELECT DISTINCT unnest(string_split('Sayfa 0123456789 · kod devamı │ » • [görsel ağ: ] / . -', ''))")
+def drawn_charset(spark, sf_dir):
+    """Characters of the documents and of the page furniture."""
+    return relational.charset(read_table(spark, sf_dir, "documents"), "doc_id").select("ch").union(relational.interface_charset(spark)).distinct()
+
+
 _PALETTE_ROWS = ", ".join(f"('{t}', '{r}', '{c}')" for t, v in K.PALETTES.items() for r, c in zip(K.PALETTE_ROLES, v.split()))
 
 

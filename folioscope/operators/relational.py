@@ -176,7 +176,12 @@ def _contained(keys: DataFrame, residue: DataFrame, url: str) -> DataFrame:
     """Addresses that hold a pattern, by an equi-join: a pattern's last characters are among an address's grams."""
     sizes = [r[0] for r in residue.select(F.least(F.length("pattern"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()]
     low = F.lower(F.col(url))
-    grams = F.concat(*(F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda k, n=n: F.substring(low, k, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes or [1]))
+
+    def grams_of(n: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda k: F.substring(low, k, F.lit(n)))
+        return F.when(F.length(low) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    grams = F.concat(*map(grams_of, sizes or [1]))
     cut = residue.withColumn("gram", F.right("pattern", F.least(F.length("pattern"), F.lit(GRAM))))
     return keys.select(url, F.explode(F.array_distinct(grams)).alias("gram")).join(cut, "gram").filter(low.contains(F.col("pattern"))).select(url)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import constants as K
 from folioscope.functions import text as T
 from folioscope.operators import codetok, extract, relational
-from folioscope.plans import dimensions
-from folioscope.sources.tables import read_table, run_summary
+from folioscope.plans import dimensions, sql_functions
+from folioscope.sources.tables import document_metadata, read_table, refreshed_lists, run_summary, settled_attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,6 +511,48 @@ def translate_tables(spark, sf_dir):
     return rows.join(titles, "page_id").select("page_id", "row_no", F.col("r")[0].alias("name"), F.replace(F.col("r")[1], F.lit("\n"), F.lit(" ")).alias("code"), "header", "title")
 
 
+@query(
+    """WITH a AS (SELECT event_id, unnest([1, 2, 3]) AS attempt FROM events), c AS (SELECT event_id, attempt, event_id % 5 = 0 OR (event_id + attempt) % 3 = 0 AS lost FROM a),
+       f AS (SELECT event_id, min(attempt) FILTER (NOT lost) AS t FROM c GROUP BY event_id)
+       SELECT event_id, CASE WHEN t IS NULL THEN 'network' WHEN event_id % 7 = 1 THEN 'http_error' ELSE 'ok' END AS class, CAST(coalesce(t, 3) AS INTEGER) AS attempts, CAST(250 * (coalesce(t, 3) - 1) * coalesce(t, 3) / 2 AS INTEGER) AS waited_ms FROM f"""
+)
+def fetch_attempts(spark, sf_dir):
+    """Attempts of which some fail in the network; the first answer counts, whatever it says."""
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
+    lost = (F.col("event_id") % 5 == 0) | ((F.col("event_id") + F.col("attempt")) % 3 == 0)
+    status = F.when(~lost, F.when(F.col("event_id") % 7 == 1, 404).otherwise(200))
+    return settled_attempts(rows.select("event_id", "attempt", status.alias("status"), F.lit("text/html").alias("content_type")), "event_id")
+
+
+@query(
+    """SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey % 5 <> 4 THEN 'old ' || n_name WHEN n_nationkey % 3 = 0 THEN 'new ' || n_name WHEN n_nationkey % 5 <> 4 THEN 'old ' || n_name END AS text,
+       CASE WHEN n_nationkey % 2 = 0 AND n_nationkey % 5 <> 4 THEN 'cache' WHEN n_nationkey % 3 = 0 THEN 'network' WHEN n_nationkey % 5 <> 4 THEN 'stale' ELSE 'missing' END AS origin FROM nation WHERE n_nationkey % 5 <> 4 OR n_nationkey % 3 = 0 OR n_nationkey % 7 = 0"""
+)
+def list_refresh(spark, sf_dir):
+    nation, key = read_table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    held = nation.filter(key % 5 != 4).select(F.col("n_name").alias("name"), F.concat(F.lit("old "), "n_name").alias("text"), (key % 2 == 0).alias("fresh"))
+    got = nation.filter((key % 3 == 0) | (key % 7 == 0)).select(F.col("n_name").alias("name"), F.when(key % 3 == 0, F.concat(F.lit("new "), "n_name")).alias("text"))
+    return refreshed_lists(held, got)
+
+
+@query(f"WITH {_PAGE_SQL} SELECT page_id, CASE WHEN contains(title, ' | ') AND length(trim(split_part(title, ' | ', 1))) >= 15 THEN trim(split_part(title, ' | ', 1)) ELSE title END AS title, {_HOST} AS author, {_NAME} AS output_name, 'en' AS lang FROM raw")
+def metadata(spark, sf_dir):
+    return document_metadata(_articles(spark, sf_dir), lang="en")
+
+
+@query(f"WITH {_PAGE_SQL} SELECT page_id, pos, kind, text FROM blocks")
+def sql_extract_blocks(spark, sf_dir):
+    """The same blocks by the table function, from SQL."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT page_id, b.pos, b.kind, b.text FROM {pages}, LATERAL extract_blocks(html, url) AS b", pages=read_table(spark, sf_dir, "pages"))
+
+
+@query("SELECT p_partkey, CAST(0 AS INTEGER) AS tok_no, 'keyword' AS kind, 'return' AS text FROM part UNION ALL SELECT p_partkey, 1, 'plain', ' ' FROM part UNION ALL SELECT p_partkey, 2, 'number', CAST(p_size AS VARCHAR) FROM part")
+def sql_highlight_code(spark, sf_dir):
+    sql_functions.register(spark)
+    return spark.sql("SELECT p_partkey, t.tok_no, t.kind, t.text FROM {part}, LATERAL highlight_code('return ' || p_size, 'python') AS t", part=read_table(spark, sf_dir, "part"))
+
+
 # ---- outline, pagination, dimensions
 
 

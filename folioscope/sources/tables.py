@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 
 MAX_LIST_AGE_DAYS = 7
+#: Attempts at a page; only failures of the network are tried again, after WAIT_MS times the attempt's number.
+ATTEMPTS, WAIT_MS = 3, 250
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,20 @@ def combined_lines(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode(F.split("text", r"\r?\n")).alias("raw"))
 
 
+def refreshed_lists(lists: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Lists (name, text, fresh) brought up to date: fresh ones as they are, others as fetched (name, text), or the old text if that failed."""
+    new = fetched.select("name", F.col("text").alias("_new"))
+    rows = lists.join(new, "name", "full_outer")
+    held = F.coalesce("fresh", F.lit(False))
+    origin = F.when(held, "cache").when(F.col("_new").isNotNull(), "network").when(F.col("text").isNotNull(), "stale").otherwise("missing")
+    return rows.select("name", F.when(held, F.col("text")).otherwise(F.coalesce("_new", "text")).alias("text"), origin.alias("origin"))
+
+
+def write_lists(lists: DataFrame, path: str) -> None:
+    """Writes lists through to the cache, where filter_lists finds them with the time of writing."""
+    lists.filter("text IS NOT NULL").select("name", "text").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def cache_age(lists: DataFrame) -> DataFrame:
     return lists.agg(F.max("age_s").alias("age_s"))
 
@@ -42,6 +58,21 @@ def accepted_pages(responses: DataFrame) -> DataFrame:
     return rows.withColumn("html", F.when(F.col("class") == "ok", T.body_text(F.col("content_type"), F.col("body"))))
 
 
+def settled_attempts(attempts: DataFrame, key: str = "url") -> DataFrame:
+    """Attempts (key, attempt from 1, status, content_type) to the outcome of each address: its class, the attempts made and the time waited."""
+    rows = attempts.filter(F.col("attempt") <= ATTEMPTS).withColumn("class", T.accepts(F.col("status"), F.col("content_type")))
+    told = F.col("class") != "retry"
+    out = rows.groupBy(key).agg(F.min(F.when(told, F.struct("attempt", "class"))).alias("_t"), F.max("attempt").alias("_n"))
+    tries = F.coalesce(F.col("_t.attempt"), F.col("_n"))
+    return out.select(key, F.coalesce("_t.class", F.lit("network")).alias("class"), tries.alias("attempts"), (F.lit(WAIT_MS) * (tries - 1) * tries / 2).cast("int").alias("waited_ms"))
+
+
+def document_metadata(articles: DataFrame, *, author: str | None = None, lang: str | None = None) -> DataFrame:
+    """What a document tells of itself: title, author (by default the host), its name and language."""
+    by = F.lit(author) if author else T.host(F.col("url"))
+    return articles.select("page_id", "title", by.alias("author"), T.output_name(F.col("url")).alias("output_name"), F.lit(lang).cast("string").alias("lang"))
+
+
 def run_summary(articles: DataFrame) -> DataFrame:
     """Counts of a run; it fails as a whole only if nothing succeeded."""
     return articles.agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed")).withColumn("exit_code", ((F.col("ok") == 0) & (F.col("failed") > 0)).cast("int"))

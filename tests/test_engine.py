@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioscope.functions import text as T
-from folioscope.operators import relational
+from folioscope.operators import extract, relational
 from folioscope.operators.codetok import tokenize
 from folioscope.operators.extract import absolute_url, code_of, extract_article, is_boilerplate, srcset
 from folioscope.operators.dom import parse_document
 from folioscope.plans import catalog, dimensions
+from folioscope.sources import tables
 from folioscope.sources.tables import accepted_pages, combined_lines, filter_lists, url_list
 from folioscope.streaming.articles import stream_articles, write_stream
 
@@ -154,6 +155,59 @@ def test_page_lines():
     assert f([0], 0, 1.0, 4.0) == 0 and f([], 0, 9.0, 4.0) == 0
 
 
+@pytest.mark.parametrize("unit, close", [("<div>", "</div>"), ("<b>", "</b>"), ("<ul><li>", "</li></ul>"), ("<table><tr><td>", "</td></tr></table>"), ("<span>", ""), ("<pre>", ""), ("<blockquote>", "")])
+def test_deep_pages(unit, close):
+    got = extract_article(f"<html><body><article>{unit * 20_000}deep words{close * 20_000}{PAD}</article></body></html>", "https://s.example/")
+    assert got["status"] == "ok" and any("deep words" in (b["text"] or str(b.get("tbl"))) for b in got["blocks"])
+
+
+def test_call_behind_many_spaces():
+    assert tokenize("foo" + " " * 250 + "(1)", None)[0][0] == ("foo", "function")
+
+
+def test_pixel_sizes():
+    be, le = lambda n, k: n.to_bytes(k, "big"), lambda n, k: n.to_bytes(k, "little")
+    frame = lambda m, w, h: bytes([0xFF, m]) + be(17, 2) + b"\x08" + be(h, 2) + be(w, 2) + b"\x03"
+    thumb = b"\xff\xe1" + be(2 + 13, 2) + frame(0xC0, 9, 9)[:13].ljust(13, b"\0")
+    for marker in (0xC0, 0xC1, 0xC2, 0xC9):
+        assert T.pixel_size(b"\xff\xd8" + thumb + b"\xff\xc4" + be(5, 2) + b"abc" + frame(marker, 640, 480)) == (640, 480)
+    assert T.pixel_size(b"\xff\xd8" + thumb) is None and T.pixel_size(b"") is None and T.pixel_size(None) is None
+    assert T.pixel_size(b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + le(29 | 19 << 14, 4)) == (30, 20)
+    assert T.pixel_size(b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0abc\x9d\x01\x2a" + le(30, 2) + le(20, 2)) == (30, 20)
+    assert T.pixel_size(b"<svg width='2in' viewBox='0 0 10 40'>") == (192, 40) and T.pixel_size(b"<svg viewBox='0,0,30.5,20'/>") == (31, 20)
+    assert T.pixel_size(b"<svg width='100%'>") is None
+
+
+def test_literal_palettes_and_markers(spark):
+    """Some fixed values written out again, as the queries' SQL is made from the same lists."""
+    colours = {(r.theme, r.role): r.colour for r in dimensions.code_palettes(spark).collect()}
+    assert len(colours) == 84 and colours["github-light", "keyword"] == "CF222E" and colours["monokai", "function"] == "A6E22E" and colours["solarized-dark", "background"] == "002B36" and colours["sepia", "comment"] == "8A7355"
+    assert {r.theme: (r.text, r.background, r.code_theme) for r in dimensions.themes(spark).collect()}["dark"] == ("E4E7EB", "16191D", "dark-on-page")
+    for name in ("sidebar", "my-widget-1", "cookies", "related", "post navigation", "skip_link", "newsletter-box"):
+        assert is_boilerplate(name), name
+    for name in ("content", "navigation", "ad", "post", "subtitle", "category-sidebar"):
+        assert not is_boilerplate(name), name
+
+
+def test_lists_and_articles_written(spark, tmp_path):
+    lists = spark.createDataFrame([("easy", "||a.example^\n! c"), ("private", "||b.example^")], "name string, text string")
+    tables.write_lists(lists, str(tmp_path / "lists"))
+    held = filter_lists(spark, str(tmp_path / "lists" / "*" / "*.txt"))
+    assert sorted(r.raw for r in combined_lines(held).filter("raw <> ''").collect()) == ["! c", "||a.example^", "||b.example^"]
+    assert held.filter("fresh").count() == held.count() and tables.cache_age(held).first().age_s >= 0
+    pages = spark.createDataFrame([(1, "https://s.example/x.html", f"<article>{PAD}</article>"), (2, "https://t.example/", None)], "page_id long, url string, html string")
+    tables.write_articles(extract.extract_articles(pages), str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("output_name", "status").collect())) == [("s.example-x.pdf", "ok"), ("t.example.pdf", "no_content")]
+
+
+def test_text_rules_by_join(spark, monkeypatch):
+    urls = spark.createDataFrame([(u,) for u in ("https://x.example/ads/banner-1.png", "https://x.example/pic.png", "https://y.example/AD", "https://z.example/a/b")], "img_url string")
+    rules = relational.parse_rules(spark.createDataFrame([("/banner-",), ("/ad",), ("never-there-at-all",), ("@@y.example/ad",)], "raw string"))
+    want = sorted(r[0] for r in relational.blocked_urls(urls, rules).collect())
+    monkeypatch.setattr(relational, "MAX_TEXT_RULES", 0)
+    assert sorted(r[0] for r in relational.blocked_urls(urls, rules).collect()) == want == ["https://x.example/ads/banner-1.png"]
+
+
 def test_list_quirks(spark):
     rows = [(1, i, o, d, r) for r, items in ((1, [(True, 1), (True, 0)]), (2, [(True, 0), (True, 1), (True, 0), (True, 1)])) for i, (o, d) in enumerate(items, 10 * r)]
     got = relational.number_lists(spark.createDataFrame(rows, "page_id int, pos int, ordered boolean, depth int, run int")).orderBy("pos").collect()

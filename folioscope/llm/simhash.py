@@ -255,10 +255,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the smallest id.
 
-    Rows with a null id come last in their group; of equal rows one stays.
+    Rows with a null id come last in their group; of rows with equal id and text one stays.
     """
-    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("document"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    held = held.withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
-    found = near_duplicates(held, shingle=shingle, budget=budget, keep=("row_key",))
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("b")).select(F.col("b.row_key").alias("row_key"))
-    return held.join(best, "row_key", "left_semi").dropDuplicates(["row_key"]).select("document.*")
+    own, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("document"), own.alias("doc_id"), text.alias("text"), F.coalesce(own, F.lit(0).cast("long")).alias("key"), F.xxhash64(text, text.isNull(), own.isNull()).alias("tag"))
+    found = near_duplicates(held, shingle=shingle, budget=budget, keep=("key", "tag"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "key", "tag")).alias("b")).select("b.key", "b.tag")
+    return held.join(best, ["key", "tag"], "left_semi").dropDuplicates(["key", "tag"]).select("document.*")

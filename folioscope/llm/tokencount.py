@@ -15,7 +15,9 @@ penalty.  Of equally good segmentations the one with fewer pieces counts.
 Scale: no shuffle.  Counts of pre-tokens are kept in a worker between batches in a
 bounded table.  The vocabulary is read on the driver and broadcast; its size is checked.
 
-Defined cases: null and empty texts have no tokens; repeated rows each give a row.
+Defined cases: null and empty texts have no tokens; repeated rows each give a row; a
+pre-token of any length is worked off in memory in proportion to it; other columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ probabilities stay under fixed thresholds.
 
 Scale: at most ``max_labelled`` labelled rows (those with the smallest hash of their id)
 with at most ``max_bytes`` of text, and ``max_full`` of them for the low-quality head, are
-turned into sparse counts on the executors and fitted on the driver; scoring is one
+turned into sparse counts on the executors and fitted by one task; scoring is one
 pass in Arrow batches without a shuffle, over whole texts, with weights of fixed size.
 
 Defined cases: a null or empty text has no words and fails the base rules; rows with a
@@ -22,8 +22,10 @@ document rows each get their row; extra columns pass through :func:`keep_quality
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +161,18 @@ def _chosen(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int
     return docs.sparkSession.createDataFrame(rows, "doc_id long, tag long, quality int, toxic int, full boolean")
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int, max_bytes: int) -> list:
+class _Row(NamedTuple):
+    """A labelled row as sparse counts: features, and (of rows that are full) their values."""
+
+    doc_id: int
+    quality: int
+    toxic: int
+    full: bool
+    f: np.ndarray
+    v: np.ndarray
+
+
+def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int, max_bytes: int) -> DataFrame:
     """Sparse counts of the labelled sample: at most eight bytes per n-gram position of the texts chosen."""
     chosen = _chosen(docs, labels, max_labelled, max_full, max_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text").join(F.broadcast(chosen), ["doc_id", "tag"])
@@ -179,7 +192,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int
                     value.append((FEATURE_SCALE * c / total[group]).astype(np.float32).tobytes() if full[block.first + i] else b"")
             yield pa.record_batch([*batch.columns[:4], pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=["doc_id", "quality", "toxic", "full", "f", "v"])
 
-    return sorted(texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, v binary").collect(), key=lambda r: r.doc_id)
+    return texts.mapInArrow(run, "doc_id long, quality int, toxic int, full boolean, f binary, v binary")
 
 
 def _fit(index: np.ndarray, value: np.ndarray, size: np.ndarray, width: int, y: np.ndarray, l2: float = 1e-4, rounds: int = 120, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -227,15 +240,30 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_full: int = MAX_FULL, max_bytes: int = MAX_BYTES) -> dict[str, Head]:
-    """The two calibrated heads; a fifth of the sample, by a hash of the id, is held out for calibration."""
-    rows = _sample(docs, labels, max_labelled, max_full, max_bytes)
-    heads = {"low": Head(), "toxic": Head(by_frequency=False)}
-    for name, head in heads.items():
-        own = [r for r in rows if r.full] if head.by_frequency else rows
-        if own:
-            _train_head(head, own, np.array([r.quality == 0 if name == "low" else r.toxic == 1 for r in own], float))
-            give_back()
-    return heads
+    """The two calibrated heads; a fifth of the sample, by a hash of the id, is held out for calibration.
+
+    One task gathers the bounded sample and fits both; the driver gets their weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[_Row] = []
+        for batch in batches:
+            for d, q, t, full, f, v in zip(*(batch.column(k) for k in range(6))):
+                rows.append(_Row(d.as_py(), q.as_py(), t.as_py(), full.as_py(), np.frombuffer(f.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)))
+        rows.sort(key=lambda r: r.doc_id)
+        for name, head in _heads().items():
+            own = [r for r in rows if r.full] if head.by_frequency else rows
+            if own:
+                _train_head(head, own, np.array([r.quality == 0 if name == "low" else r.toxic == 1 for r in own], float))
+            yield pa.record_batch([pa.array([name]), pa.array([pickle.dumps(head)], pa.binary())], names=["name", "head"])
+        give_back()
+
+    trained = _sample(docs, labels, max_labelled, max_full, max_bytes).repartition(1).mapInArrow(run, "name string, head binary").collect()
+    return _heads() | {r.name: pickle.loads(r.head) for r in trained}
+
+
+def _heads() -> dict[str, Head]:
+    return {"low": Head(), "toxic": Head(by_frequency=False)}
 
 
 def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
@@ -243,7 +271,7 @@ def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
     held = mix(np.array([r.doc_id for r in rows]).astype(np.uint64)) % np.uint64(5) == 4
     if min(y[~held].sum(), (1 - y[~held]).sum()) < 2:
         return
-    parts = [np.frombuffer(r.f, np.int32) for r in rows]
+    parts = [r.f for r in rows]
     place = np.arange(DIM)
     if head.by_frequency:
         seen = np.zeros(DIM, np.int32)
@@ -264,7 +292,7 @@ def _train_head(head: Head, rows: list, y: np.ndarray) -> None:
         own = useful[parts[i]]
         index[start[k] : start[k + 1]] = narrow[parts[i][own]]
         if head.by_frequency:
-            value[start[k] : start[k + 1]] = np.frombuffer(rows[i].v, np.float32)[own]
+            value[start[k] : start[k + 1]] = rows[i].v[own]
     fit = order[: int((~held).sum())]
     last = start[len(fit)]
     weights, head.bias = _fit(index[:last], value[:last], size[: len(fit)], int(useful.sum()), y[fit])

@@ -61,8 +61,8 @@ def topic(text: str = "text") -> Column:
     count = lambda p: F.regexp_count(t, F.lit(p))
     return (
         F.when(count(r"[{}();=<>\[\]]") * 25 >= size, "code")
-        .when(count(r"(?m)^[^\n|\t]*[|\t][^\n]*$") * 2 >= lines, "table")
-        .when((lines >= 3) & (count(r"(?m)^[ \t]*(?:[-*\u2022]|[0-9]{1,3}[.)])[ \t]") * 2 >= lines), "list")
+        .when(count(r"(?md)^[^\n|\t]*[|\t][^\n]*$") * 2 >= lines, "table")
+        .when((lines >= 3) & (count(r"(?md)^[ \t]*(?:[-*\u2022]|[0-9]{1,3}[.)])[ \t]") * 2 >= lines), "list")
         .when(count(r"[0-9]") * 5 >= size, "figures")
         .when(count(r"\p{Lu}") * 3 >= size, "capitals")
         .otherwise("prose")
@@ -260,6 +260,12 @@ def _cell_columns(docs: DataFrame) -> list[Column]:
     return [docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), topic("text").alias("topic")]
 
 
+def source_cells(docs: DataFrame) -> DataFrame:
+    """Documents and tokens of each cell (source, language, topic)."""
+    rows = docs.select(*_cell_columns(docs), n_tokens().alias("n_tokens"))
+    return rows.groupBy(*MARGINS).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+
+
 def _chance(docs: DataFrame, seed: int) -> Column:
     """A number in [0, 1) by the id, or by the text where there is no id."""
     own = docs["doc_id"].cast("long")

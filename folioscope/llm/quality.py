@@ -355,6 +355,21 @@ def score_quality(docs: DataFrame, heads: dict[str, Head], *, low_limit: float =
     return narrow.mapInArrow(run, SCORE_SCHEMA)
 
 
+def count_base(docs: DataFrame) -> DataFrame:
+    """Per document row the base counts and whether it fails the base rules, without a model."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [base_counts(block) for block in blocks(batch.column(1))]
+            if parts:
+                yield pa.record_batch([batch.column(0), *(pa.array(np.concatenate([p[k] for p in parts])) for k in names)], names=["doc_id", *names])
+
+    counted = narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+
 def keep_quality(docs: DataFrame, heads: dict[str, Head], *, low_limit: float = LOW_QUALITY_LIMIT, toxic_limit: float = TOXIC_LIMIT) -> DataFrame:
     """The rows that :func:`score_quality` keeps, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(heads)

@@ -69,9 +69,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), tokencount.UnigramVocabulary.load())
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counted part of the quality rules by itself, which SQL can express."""
+    return quality.count_base(read_table(spark, sf_dir, "documents"))
+
+
+def mixing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that are raked, which SQL can express."""
+    return mixing.source_cells(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_chat_format, op4_decontamination, op5_html_extraction, op6_bwt_dedup, op7_pii, op8_simhash, op9_language_id, op10_token_counts)
+    for f in (op1_quality_rules, op2_mixing, op3_chat_format, op4_decontamination, op5_html_extraction, op6_bwt_dedup, op7_pii, op8_simhash, op9_language_id, op10_token_counts, quality_base, mixing_cells)
 }
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -116,4 +126,24 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
                sha256(coalesce(items.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hits USING (doc) LEFT JOIN items USING (doc)""",
+    "quality_base": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT k, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+        again AS (SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY k, s) AS n FROM p) WHERE n > 1),
+        hit AS (SELECT k, count(DISTINCT q) AS n FROM (SELECT k, unnest(range(p, p + 3)) AS q FROM again) GROUP BY k),
+        lines AS (SELECT k, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n FROM (SELECT k, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)),
+        c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, lines.n AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words
+              FROM d JOIN lines USING (k) LEFT JOIN hit USING (k))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
+    "mixing_cells": r"""
+        WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT *, greatest(length(t), 1) AS size, 1 + length(t) - length(replace(t, chr(10), '')) AS lines FROM d),
+        f AS (SELECT source, lang, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n,
+            CASE WHEN len(regexp_extract_all(t, '[{}();=<>\[\]]')) * 25 >= size THEN 'code'
+                 WHEN len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[|\t]'))) * 2 >= lines THEN 'table'
+                 WHEN lines >= 3 AND len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*([-*\x{2022}]|[0-9]{1,3}[.)])[ \t]'))) * 2 >= lines THEN 'list'
+                 WHEN len(regexp_extract_all(t, '[0-9]')) * 5 >= size THEN 'figures'
+                 WHEN len(regexp_extract_all(t, '\p{Lu}')) * 3 >= size THEN 'capitals' ELSE 'prose' END AS topic FROM s)
+        SELECT source, lang, topic, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS tokens FROM f GROUP BY ALL""",
 }

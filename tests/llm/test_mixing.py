@@ -5,6 +5,7 @@ import re
 import struct
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -135,3 +136,15 @@ def test_rows_without_an_id(spark):
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), budget=0.5).collect()
     taken = sum(r.sampled for r in got if r.doc_id is None)
     assert 140 < taken < 260 and len({r.sampled for r in got if r.doc_id == 5}) == 1
+
+
+@pytest.mark.parametrize("name", ["quality_base", "mixing_cells", "op3_chat_format", "op4_decontamination"])
+def test_queries_match_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))

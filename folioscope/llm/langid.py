@@ -13,7 +13,8 @@ Arrow batches over whole texts, without a shuffle.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; with no rows
 to learn from every text is ``und``; ties go to the first language in sorted order;
-repeated rows each give a row; an empty table gives an empty result.
+repeated rows each give a row; other columns, whatever their names, pass through where they are
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations

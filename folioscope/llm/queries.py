@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bwt_dedup, chat, decontaminate, html_content, langid, mixing, pii, quality, simhash, tokencount
+from folioscope.llm import bwt_dedup, chat, decontaminate, html_content, importance, kmeans, langid, mixing, parity_join, pii, quality, simhash, tokencount
 from folioscope.llm.shared import read_table
 
 
@@ -69,6 +69,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), tokencount.UnigramVocabulary.load())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_vectors(read_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counted part of the quality rules by itself, which SQL can express."""
     return quality.count_base(read_table(spark, sf_dir, "documents"))
@@ -81,12 +94,75 @@ def mixing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_mixing, op3_chat_format, op4_decontamination, op5_html_extraction, op6_bwt_dedup, op7_pii, op8_simhash, op9_language_id, op10_token_counts, quality_base, mixing_cells)
-}
+    for f in (
+        op1_quality_rules, op2_mixing, op3_chat_format, op4_decontamination, op5_html_extraction, op6_bwt_dedup, op7_pii, op8_simhash, op9_language_id, op10_token_counts,
+        op11_centroid_clustering, op12_ngram_jaccard_join, op13_importance_resampling, quality_base, mixing_cells,
+    )
+}
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dimensions: int = 64) -> str:
+    """Each round as two steps of SQL: assignments, then centroids."""
+    steps = [
+        f"""x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dimensions}),
+        c0 AS (SELECT row_number() OVER (ORDER BY h, vec_id, v) - 1 AS c, v FROM (SELECT sha256('2:' || vec_id) AS h, vec_id, v FROM x WHERE vec_id IS NOT NULL ORDER BY h, vec_id, v LIMIT {k}))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, v, min(ROW(d, c)) AS m FROM (
+                SELECT vec_id, x.v, c, CAST(list_sum(list_transform(list_zip(x.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, c{r}) GROUP BY vec_id, v)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+                    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+                        SELECT m[2] AS c, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{r}.v, m, unnest(range(1, {dimensions + 1})) AS i FROM x JOIN a{r} USING (vec_id, v)) GROUP BY ALL)
+                    GROUP BY c) n USING (c))"""
+            )
+    return f"""WITH {", ".join(steps)},
+        z AS (SELECT x.vec_id, m[2] AS c, m[1] AS distance FROM x JOIN a{rounds} a ON x.vec_id IS NOT DISTINCT FROM a.vec_id AND x.v = a.v)
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM z JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": _lloyd_sql(),
+    "op12_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, '[^ 	-]+') AS w FROM documents),
+        s AS (SELECT k, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 2), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3]) END)) AS g FROM d),
+        c AS MATERIALIZED (SELECT row_number() OVER () AS c, g, len(g) AS n FROM (SELECT DISTINCT g FROM s WHERE len(g) > 0)),
+        e AS MATERIALIZED (SELECT c, n, unnest(g) AS g FROM c),
+        pairs AS (SELECT a.c AS x, b.c AS y, count(*) AS i, any_value(a.n + b.n) AS n FROM e a JOIN e b USING (g) WHERE a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+        links AS MATERIALIZED (SELECT x, y FROM pairs WHERE 100 * i >= 85 * (n - i)),
+        reach AS (SELECT c, c AS r FROM c UNION SELECT reach.c, l.y FROM reach JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON reach.r = l.x),
+        least AS (SELECT c.g, min(d.doc_id) AS m FROM s JOIN d USING (k) JOIN c ON s.g = c.g GROUP BY c.g),
+        named AS (SELECT a.g, min(least.m) AS component_id FROM c a JOIN reach USING (c) JOIN c b ON b.c = reach.r JOIN least ON least.g = b.g GROUP BY a.g)
+        SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component_id, CASE WHEN len(s.g) = 0 THEN doc_id END) AS component_id FROM s JOIN d USING (k) LEFT JOIN named ON s.g = named.g""",
+    "op13_importance_resampling": rf"""
+        WITH crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(0, 256)) AS i))),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+        b AS MATERIALIZED (SELECT regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM benchmark),
+        words AS MATERIALIZED (
+            SELECT x, xor(list_reduce(list_transform(range(0, octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+                lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM (SELECT unnest(w) AS x FROM d UNION SELECT unnest(w) FROM b), crc),
+        own AS (SELECT k, bucket FROM (SELECT k, unnest(w) AS x FROM d) JOIN words USING (x)),
+        s AS (SELECT bucket, count(*) AS s FROM own GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS x FROM b) JOIN words USING (x) GROUP BY bucket),
+        gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM s) + 10000 AS DOUBLE)
+                      / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM t) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+        weighed AS (SELECT k, CAST(sum(gain) AS BIGINT) AS weight FROM own JOIN gains USING (bucket) GROUP BY k),
+        scored AS (SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                       coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN weighed USING (k)),
+        ranked AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20 AND score IS NOT NULL)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (k)""",
     "op3_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

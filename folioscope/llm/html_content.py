@@ -2,8 +2,8 @@
 
 A page is parsed into a tree of block-level elements (inline elements belong to the
 block around them).  Every block has a hidden label, content or not.  Its own evidence
-(tag, role, marker words in class and id, share of link text, text length) gives a unary
-potential; a parent-child potential says how labels follow each other down the tree.
+(tag, the part of the page around it, marker words in class, id and role, share of link
+text, text length) gives a unary potential; a parent-child potential says how labels follow each other down the tree.
 Sum-product messages go up from the leaves and down from the root, which on a tree gives
 exact marginals; the text of blocks whose content marginal is at least 1/2 is the result.
 
@@ -40,10 +40,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Text up to the end tag (or the end of the page) is no markup and never shown.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Left out with everything inside: drawings, controls, fallbacks, notation behind formulas.
-UNSHOWN = frozenset("svg template select datalist button label legend output progress meter canvas audio video object annotation annotation-xml".split())
+UNSHOWN = frozenset("svg template select datalist button progress meter canvas audio video object annotation annotation-xml".split())
+#: Parts of a control inside a form, text elsewhere.
+IN_FORM = frozenset("label legend output".split())
 BLOCK = frozenset(
     "html head body article aside section nav header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset address details summary dialog center hr".split()
 )
+#: What a page is made of, and elements that mostly hold others.
+SECTION = frozenset("article main nav header footer aside form dialog".split())
+BOX = frozenset("body article main section div td center".split())
 #: A start tag closes an open element of these first, up to the boundary given.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "caption", "figcaption", "summary"}
@@ -168,9 +173,9 @@ def parse(source: str) -> Tree:
     tree, reader = Tree(), _Reader(source)
     #: Open elements: (tag, node that its text belongs to, links around it, is never shown)
     stack: list[tuple[str, int, int, bool]] = [("#root", 0, 0, False)]
-    #: How many of a name are open: blocks in all, and others since the innermost block.
-    blocks: dict[str, int] = {}
-    inline: list[dict[str, int]] = [{}]
+    #: Places in the stack of the open elements of a name, and of all open blocks.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = [0]
     turn = at = 0
     size = len(source)
 
@@ -181,22 +186,20 @@ def parse(source: str) -> Tree:
     def close_to(k: int) -> None:
         nonlocal turn
         for tag, _, _, unshown in reversed(stack[k:]):
+            places[tag].pop()
             if tag in BLOCK:
-                blocks[tag] -= 1
-                inline.pop()
+                blocks.pop()
                 turn += not unshown
-            else:
-                inline[-1][tag] -= 1
         del stack[k:]
 
-    def innermost(names: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> int:
-        """The place of the innermost open element of some names that no bound is inside of; -1 if there is none."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in bounds:
-                break
-        return -1
+    def place(name: str) -> int:
+        """Where the innermost open element of a name stands; 0 if there is none."""
+        return found[-1] if (found := places.get(name)) else 0
+
+    def innermost(names: set[str], bounds: set[str]) -> int:
+        """The place of the innermost open element of some names that no bound is inside of; 0 if there is none."""
+        k = max(map(place, names))
+        return k if k >= max(map(place, bounds)) else 0
 
     while at < size:
         found = _OPENS.search(source, at)
@@ -218,27 +221,27 @@ def parse(source: str) -> Tree:
         if not name:
             continue
         if is_end:
-            if name in BLOCK and blocks.get(name) or name not in BLOCK and inline[-1].get(name):
-                close_to(innermost({name}, frozenset()))
+            # other elements end in the innermost block only
+            if (k := place(name)) and (name in BLOCK or k > blocks[-1]):
+                close_to(k)
             continue
         closed = raw.endswith("/")
         if name in RAW:
-            end = at if closed and inline[-1].get("svg") else reader.past_end_tag(name, at)
+            end = at if closed and place("svg") else reader.past_end_tag(name, at)
             at = size if end < 0 else end
             continue
         if name == "br":
             if not stack[-1][3]:
                 tree.runs.append((stack[-1][1], " ", False, turn))
             continue
-        if name in CLOSES_P and blocks.get("p") and (k := innermost({"p"}, BLOCK)) > 0:
+        if name in CLOSES_P and (k := place("p")) and k == blocks[-1]:
             close_to(k)
         if name in IMPLIED:
-            closes, bounds = IMPLIED[name]
-            while any(blocks.get(c) for c in closes) and (k := innermost(closes, bounds)) > 0:
+            while k := innermost(*IMPLIED[name]):
                 close_to(k)
         _, node, links, unshown = stack[-1]
         hidden, marks = _attributes(raw) if raw else (False, [])
-        unshown = unshown or hidden or name in UNSHOWN
+        unshown = unshown or hidden or name in UNSHOWN or name in IN_FORM and place("form") > 0
         if name in BLOCK and not unshown:
             turn += 1
             tree.parent.append(node)
@@ -250,12 +253,10 @@ def parse(source: str) -> Tree:
             continue
         if name in UNSHOWN and not reader.has_end(name, at):
             continue
-        stack.append((name, node, links + (name == "a"), unshown))
+        places.setdefault(name, []).append(len(stack))
         if name in BLOCK:
-            blocks[name] = blocks.get(name, 0) + 1
-            inline.append({})
-        else:
-            inline[-1][name] = inline[-1].get(name, 0) + 1
+            blocks.append(len(stack))
+        stack.append((name, node, links + (name == "a"), unshown))
     return tree
 
 
@@ -263,6 +264,12 @@ def features(tree: Tree) -> list[list[str]]:
     """Evidence of every node, from itself, the text below it, and where it stands on the page."""
     n = len(tree.tag)
     chars, linked, sentences, before = [0] * n, [0] * n, [0] * n, [-1] * n
+    inside, titled = [""] * n, [t == "h1" for t in tree.tag]
+    around: list[set[str]] = [set()] * n  # what the names of the elements around a node say
+    for i in range(1, n):
+        p = tree.parent[i]
+        inside[i] = tree.tag[p] if tree.tag[p] in SECTION else inside[p]
+        around[i] = around[p] | set(tree.marks[p]) if tree.marks[p] else around[p]
     total = 0
     for node, raw, in_link, _ in tree.runs:
         size = len(raw.strip())
@@ -272,11 +279,13 @@ def features(tree: Tree) -> list[list[str]]:
         chars[node] += size
         linked[node] += size * in_link
         sentences[node] += raw.count(". ") + raw.count(", ")
+    loose = list(chars)
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         chars[p] += chars[i]
         linked[p] += linked[i]
         sentences[p] += sentences[i]
+        titled[p] = titled[p] or titled[i]
         if before[i] >= 0 and (before[p] < 0 or before[i] < before[p]):
             before[p] = before[i]
     out = []
@@ -286,11 +295,25 @@ def features(tree: Tree) -> list[list[str]]:
         size = min(5, int(math.log2(chars[i] + 1) / 2))
         own = ["bias", f"tag={tag}", f"links={min(3, int(share * 4))}", f"size={size}", f"commas={min(3, int(math.log2(sentences[i] + 1)))}"]
         own.append(f"place={min(4, 5 * max(0, before[i]) // (total + 1))}")
-        own += [f"mark={m}" for m in tree.marks[i]]
+        own += [f"in={inside[i]}", f"tag={tag} in={inside[i]}"]
+        # its share of the page's text without links, the text of boxes also by itself
+        part = lambda x: min(5, 6 * x // (chars[0] - linked[0] + 1))
+        own.append(f"part={part(chars[i] - linked[i])}")
+        if tag in BOX:
+            own += [f"titled={titled[i]}", f"named={bool(tree.marks[i])} titled={titled[i]}"]
+            own.append(f"named={bool(tree.marks[i])} part={part(chars[i] - linked[i])}")
+            own += [f"loose={tag}", f"loose part={part(loose[i])}"] if loose[i] else []
+        for m in tree.marks[i]:
+            own += [f"mark={m}", f"mark={m} in={inside[i]}"]
+        own += [f"around={m}" for m in sorted(around[i])]
         out.append(own)
     return out
 
 
+#: Weight decay of the training.
+RIDGE = 2e-5
+
+
 class ContentModel:
     """Unary weights and the parent-child log-potentials; gives exact marginals of a tree."""
 
@@ -366,12 +389,21 @@ def labelled_pages(count: int = 480, seed: int = 11) -> Iterator[tuple[str, list
         return "".join(p[0] for p in parts), [x for p in parts for x in p[1]]
 
     def article() -> tuple[str, list[int]]:
-        parts = [text_of("h1", 1, 10, 1)]
+        heading = rng.choice(["h1", "h1", "h1", "h2", ""])
+        paragraph = rng.choice(["p", "p", "p", "p", "div"])
+        parts = [text_of(heading, 1, 10, 1)] if heading else []
+        if heading and rng.random() < 0.25:  # a head of its own
+            more = [text_of(rng.choice(["p", "h2", "div"]), 1, 20, 1)] if rng.random() < 0.4 else []
+            head = joined([*parts, *more])
+            parts = [(f"<header>{head[0]}</header>", [1, *head[1]])]
         most = rng.choice([3, 12, 90, 90])  # articles of verses and lines, and of paragraphs
+        if rng.random() < 0.3:  # text directly in its box
+            parts += [(rng.choice(["<br><br>", "<br>", "<hr>"]).join(prose(most // 2, 2 * most) for _ in range(rng.randint(1, 9))).replace("<hr>", "<br>"), [])]
+            return joined([*parts, *([boilerplate("comments")] if rng.random() < 0.2 else [])])
         for _ in range(rng.randint(1, 12 if most > 12 else 30)):
             kind = rng.random()
             if kind < 0.54:
-                parts.append(text_of("p", 1, most, 1))
+                parts.append(text_of(paragraph, 1, most, 1))
             elif kind < 0.61:
                 parts.append((f"<p>{prose(2, 20)} <a href='/x'>{prose(1, 5)}</a> {prose(2, 20)}</p>", [1]))
             elif kind < 0.66:
@@ -387,18 +419,31 @@ def labelled_pages(count: int = 480, seed: int = 11) -> Iterator[tuple[str, list
                 inner = text_of("p", 5, 30, 1)
                 parts.append((f"<blockquote>{inner[0]}</blockquote>", [1, *inner[1]]))
             elif kind < 0.83:
-                inner = joined([text_of("td", 1, 3, 1) for _ in range(3)])
-                parts.append((f"<table><tr>{inner[0]}</tr></table>", [1, 1, *inner[1]]))
+                parts.append(table(rng.randint(1, 4), rng.randint(1, 4)))
+            elif kind < 0.845:
+                inner = joined([text_of(tag, 1, 9, 1) for _ in range(rng.randint(1, 4)) for tag in ("dt", "dd")])
+                parts.append((f"<dl>{inner[0]}</dl>", [1, *inner[1]]))
             elif kind < 0.86:
                 parts.append((f"<figure><img src='/x.png'><figcaption>{prose(2, 9)}</figcaption></figure>", [1, 1]))
-            elif kind < 0.96:
-                parts.append(boilerplate(rng.choice(["ad", "aside", "form", "notice", "div.ad"])))
+            elif kind < 0.97:
+                parts.append(boilerplate(rng.choice(["ad", "aside", "form", "notice", "div.ad", "div.ad"])))
             else:
                 parts.append((f"<p><b>{prose(2, 30)}<br>", [1]))
+        if rng.random() < 0.3:  # short lines at the end
+            parts += [(f"<p>{rng.choice([word(), word()[0], word()[0].upper()])}</p>", [1]) for _ in range(rng.randint(1, 3))]
         if rng.random() < 0.2:
             parts.append(boilerplate("comments"))
         return joined(parts)
 
+    def table(rows: int, columns: int) -> tuple[str, list[int]]:
+        row = lambda tag: joined([text_of(tag, 1, rng.choice([1, 3, 8]), 1) for _ in range(columns)])
+        lines = [row("td") for _ in range(rows)]
+        body = joined([(f"<tr>{x}</tr>", [1, *y]) for x, y in lines])
+        if rng.random() < 0.5:
+            return f"<table>{body[0]}</table>", [1, *body[1]]
+        head = row("th")
+        return f"<table><thead><tr>{head[0]}</tr></thead><tbody>{body[0]}</tbody></table>", [1, 1, 1, *head[1], 1, *body[1]]
+
     def boilerplate(kind: str) -> tuple[str, list[int]]:
         some = lambda lo, hi: joined([text_of(rng.choice(["p", "div", "li", "h3"]), lo, hi, 0) for _ in range(rng.randint(1, 3))])
         if kind == "nav":
@@ -408,7 +453,7 @@ def labelled_pages(count: int = 480, seed: int = 11) -> Iterator[tuple[str, list
         if kind == "footer":
             return (f"<footer>&copy; {prose(2, 25)}</footer>", [0]) if rng.random() < 0.6 else wrap(rng.choice(["footer", "div"]), ["footer", "copyright", "legal"], some(2, 25), neutral=0.1)
         if kind in ("ad", "div.ad"):
-            return (f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo"])}">{prose(2, 40)}</div>', [0]) if rng.random() < 0.7 else wrap(rng.choice(["div", "section", "aside"]), ["ad", "advert", "sponsor", "promo"], some(2, 40))
+            return (f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo"])}">{rng.choice([prose(2, 40), prose(1, 3), word()])}</div>', [0]) if rng.random() < 0.7 else wrap(rng.choice(["div", "section", "aside"]), ["ad", "advert", "sponsor", "promo"], some(2, 40))
         if kind == "aside":
             return (f"<aside>{prose(3, 40)}</aside>", [0]) if rng.random() < 0.4 else wrap(rng.choice(["aside", "div"]), ["sidebar", "related", "widget", "trending"], joined([some(2, 30), links("div", 3)]), neutral=0.3)
         if kind == "form":
@@ -445,7 +490,7 @@ def labelled_pages(count: int = 480, seed: int = 11) -> Iterator[tuple[str, list
         yield f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{whole[0]}</body></html>", [0, 0, 0, 0, *whole[1]]
 
 
-def train_content_model(pages: Iterator[tuple[str, list[int]]] | None = None, rounds: int = 400) -> ContentModel:
+def train_content_model(pages: Iterator[tuple[str, list[int]]] | None = None, rounds: int = 800) -> ContentModel:
     """Piecewise training; each page comes with the labels of its blocks (root, html, head, body, ...)."""
     rows, labels = [], []
     counts = [[1.0, 1.0], [1.0, 1.0]]
@@ -463,9 +508,11 @@ def train_content_model(pages: Iterator[tuple[str, list[int]]] | None = None, ro
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     y = np.array(labels, float)
     w = np.zeros(len(names))
+    # steps by a bound of the curvature along each feature, so that rare ones are learned as well
+    curve = np.bincount(index, minlength=len(names)) * max(map(len, rows)) / 4 / len(rows) + RIDGE
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.bincount(row, w[index], len(rows))))
-        w -= 8.0 * (np.bincount(index, (p - y)[row], len(names)) / len(rows) + 1e-4 * w)
+        w -= 1.5 * (np.bincount(index, (p - y)[row], len(names)) / len(rows) + RIDGE * w) / curve
     # how a child's label follows its parent's, against how labels fall overall
     share = [sum(c[k] for c in counts) / sum(map(sum, counts)) for k in (0, 1)]
     pair = [[math.log(c[k] / sum(c) / share[k]) for k in (0, 1)] for c in counts]

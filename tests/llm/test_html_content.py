@@ -1,6 +1,7 @@
 """Main text of pages: broken markup, page furniture of other shapes, and time linear in the source."""
 
 import time
+from collections import Counter
 
 import pytest
 
@@ -68,6 +69,52 @@ def test_hand_written_pages(model, source, want):
     assert model.extract(f"<!DOCTYPE html><html><head><title>t</title></head><body>{source}</body></html>").split("\n") == want
 
 
+WORDS = " ".join(f"word{k}" for k in range(120))
+TEXTS = [sentence(k) for k in range(1, 4)]
+#: Articles of shapes that lose text easily, and their blocks.
+SHAPES = {
+    "text directly in a box": (f"<div><h1>Head of it</h1>{WORDS}<br><br>{WORDS}</div>", ["Head of it", f"{WORDS} {WORDS}"]),
+    "sentences directly in nested boxes": (f"<div id=c><div><h2>Head of it</h2>{TEXTS[0]}<br><br>{TEXTS[1]}<br>{TEXTS[2]}</div></div>", ["Head of it", " ".join(TEXTS)]),
+    "text directly in main, no heading": (f"<main>{TEXTS[0]}<br><br>{TEXTS[1]}</main>", [" ".join(TEXTS[:2])]),
+    "text directly in a cell": (f"<table><tr><td>{TEXTS[0]}<br><br>{TEXTS[1]}<br><br>{TEXTS[2]}</td></tr></table>", [" ".join(TEXTS)]),
+    "a head inside the article": (f"<article><header><h1>Head of it</h1></header><p>{WORDS}</p></article>", ["Head of it", WORDS]),
+    "a small table": (f"<article><h1>Head</h1><p>{TEXTS[0]}</p><table><thead><tr><th>a</th><th>b</th></tr></thead><tbody><tr><td>c</td><td>d</td></tr></tbody></table><p>{TEXTS[1]}</p></article>", ["Head", TEXTS[0], *"abcd", TEXTS[1]]),
+    "a letter at the end": (f"<article><h1>Head</h1><p>{TEXTS[0]}</p><p>E</p></article>", ["Head", TEXTS[0], "E"]),
+    "labels in a paragraph": (f"<article><h1>Head</h1><p>Some <label>labelled</label> and <output>put out</output> words.</p><p>{TEXTS[0]}</p></article>", ["Head", "Some labelled and put out words.", TEXTS[0]]),
+    "boxes instead of paragraphs": (f"<div class=zq><div>{TEXTS[0]}</div><div>{TEXTS[1]}</div><div>Yes.</div></div>", [*TEXTS[:2], "Yes."]),
+    "paragraphs without a heading": (f"<div><p>{TEXTS[0]}</p><p>{TEXTS[1]}</p></div>", TEXTS[:2]),
+    "sections with code": (f"<main><section><h2>One</h2><p>{TEXTS[0]}</p></section><section><h2>Two</h2><p>{TEXTS[1]}</p><pre>x = 1</pre></section></main>", ["One", TEXTS[0], "Two", TEXTS[1], "x = 1"]),
+    "details and an address": (f"<article><h1>Head</h1><p>{TEXTS[0]}</p><details><summary>More of it</summary><p>{TEXTS[1]}</p></details><address>Some place</address></article>", ["Head", TEXTS[0], "More of it", TEXTS[1], "Some place"]),
+    "a list of definitions": (f"<article><h1>Head</h1><dl><dt>One</dt><dd>{TEXTS[0]}</dd><dt>Two</dt><dd>Short</dd></dl></article>", ["Head", "One", TEXTS[0], "Two", "Short"]),
+    "an advert between": (f"<article><h1>Head</h1><p>{TEXTS[0]}</p><div class=advert><p>{TEXTS[2]}</p></div><p>{TEXTS[1]}</p></article>", ["Head", *TEXTS[:2]]),
+    "comments of readers": (f"<article><h1>Head</h1><p>{TEXTS[0]}</p></article><div id=comments><div class=comment><p>{TEXTS[1]}</p></div><div class=comment>{TEXTS[2]}</div></div>", ["Head", TEXTS[0]]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes(model, shape):
+    source, want = SHAPES[shape]
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>{source}<footer>Copyright x</footer></body></html>"
+    assert model.extract(page).split("\n") == want
+
+
+def test_word_recall_and_precision(model):
+    """Over all hand-written pages nearly every word of an article is kept, and nearly no other."""
+    kept = wanted = right = 0
+    for source, want in [*HAND_WRITTEN, *SHAPES.values()]:
+        got = Counter(model.extract(f"<html><body>{source}</body></html>").split())
+        words = Counter(" ".join(want).split())
+        kept, wanted, right = kept + got.total(), wanted + words.total(), right + (got & words).total()
+    assert right / wanted >= 0.98 and right / kept >= 0.98
+
+
+def test_nested_lists_take_linear_time():
+    unit = "<div>" * 90_000 + "<li></li>" * 50_000
+    began = time.time()
+    html_content.parse("<ul><li><ul>" + unit)
+    assert time.time() - began < 8
+
+
 @pytest.mark.parametrize("unit", ["<a ", "<a href=\"x' ", "<svg>", "<div>", "</x", "<![CDATA[", "<select><option>", "<p title='", "<b><i></b>"])
 def test_linear_time(model, unit):
     source = unit * (1_000_000 // len(unit))

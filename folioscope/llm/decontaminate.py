@@ -18,8 +18,8 @@ window of any item in a bit table of fixed size; these go through one automaton
 other, which is then given up, so that workers and driver hold one at a time.
 
 Defined cases: null or word-free texts have no words, no hits and are not contaminated;
-items without words, and items whose id is null, match nothing; repeated items are
-reported under each of their ids; repeated document rows each give a row; null ids stay
+items without words match nothing; an item whose id is null is matched but not listed;
+repeated items are reported under each of their ids; repeated document rows each give a row; null ids stay
 null; other columns of the documents pass through :func:`remove_contamination`
 untouched, whatever their names.
 """
@@ -194,7 +194,7 @@ class ItemAutomaton:
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """(item, text, n_words) of the items that can match, each once."""
-    named = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
+    named = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"]).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +324,7 @@ _PAIRS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 def _found_columns(rows: list) -> list[pa.Array]:
     spans = [[{"lo": x, "hi": y} for x, y in r[1]] for r in rows]
-    return [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, _PAIRS), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
+    return [pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, _PAIRS), pa.array([sorted(i for i in r[2] if i is not None) for r in rows], pa.list_(pa.string()))]
 
 
 def _dealt_items(benchmark: DataFrame, max_item_words: int) -> tuple[DataFrame, int]:

@@ -148,11 +148,11 @@ def _chosen(docs: DataFrame, labels: DataFrame, max_labelled: int, max_full: int
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna()
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    own = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    least = texts.join(F.broadcast(own), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct("tag", "size")).alias("t"))
+    # labels of ids that no document has take no place in the sample
+    least = texts.groupBy("doc_id").agg(F.min(F.struct("tag", "size")).alias("t")).join(own, "doc_id")
     rows, held, used, in_full = [], 0, 0, 0
-    for r in least.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+    for r in least.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect():
         if held + r.t.size > max_bytes:
             continue
         full = in_full < max_full and used + r.t.size <= max_bytes // 2

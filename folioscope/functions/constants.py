@@ -120,3 +120,51 @@ CODE_THEME_ALIASES = {"github": "github-light", "solarized": "solarized-light"}
 HEADING_SIZES = (17.0, 15.0, 13.0, 12.0)
 FONT_SIZES = {"code": 9.0, "table": 9.0, "caption": 8.0}
 INTERFACE_TEXT = "Sayfa 0123456789 · kod devamı │ » • [görsel ağ: ] / . -"
+
+# Resource types of requests and what filter rules call them.
+REQUEST_TYPES = {
+    alias: name
+    for name, aliases in {
+        "script": "script",
+        "image": "image img",
+        "stylesheet": "stylesheet css",
+        "object": "object object-subrequest",
+        "xmlhttprequest": "xmlhttprequest xhr fetch",
+        "subdocument": "subdocument frame iframe sub_frame",
+        "document": "document doc main_frame",
+        "ping": "ping beacon",
+        "websocket": "websocket",
+        "media": "media",
+        "font": "font",
+        "other": "other",
+    }.items()
+    for alias in aliases.split()
+}
+# Other options of rules that decide about requests.
+FILTER_OPTIONS = "third-party 3p first-party 1p domain from match-case important badfilter redirect all".split()
+# Common public suffixes of two labels.
+SECOND_LEVEL = tuple(
+    f"{second}.{top}"
+    for top, seconds in {
+        "uk": "co org ac gov ltd plc net sch nhs police me",
+        "tr": "com org net gov edu bel k12 av gen web info biz tv",
+        "au": "com net org edu gov id asn",
+        "jp": "co ne or ac go ad ed gr lg",
+        "br": "com net org gov edu art blog eco",
+        "nz": "co net org govt ac school geek",
+        "za": "co net org gov ac web",
+        "in": "co net org gov ac firm gen ind nic res",
+        "kr": "co ne or go ac re pe",
+        "cn": "com net org gov edu ac",
+        "tw": "com net org gov edu idv",
+        "hk": "com net org gov edu idv",
+        "mx": "com net org gob edu",
+        "ar": "com net org gob edu",
+        "il": "co net org gov ac muni",
+        "sg": "com net org gov edu per",
+        "id": "co net or go ac web",
+        "pl": "com net org edu gov waw",
+        "ua": "com net org edu gov in",
+    }.items()
+    for second in seconds.split()
+)

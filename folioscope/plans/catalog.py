@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import constants as K
 from folioscope.functions import text as T
-from folioscope.operators import codetok, extract, relational
+from folioscope.operators import codetok, extract, filters, relational
 from folioscope.plans import dimensions, sql_functions
 from folioscope.sources.tables import document_metadata, read_table, refreshed_lists, run_summary, settled_attempts
 
@@ -409,6 +409,33 @@ def image_antijoin(spark, sf_dir):
     return relational.allowed(pages, rules, url="url").select("page_id", "url")
 
 
+_KIND = "CASE p.l_partkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'script' ELSE 'subdocument' END"
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {_KIND} AS type,
+        (k % 8 = 0 AND path = 3) OR (NOT coalesce((k % 6 = 5 AND l_partkey % 3 = 0) OR (k % 4 = 0 AND path IN (3, 4) AND l_partkey % 3 <> 1), false)
+          AND ((k % 6 = 0 AND k % 10 <> 0 AND l_suppkey % 4 <> 0) OR (k % 6 = 1 AND path = 0 AND l_partkey % 3 = 0) OR (k % 6 = 2 AND path = 1)
+            OR (k % 6 = 3 AND path = 2 AND l_partkey % 3 = 1 AND l_suppkey % 4 = 1) OR (k % 6 = 4 AND path = 5))) AS blocked
+        FROM (SELECT *, l_linenumber % 6 AS path, coalesce(o_orderkey, -1) AS k FROM lineitem LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey = l_orderkey) p"""
+)
+def filter_verdicts(spark, sf_dir):
+    """Rules of ten forms, two for every order or so, against a request for every line item: addresses, parties, types and domains differ."""
+    put = lambda text: F.replace(F.lit(text), F.lit("#"), k)
+    k, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
+    main = F.element_at(F.array(*(put(x) for x in ("||cdn#.example^$third-party", "/banner#/*.gif$image", "-ad#-", "||cdn#.example/track*pixel^$script,domain=a#.example|~b.a#.example", "|http://cdn#.example/x#|", "@@||cdn#.example^$image"))), (n % 6 + 1).cast("int"))
+    others = [F.when(n % 4 == 0, put("@@||cdn#.example/ok^$~script")), F.when(n % 8 == 0, put("||cdn#.example/ok/forced$important")), F.when((n % 6 == 0) & (n % 10 == 0), put("||cdn#.example^$third-party,badfilter")), F.when(n % 5 == 0, put("! a comment on cdn#.example")), F.when(n % 7 == 0, put("cdn#.example##.banner"))]
+    lines = read_table(spark, sf_dir, "orders").select(F.explode(F.array_compact(F.array(main, *others))).alias("raw"))
+    items = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    k = F.col("l_orderkey").cast("string")
+    own = F.concat(F.lit("https://s"), F.col("l_partkey").cast("string"), F.lit(".cdn"), k, F.lit(".example"))
+    url = F.element_at(F.array(*(F.concat(own, put(x)) for x in ("/banner#/x.gif", "/a-ad#-b", "/track/9/pixel?z", "/ok/forced/y", "/ok")), put("http://cdn#.example/x#")), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    source = F.element_at(F.array(put("https://www.cdn#.example/"), put("https://a#.example/"), put("https://b.a#.example/x"), F.lit("https://other.co.uk")), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("image", "script", "subdocument"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    requests = items.select("*", url.alias("url"), source.alias("source_url"), kind.alias("type"))
+    return filters.verdicts(requests, filters.parse_filters(lines)).select(*items.columns, "type", "blocked")
+
+
 # ---- code
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import constants as K
+from folioscope.functions.address import absolute_url
 from folioscope.operators.dom import Element, parse_document
 
 _SKIP, _ROLES, _INLINE, _BREAKS = map(frozenset, (K.SKIP_TAGS, K.SKIP_ROLES, K.INLINE_TAGS, K.LINE_BREAKING_TAGS))
@@ -250,18 +250,6 @@ def srcset(raw: str) -> list[tuple[int, str]]:
     return out
 
 
-def absolute_url(base: str, href: str) -> str | None:
-    href = href.strip()
-    if not href or href.lower().startswith(("data:", "javascript:")):
-        return None
-    try:
-        out = urljoin(base, href)
-        parts = urlsplit(out)
-    except ValueError:
-        return None
-    return out if parts.scheme in ("http", "https") and parts.netloc else None
-
-
 def image_source(img: Element) -> str | None:
     direct = (img.attrs[a].strip() for a in K.SOURCE_ATTRIBUTES if a in img.attrs)
     if found := next((s for s in direct if s and not is_placeholder(s)), None):

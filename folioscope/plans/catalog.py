@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import address
 from folioscope.functions import constants as K
 from folioscope.functions import text as T
 from folioscope.operators import codetok, extract, filters, relational
@@ -409,6 +410,42 @@ def image_antijoin(spark, sf_dir):
     return relational.allowed(pages, rules, url="url").select("page_id", "url")
 
 
+#: Links, and where they lead from a page at {origin}{folder}{name}?{query}, as SQL.
+_LINKS = {
+    "img/a b.png": "origin || folder || 'img/a%20b.png'",
+    "/a/./b/../c": "origin || '/a/c'",
+    "..": "origin || regexp_replace(folder, '[^/]+/$', '')",
+    "../../../%2e%2E/up": "origin || '/up'",
+    "?q=1": "origin || folder || name || '?q=1'",
+    "#part": "url || '#part'",
+    " \t": "url",
+    "\\\\img.example\\x y": "scheme || '//img.example/x%20y'",
+    "//CDN.example:80/x": "scheme || '//cdn.example' || CASE scheme WHEN 'http:' THEN '' ELSE ':80' END || '/x'",
+    "HTTP://EXÄMPLE.org:80/%7Ea?b'c": "'http://xn--exmple-cua.org/%7Ea?b%27c'",
+    "https://u:p@h.example:443": "'https://u:p@h.example/'",
+    "x\ty\n.png": "origin || folder || 'xy.png'",
+    "//0x7f.1/a": "scheme || '//127.0.0.1/a'",
+    "ß|^": "origin || folder || '%C3%9F|%5E'",
+    "": "NULL",
+    "data:image/png;base64,xx": "NULL",
+    "mailto:a@b.example": "NULL",
+    "http://a b/": "NULL",
+    "http://h:65536/": "NULL",
+}
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^(https?://[^/]*)', 1) AS origin,
+            regexp_extract(url, '^https?://[^/]*(/[^?#]*/|/)', 1) AS folder, regexp_extract(url, '^https?://[^?#]*/([^/?#]*)', 1) AS name FROM pages)
+        {" UNION ALL ".join(f"SELECT page_id, {k} AS link_no, CAST({x} AS VARCHAR) AS target FROM p" for k, x in enumerate(_LINKS.values()))}"""
+)
+def link_targets(spark, sf_dir):
+    """Links of many forms, resolved at the address of every page."""
+    links = F.array(*(F.lit(x) for x in _LINKS))
+    rows = read_table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(links).alias("link_no", "link"))
+    return rows.select("page_id", "link_no", address.joined(F.col("url"), F.col("link")).alias("target"))
+
+
 _KIND = "CASE p.l_partkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'script' ELSE 'subdocument' END"
 
 

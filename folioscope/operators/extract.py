@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import constants as K
 from folioscope.functions.address import absolute_url
-from folioscope.operators.dom import Element, parse_document
+from folioscope.operators.dom import Element, parse_document, written
 
 _SKIP, _ROLES, _INLINE, _BREAKS = map(frozenset, (K.SKIP_TAGS, K.SKIP_ROLES, K.INLINE_TAGS, K.LINE_BREAKING_TAGS))
 _MARKER_WORDS = tuple(m for m in K.BOILERPLATE_MARKERS if "-" not in m)
@@ -517,5 +517,18 @@ def extract_articles(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id", "u
     return narrow.mapInArrow(run, f"{kept}, {SCHEMA}")
 
 
+def body_trees(pages: DataFrame, *, keep: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
+    """The columns kept, and ``tree``: the body of each page as it is built, written as markup."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [written(parse_document(x or "").children[1]) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(trees, pa.string())], names=[*keep, "tree"])
+
+    narrow = pages.select(*keep, html)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema[: len(keep)])
+    return narrow.mapInArrow(run, f"{kept}tree string")
+
+
 def explode_blocks(articles: DataFrame, key: str = "page_id") -> DataFrame:
     return articles.select(key, F.posexplode("blocks").alias("pos", "b")).select(key, "pos", "b.*")

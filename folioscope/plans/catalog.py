@@ -410,6 +410,33 @@ def image_antijoin(spark, sf_dir):
     return relational.allowed(pages, rules, url="url").select("page_id", "url")
 
 
+#: Malformed markup around a name, and the tree that it makes.
+_MALFORMED = {
+    "<p>1<b>#<i>3</b>4</i>5</p>": "<p>1<b>#<i>3</i></b><i>4</i>5</p>",
+    "<b>#<p>2</b>3</p>": "<b>#</b><p><b>2</b>3</p>",
+    "<table><p>#": "<p>#</p><table></table>",
+    "<a>x<div>#<a>z": "<a>x</a><div><a>#</a><a>z</a></div>",
+    "<table><b><tr><td>#</td></tr>bbb</table>ccc": "<b></b><b>bbb</b><table><tbody><tr><td>#</td></tr></tbody></table><b>ccc</b>",
+    "<ul><li>#<ul><li>b</ul><li>c</ul>": "<ul><li>#<ul><li>b</li></ul></li><li>c</li></ul>",
+    "<div><b>#</div>y": "<div><b>#</b></div><b>y</b>",
+    "<table>#<tr>y<td>z</table>w": "#y<table><tbody><tr><td>z</td></tr></tbody></table>w",
+    "<select><b>a<option>#<option>c</select>d": "<select>a<option>#</option><option>c</option></select>d",
+    "<table><caption>#<tr><td>b</table>": "<table><caption>#</caption><tbody><tr><td>b</td></tr></tbody></table>",
+    "<dl><dt>#<dd>b<p>c<dt>d</dl>": "<dl><dt>#</dt><dd>b<p>c</p></dd><dt>d</dt></dl>",
+    "<!DOCTYPE html><p>#<table><td>b</table>c": "<p>#</p><table><tbody><tr><td>b</td></tr></tbody></table>c",
+    "<form><form><p>#</form>b</form>": "<form><p>#</p></form>b",
+    "<font><p>#</font></p></p>b</br>": "<font></font><p><font>#</font></p><p></p>b<br>",
+}
+
+
+@query(f"SELECT p_partkey, replace(CASE p_partkey % {len(_MALFORMED)} {' '.join(f'WHEN {k} THEN {chr(39)}{x}{chr(39)}' for k, x in enumerate(_MALFORMED.values()))} END, '#', p_name) AS tree FROM part")
+def malformed_trees(spark, sf_dir):
+    """Crossed and unclosed formatting, content that a table may not hold, parts out of place: the trees that browsers make of them."""
+    markup = F.element_at(F.array(*(F.lit(x) for x in _MALFORMED)), (F.col("p_partkey") % len(_MALFORMED) + 1).cast("int"))
+    pages = read_table(spark, sf_dir, "part").select("p_partkey", F.replace(markup, F.lit("#"), F.col("p_name")).alias("html"))
+    return extract.body_trees(pages, keep=("p_partkey",))
+
+
 #: Links, and where they lead from a page at {origin}{folder}{name}?{query}, as SQL.
 _LINKS = {
     "img/a b.png": "origin || folder || 'img/a%20b.png'",
@@ -417,8 +444,8 @@ _LINKS = {
     "..": "origin || regexp_replace(folder, '[^/]+/$', '')",
     "../../../%2e%2E/up": "origin || '/up'",
     "?q=1": "origin || folder || name || '?q=1'",
-    "#part": "url || '#part'",
-    " \t": "url",
+    "#part": "regexp_replace(url, '#.*$', '') || '#part'",
+    " \t": "regexp_replace(url, '#.*$', '')",
     "\\\\img.example\\x y": "scheme || '//img.example/x%20y'",
     "//CDN.example:80/x": "scheme || '//cdn.example' || CASE scheme WHEN 'http:' THEN '' ELSE ':80' END || '/x'",
     "HTTP://EXÄMPLE.org:80/%7Ea?b'c": "'http://xn--exmple-cua.org/%7Ea?b%27c'",

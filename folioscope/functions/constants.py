@@ -117,6 +117,7 @@ CODE_THEME_ALIASES = {"github": "github-light", "solarized": "solarized-light"}
 
 # Font sizes (pt) of headings by level and of other kinds of blocks, and the
 # characters that page furniture uses.
+CODE_PADDING_MM = 2.0
 HEADING_SIZES = (17.0, 15.0, 13.0, 12.0)
 FONT_SIZES = {"code": 9.0, "table": 9.0, "caption": 8.0}
 INTERFACE_TEXT = "Sayfa 0123456789 · kod devamı │ » • [görsel ağ: ] / . -"
@@ -168,3 +169,22 @@ SECOND_LEVEL = tuple(
     }.items()
     for second in seconds.split()
 )
+
+# Advance widths of the characters from space to tilde in thousandths of the font size, for a sans font and its bold; of all characters of a mono font.
+SANS_WIDTHS = (
+    "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 "
+    "1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 "
+    "333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
+)
+BOLD_WIDTHS = (
+    "278 333 474 556 556 889 722 238 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 333 333 584 584 584 611 "
+    "975 722 722 722 722 667 611 778 722 278 556 722 611 833 722 778 667 778 722 667 611 722 667 944 667 667 611 333 278 333 584 556 "
+    "333 556 611 556 611 556 333 611 611 278 278 556 278 889 611 611 611 611 389 556 333 611 556 778 556 556 500 389 280 389 584"
+)
+MONO_WIDTH, OTHER_WIDTH = 600, 556
+# Height of a line in font sizes, space between lines; gaps around blocks in lines of body text (before, after).
+SANS_LINE, MONO_LINE, LINE_SPACING = 1.149, 1.133, 1.3
+GAPS = {"title": (0.0, 0.8), "heading": (0.4, 0.2), "paragraph": (0.0, 0.35), "caption": (0.0, 0.35), "quote": (0.0, 0.35), "code": (0.0, 0.5), "table": (0.2, 0.6), "image": (0.0, 0.4), "note": (0.0, 0.2), "divider": (0.0, 0.5), "list_item": (0.0, 0.5)}
+TITLE_SIZE, BODY_SIZE, DIVIDER_SIZE, HEADER_SIZE, BADGE_SIZE = 20.0, 12.0, 8.0, 8.0, 7.0
+# Fixed values (mm): around quotes and cells (upright, sideways), and of one level of a list.
+QUOTE_PADDING, CELL_PADDING, LIST_INDENT = (4.0, 18.0), (1.0, 2.0), 10.0

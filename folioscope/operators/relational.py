@@ -32,43 +32,6 @@ def list_runs(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return blocks.filter("kind = 'list_item'").withColumn("_run", F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))).withColumn("run", F.dense_rank().over(Window.partitionBy(key).orderBy("_run")).cast("int")).drop("_run")
 
 
-def number_lists(items: DataFrame, key: str = "page_id") -> DataFrame:
-    """Bullets of list items, run by run: ordered counters by depth, carried on between sibling lists.
-
-    An unordered item resets counters at its depth and below; a run ends at the first item
-    whose depth fits no open level, and what follows in it gets no bullet (null).
-    """
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        counters: dict[int, int] = {}
-        levels: list[int] = []
-        bullets: list[str | None] = []
-        for ordered, depth in zip(rows["ordered"], rows["depth"]):
-            if not levels or depth > levels[-1]:
-                if bullets and not levels:
-                    bullets.append(None)
-                    continue
-                levels.append(depth)
-            else:
-                while levels and levels[-1] > depth:
-                    levels.pop()
-                if not levels or levels[-1] != depth:
-                    levels = []
-                    bullets.append(None)
-                    continue
-            if ordered:
-                counters[depth] = counters.get(depth, 0) + 1
-                bullets.append(f"{counters[depth]}.")
-            else:
-                counters = {d: n for d, n in counters.items() if d < depth}
-                bullets.append("•")
-        return rows.assign(bullet=bullets)
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.groupBy(key, "run").applyInPandas(number, f"{kept}, bullet string")
-
-
 def outline(headings: DataFrame, key: str) -> DataFrame:
     """Parent, neighbours and descendants of headings (key, idx from 0, title, level).
 
@@ -319,20 +282,24 @@ def page_lines(units: list[int], at: int, available: float, height: float) -> in
     return page_end(unit_starts(units), len(units), at, int(available // height)) - at
 
 
-def paginate(lines: DataFrame, key: str, *, first_mm: float, page_mm: float, line_mm: float) -> DataFrame:
-    """(key, vline_no, unit) with page and offset of each line of a code block; blocks move on whole if they can."""
+def paginate(lines: DataFrame, key: str, *, first_mm: float, page_mm: float, line_mm: float, padding_mm: float = K.CODE_PADDING_MM) -> DataFrame:
+    """(key, vline_no, unit) with page and offset of each line of a code block; blocks move on whole if they can.
+
+    The box around the lines has its padding above and below on every page.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vline_no")
         starts, total = unit_starts(rows["unit"].tolist()), len(rows)
-        moves = total * line_mm > first_mm + 0.5 and total * line_mm <= page_mm - 1
+        whole = total * line_mm + 2 * padding_mm
+        moves = whole > first_mm + 0.5 and whole <= page_mm - 1
         at, page, room, pages, tops = 0, int(moves), page_mm if moves else first_mm, [], []
         while at < total:
-            end = page_end(starts, total, at, int(room // line_mm))
+            end = page_end(starts, total, at, int((room - 2 * padding_mm) // line_mm))
             if end == at and room >= page_mm:
                 end = at + 1
             pages += [page] * (end - at)
-            tops += [(k + (page_mm - room) / line_mm) * line_mm for k in range(end - at)]
+            tops += [page_mm - room + padding_mm + k * line_mm for k in range(end - at)]
             at, page, room = end, page + 1, page_mm
         return rows.assign(page_no=pages, y_mm=tops)
 
@@ -340,9 +307,10 @@ def paginate(lines: DataFrame, key: str, *, first_mm: float, page_mm: float, lin
     return lines.groupBy(key).applyInPandas(run, f"{kept}, page_no int, y_mm double")
 
 
-def code_boxes(placed: DataFrame, key: str, *, line_mm: float) -> DataFrame:
+def code_boxes(placed: DataFrame, key: str, *, line_mm: float, padding_mm: float = K.CODE_PADDING_MM) -> DataFrame:
     """The box behind a code block on each of its pages, and on which pages it goes on from the one before."""
-    per_page = placed.groupBy(key, "page_no").agg(F.min("y_mm").alias("top_mm"), (F.max("y_mm") + line_mm).alias("bottom_mm"), F.count(F.lit(1)).alias("n_lines"), F.min("vline_no").alias("first_line"))
+    top, bottom = F.min("y_mm") - padding_mm, F.max("y_mm") + line_mm + padding_mm
+    per_page = placed.groupBy(key, "page_no").agg(top.alias("top_mm"), bottom.alias("bottom_mm"), F.count(F.lit(1)).alias("n_lines"), F.min("vline_no").alias("first_line"))
     return per_page.withColumn("continued", F.min("page_no").over(Window.partitionBy(key)) < F.col("page_no"))
 
 
@@ -352,24 +320,39 @@ def code_splits(boxes: DataFrame, key: str) -> DataFrame:
 
 
 def highlight_bands(placed: DataFrame, key: str, *, line_mm: float) -> DataFrame:
-    """Bands behind neighbouring highlighted lines of a page, each from the first line's top to the last one's bottom."""
-    lit = placed.filter("highlighted")
-    w = Window.partitionBy(key, "page_no").orderBy("vline_no")
-    run = lit.withColumn("_g", F.col("vline_no") - F.row_number().over(w))
-    return run.groupBy(key, "page_no", "_g").agg(F.min("y_mm").alias("top_mm"), (F.max("y_mm") + line_mm).alias("bottom_mm"), F.count(F.lit(1)).alias("n_lines")).drop("_g")
+    """The band behind each visual line that is highlighted; neighbours have bands of their own."""
+    return placed.filter("highlighted").select(key, "page_no", "vline_no", F.col("y_mm").alias("top_mm"), (F.col("y_mm") + line_mm).alias("bottom_mm"))
+
+
+def max_columns(box_mm: Column, font_pt: Column) -> Column:
+    """How many characters of the mono font a line of a code box holds: twelve at least, in a box of twenty mm at least."""
+    advance_mm = font_pt * F.lit(K.MONO_WIDTH / 1000 * 25.4 / 72)
+    return F.greatest(F.floor(F.greatest(box_mm - 2 * K.CODE_PADDING_MM, F.lit(20.0)) / advance_mm + 1e-9), F.lit(12)).cast("int")
 
 
-def visual_lines(blocks: DataFrame, key: tuple[str, ...], *, columns: int, numbers: bool = True) -> DataFrame:
-    """Code blocks wrapped into visual lines with their gutter marks; all native."""
-    lines = blocks.select(*key, "highlights", F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\t"), F.lit("    ")), "\n").alias("ls"))
+def visual_lines(blocks: DataFrame, key: tuple[str, ...], *, columns: int | Column, numbers: bool = True, badge: bool = False) -> DataFrame:
+    """Code blocks wrapped into visual lines with their gutter marks; all native.
+
+    columns may be a column of the blocks.  badge: a block of a known language begins with a
+    line that names it; the line belongs to the first source line.
+    """
+    columns = columns if isinstance(columns, Column) else F.lit(columns)
+    lang = F.col("lang") if badge else F.lit(None).cast("string")
+    lines = blocks.select(*key, "highlights", columns.alias("_columns"), lang.alias("_lang"), F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\t"), F.lit("    ")), "\n").alias("ls"))
     n = F.size("ls")
     numbered = F.lit(numbers) & (n >= 2)
     digits = F.greatest(F.lit(2), F.length(n.cast("string")))
-    width = F.greatest(F.lit(columns) - F.when(numbered, digits + 3).otherwise(F.lit(0)), F.lit(8))
-    rows = lines.select(*key, numbered.alias("numbered"), digits.alias("digits"), width.alias("width"), "highlights", F.posexplode("ls").alias("unit", "line"))
-    rows = rows.select(*key, "numbered", "digits", "unit", F.coalesce(F.array_contains("highlights", F.col("unit")), F.lit(False)).alias("highlighted"), F.posexplode(T.visual_chunks(F.col("line"), F.col("width"), F.col("width") - 2)).alias("part", "text"))
+    width = F.greatest(F.col("_columns") - F.when(numbered, digits + 3).otherwise(F.lit(0)), F.lit(8))
+    rows = lines.select(*key, numbered.alias("numbered"), digits.alias("digits"), width.alias("width"), "_lang", "highlights", F.posexplode("ls").alias("unit", "line"))
+    rows = rows.select(*key, "numbered", "digits", "unit", "_lang", F.coalesce(F.array_contains("highlights", F.col("unit")), F.lit(False)).alias("highlighted"), F.posexplode(T.visual_chunks(F.col("line"), F.col("width"), F.col("width") - 2)).alias("part", "text"))
+    marker = T.gutter_marker(F.col("unit") + 1, F.col("digits"), F.col("part") > 0, F.col("numbered"))
+    kept = ["unit", "part", "marker", "text", "highlighted"]
+    rows = rows.select(*key, "_lang", "unit", "part", marker.alias("marker"), "text", "highlighted")
+    if badge:
+        named = rows.filter("unit = 0 AND part = 0 AND _lang IS NOT NULL").select(*key, F.lit(0).alias("unit"), F.lit(-1).alias("part"), F.lit("").alias("marker"), F.col("_lang").alias("text"), F.lit(False).alias("highlighted"))
+        rows = rows.select(*key, *kept).union(named)
     order = Window.partitionBy(*key).orderBy("unit", "part")
-    return rows.select(*key, (F.row_number().over(order) - 1).alias("vline_no"), "unit", "part", T.gutter_marker(F.col("unit") + 1, F.col("digits"), F.col("part") > 0, F.col("numbered")).alias("marker"), "text", "highlighted")
+    return rows.select(*key, (F.row_number().over(order) - 1).alias("vline_no"), *kept)
 
 
 # ---- translation

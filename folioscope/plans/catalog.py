@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import address
 from folioscope.functions import constants as K
 from folioscope.functions import text as T
-from folioscope.operators import codetok, extract, filters, relational
+from folioscope.operators import codetok, extract, filters, layout, relational
 from folioscope.plans import dimensions, sql_functions
 from folioscope.sources.tables import document_metadata, read_table, refreshed_lists, run_summary, settled_attempts
 
@@ -276,12 +276,12 @@ _LIST_SQL = """items AS (SELECT r_regionkey AS r, -1 AS n, r_name AS text, false
 
 @query(
     f"""WITH {_LIST_SQL} SELECT CAST(row_number() OVER (ORDER BY r, n) AS INTEGER) AS item, text, ordered, CAST(depth AS INTEGER) AS depth, CASE WHEN r = 1000 THEN 2 ELSE 1 END AS run,
-        CASE WHEN ordered THEN row_number() OVER (PARTITION BY r, ordered ORDER BY n) || '.' ELSE '•' END AS bullet FROM items"""
+        CASE WHEN ordered THEN row_number() OVER (PARTITION BY r, ordered ORDER BY n) || '.' ELSE '•' END AS bullet, CAST(10 * (depth + 1) AS DOUBLE) AS indent_mm, CAST(174 - 10 * (depth + 1) AS DOUBLE) AS text_mm FROM items"""
 )
 def list_numbers(spark, sf_dir):
     items = relational.list_runs(_list_blocks(spark, sf_dir)).select("page_id", "pos", "text", "ordered", "depth", "run")
-    numbered = relational.number_lists(items)
-    return numbered.select(F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("item"), "text", "ordered", "depth", "run", "bullet")
+    numbered = layout.list_layout(items, width_mm=174.0)
+    return numbered.select(F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).alias("item"), "text", "ordered", "depth", "run", "bullet", "indent_mm", "text_mm")
 
 
 # ---- images
@@ -663,10 +663,10 @@ def outline_tree(spark, sf_dir):
 _PAGES_SQL = """u AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS unit, 1 + p_size % 3 AS n, p_size % 5 = 0 AS hl FROM part),
     v AS (SELECT *, CAST(sum(n) OVER (PARTITION BY p_brand ORDER BY unit) AS BIGINT) - n AS first FROM u),
     b AS (SELECT p_brand, list(first ORDER BY first) AS starts, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY p_brand),
-    m AS (SELECT *, total * 4.2 > 120.5 AND total * 4.2 <= 270 AS moves FROM b),
+    m AS (SELECT *, total * 4.2 + 4 > 120.5 AND total * 4.2 + 4 <= 270 AS moves FROM b),
     r(p_brand, starts, total, page_no, begins, stop) AS (
-        SELECT p_brand, starts, total, CAST(moves AS INTEGER), CAST(0 AS BIGINT), page_stop(starts, total, 0, CASE WHEN moves THEN 64 ELSE 28 END) FROM m
-        UNION ALL SELECT p_brand, starts, total, page_no + 1, stop, page_stop(starts, total, stop, 64) FROM r WHERE stop < total),
+        SELECT p_brand, starts, total, CAST(moves AS INTEGER), CAST(0 AS BIGINT), page_stop(starts, total, 0, CASE WHEN moves THEN 63 ELSE 27 END) FROM m
+        UNION ALL SELECT p_brand, starts, total, page_no + 1, stop, page_stop(starts, total, stop, 63) FROM r WHERE stop < total),
     l AS (SELECT p_brand, page_no, begins, unnest(range(begins, stop)) AS k FROM r),
     placed AS (SELECT l.p_brand, v.unit, v.hl, CAST(k + 1 AS INTEGER) AS vline_no, page_no, k - begins AS on_page FROM l JOIN v ON v.p_brand = l.p_brand AND k >= first AND k < first + n)"""
 
@@ -680,7 +680,7 @@ def _with_stop(sql: str) -> str:
         back = f"list_filter({starts}, lambda x: x < {end})[-1]"
         return f"CAST(CASE WHEN {total} - {end} = 1 AND {end} - ({at}) > 1 AND {back} > ({at}) THEN {back} ELSE {end} END AS BIGINT)"
 
-    return re.sub(r"page_stop\((starts, total, (?:0, CASE WHEN moves THEN 64 ELSE 28 END|stop, 64))\)", stop, sql)
+    return re.sub(r"page_stop\((starts, total, (?:0, CASE WHEN moves THEN 63 ELSE 27 END|stop, 63))\)", stop, sql)
 
 
 def _placed_code(spark, sf_dir) -> DataFrame:
@@ -710,16 +710,13 @@ def code_box_pages(spark, sf_dir):
 
 @query(
     _with_stop(
-        f"""WITH RECURSIVE {_PAGES_SQL}, h AS (SELECT *, vline_no - row_number() OVER (PARTITION BY p_brand, page_no ORDER BY vline_no) AS g FROM placed WHERE hl)
-        SELECT p_brand, page_no, CAST(min(vline_no) AS INTEGER) AS first_line, count(*) AS n_lines, CAST(round(count(*) * 4.2, 3) AS DOUBLE) AS height_mm FROM h GROUP BY p_brand, page_no, g"""
+        f"""WITH RECURSIVE {_PAGES_SQL} SELECT p_brand, page_no, vline_no, round(CASE WHEN page_no = 0 THEN 151 ELSE 0 END + 2 + on_page * 4.2::DOUBLE, 3) AS top_mm, 4.2::DOUBLE AS height_mm FROM placed WHERE hl"""
     )
 )
 def highlight_band_pages(spark, sf_dir):
-    """Bands behind highlighted lines; a band ends with its page."""
-    placed = _placed_code(spark, sf_dir)
-    bands = relational.highlight_bands(placed, "p_brand", line_mm=4.2)
-    first = placed.select("p_brand", "page_no", F.round("y_mm", 3).alias("top"), "vline_no")
-    return bands.withColumn("top", F.round("top_mm", 3)).join(first, ["p_brand", "page_no", "top"]).select("p_brand", "page_no", F.col("vline_no").alias("first_line"), "n_lines", F.round(F.col("bottom_mm") - F.col("top_mm"), 3).alias("height_mm"))
+    """Bands behind highlighted lines, one for each visual line."""
+    bands = relational.highlight_bands(_placed_code(spark, sf_dir), "p_brand", line_mm=4.2)
+    return bands.select("p_brand", "page_no", "vline_no", F.round("top_mm", 3).alias("top_mm"), F.round(F.col("bottom_mm") - F.col("top_mm"), 3).alias("height_mm"))
 
 
 @query(

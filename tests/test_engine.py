@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioscope.functions import text as T
-from folioscope.operators import extract, relational
+from folioscope.operators import extract, layout, relational
 from folioscope.operators.codetok import tokenize
 from folioscope.operators.extract import absolute_url, code_of, extract_article, is_boilerplate, srcset
 from folioscope.operators.dom import parse_document
@@ -210,7 +210,7 @@ def test_text_rules_by_join(spark, monkeypatch):
 
 def test_list_quirks(spark):
     rows = [(1, i, o, d, r) for r, items in ((1, [(True, 1), (True, 0)]), (2, [(True, 0), (True, 1), (True, 0), (True, 1)])) for i, (o, d) in enumerate(items, 10 * r)]
-    got = relational.number_lists(spark.createDataFrame(rows, "page_id int, pos int, ordered boolean, depth int, run int")).orderBy("pos").collect()
+    got = layout.list_layout(spark.createDataFrame(rows, "page_id int, pos int, ordered boolean, depth int, run int")).orderBy("pos").collect()
     assert [r.bullet for r in got] == ["1.", None, "1.", "1.", "2.", "2."]
 
 

@@ -214,11 +214,6 @@ def block_styles(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"font_pt": size, "mono": kind == "code", "bold": kind == "heading", "italic": kind.isin("quote", "caption"), "bookmark": kind == "heading"})
 
 
-def heading_placed(blocks: DataFrame) -> DataFrame:
-    """Headings that stand on a page: with some height, or with nothing left to render."""
-    return blocks.withColumn("placed", (F.col("height_mm") > 0) | ~F.col("has_more"))
-
-
 def copy_texts(lines: DataFrame) -> DataFrame:
     """Visual lines with what a reader copies: no line numbers, continuation marks or badges."""
     return lines.withColumn("copy_text", F.col("text")).withColumn("shown_text", F.concat("marker", "text"))
@@ -232,11 +227,6 @@ def kind_runs(chars: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return chars.withColumn("_g", group).groupBy(*key, "_g").agg(F.min("tok_no").alias("tok_no"), F.first("kind").alias("kind"), text.alias("text")).drop("_g")
 
 
-def page_items(placed: DataFrame, pages: DataFrame, key: str = "page_no") -> DataFrame:
-    """Boxes and bands with the object of the page that they are painted on."""
-    return placed.join(pages, key)
-
-
 def font_families(chars: DataFrame, covered: DataFrame, blocks: DataFrame, key: str = "page_id") -> DataFrame:
     """Which fonts a document takes: sans always, mono with code, the fallback where a drawn character is uncovered."""
     missing = missing_glyphs(chars, covered).groupBy(key).agg(F.count(F.lit(1)).alias("n_missing"))

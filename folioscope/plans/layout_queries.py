@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators import layout, relational
+from folioscope.operators import fonts, layout, paint, relational
 from folioscope.plans.catalog import _blocks_of, _joined, _page, query
 from folioscope.sources.tables import read_table
 
@@ -140,3 +140,127 @@ def document_summary(spark, sf_dir):
     # a font without m and x
     chars = documents.select("p_brand", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).filter("ch IN ('m', 'x')")
     return layout.summary(_laid(spark, sf_dir), "p_brand", lines, chars)
+
+
+# ---- fonts
+
+#: (font, first and last code point): fonts that overlap, none of which has all.
+_RANGES = [("sans", 0x20, 0x7E), ("sans", 0xE0, 0xEF), ("mono", 0x20, 0x7E), ("fallback", 0xE8, 0xF6), ("fallback", 0xE8, 0xEA), ("fallback", 0x100, 0x2FF)]
+
+
+def _ranges(spark) -> DataFrame:
+    return spark.createDataFrame(_RANGES, "font string, lo int, hi int")
+
+
+def _in(font: str, ch: str = "ch") -> str:
+    return "(" + " OR ".join(f"unicode({ch}) BETWEEN {lo} AND {hi}" for f, lo, hi in _RANGES if f == font) + ")"
+
+
+_DRAWN = r"NOT regexp_matches(ch, '^[\s\x{00}-\x{20}\x{7F}-\x{A0}\x{AD}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}]$')"
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS ch FROM documents), d AS (SELECT * FROM c WHERE ch <> '' AND {_DRAWN} AND NOT {_in('sans')})
+        SELECT doc_id, coalesce(string_agg(ch, '' ORDER BY unicode(ch)) FILTER ({_in('fallback')}), '') AS falls, coalesce(string_agg(ch, '' ORDER BY unicode(ch)) FILTER (NOT {_in('fallback')}), '') AS missing FROM d GROUP BY doc_id"""
+)
+def font_plans(spark, sf_dir):
+    """Of each document the characters that go to the fallback font, and those that no font has."""
+    plan = fonts.font_plan(read_table(spark, sf_dir, "documents"), "doc_id", _ranges(spark), main="sans", fallback="fallback")
+    return plan.select("doc_id", F.array_join("falls", "").alias("falls"), F.array_join("missing", "").alias("missing"))
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '')
+        SELECT ch, array_to_string(list_filter([CASE WHEN {_in('fallback')} THEN 'fallback' END, CASE WHEN {_in('mono')} THEN 'mono' END, CASE WHEN {_in('sans')} THEN 'sans' END], lambda x: x IS NOT NULL), ',') AS fonts
+        FROM d WHERE {_in('fallback')} OR {_in('mono')} OR {_in('sans')}"""
+)
+def font_coverage(spark, sf_dir):
+    """Which of three fonts have each character of the documents."""
+    chars = relational.charset(read_table(spark, sf_dir, "documents"), "doc_id").select("ch")
+    return fonts.fonts_of(chars, _ranges(spark)).select("ch", F.array_join("fonts", ",").alias("fonts"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS place, text FROM documents),
+        d AS (SELECT doc_id, place - 1 AS place, {_DRAWN} AND NOT {_in('sans')} AND {_in('fallback')} AS f FROM (SELECT doc_id, place, text[place] AS ch FROM c)),
+        g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - row_number() OVER (PARTITION BY doc_id, f ORDER BY place) AS g FROM d),
+        r AS (SELECT doc_id, f, min(place) AS s, count(*) AS n FROM g GROUP BY doc_id, f, g)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) AS INTEGER) AS run, f AS needs_fallback, CAST(s AS INTEGER) AS start, CAST(n AS INTEGER) AS n_chars FROM r"""
+)
+def font_runs(spark, sf_dir):
+    """Documents cut into runs for the main font and for the one that stands in for it."""
+    return fonts.text_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", _ranges(spark), main="sans", fallback="fallback")
+
+
+# ---- painting
+
+_PT = "(72 / 25.4::DOUBLE)"
+
+
+def _n(x: str) -> str:
+    return f"printf('%.2f', {x})"
+
+
+def _path(x: str, y: str, w: str, h: str, left: str, right: str) -> str:
+    """A rounded outline as SQL; radii that fit."""
+    x1, y1, c = f"({x} + {w})", f"({y} + {h})", "0.5523::DOUBLE"
+    line = lambda *p: " || ' ' || ".join(map(_n, p))
+    arc = lambda r, *p: f"CASE WHEN {r} > 0 THEN chr(10) || {line(*p)} || ' c' ELSE '' END"
+    return " || ".join(
+        [
+            f"{line(f'{x} + {left}', y)} || ' m' || chr(10)", f"{line(f'{x1} - {right}', y)} || ' l'", arc(right, f"{x1} - {right} + {c} * {right}", y, x1, f"{y} + {right} - {c} * {right}", x1, f"{y} + {right}"),
+            f"chr(10) || {line(x1, f'{y1} - {right}')} || ' l'", arc(right, x1, f"{y1} - {right} + {c} * {right}", f"{x1} - {right} + {c} * {right}", y1, f"{x1} - {right}", y1),
+            f"chr(10) || {line(f'{x} + {left}', y1)} || ' l'", arc(left, f"{x} + {left} - {c} * {left}", y1, x, f"{y1} - {left} + {c} * {left}", x, f"{y1} - {left}"),
+            f"chr(10) || {line(x, f'{y} + {left}')} || ' l'", arc(left, x, f"{y} + {left} - {c} * {left}", f"{x} + {left} - {c} * {left}", y, f"{x} + {left}", y), "chr(10) || 'h'",
+        ]
+    )
+
+
+_RADIUS = f"(1.0::DOUBLE * {_PT})"
+
+
+@query(
+    f"""WITH RECURSIVE {_DOCUMENT_SQL}, one AS (SELECT * FROM laid WHERE page = last_page AND n > 0),
+        pages AS (SELECT DISTINCT p_brand, page FROM one),
+        r AS (SELECT p_brand, page, p_partkey, 18.3 * {_PT} AS x, (297 - (10 + y_um / 1000.0::DOUBLE) - (end_um - y_um) / 1000.0::DOUBLE) * {_PT} AS y, 174.1 * {_PT} AS w, (end_um - y_um) / 1000.0::DOUBLE * {_PT} AS h FROM one WHERE k = 5),
+        l AS (SELECT p_brand, page, p_partkey, 20.3 * {_PT} AS x, (297 - (12 + y_um / 1000.0::DOUBLE) - 4.676::DOUBLE) * {_PT} AS y, 170.1 * {_PT} AS w, 4.676::DOUBLE * {_PT} AS h FROM one WHERE k = 5),
+        ops AS (
+            SELECT p_brand, page, 0 AS layer, 0 AS n, 'q 0.1255 0.1333 0.1451 rg 0 0 ' || {_n(f"210 * {_PT}")} || ' ' || {_n(f"297 * {_PT}")} || ' re f Q' AS op FROM pages WHERE page % 3 <> 0
+            UNION ALL SELECT p_brand, page, 1, p_partkey, 'q' || chr(10) || '1.0000 1.0000 1.0000 rg 0.0000 0.0000 0.0000 RG 0.80 w' || chr(10) || {_path('x', 'y', 'w', 'h', _RADIUS, _RADIUS)} || chr(10) || 'B' || chr(10) || '1.0000 0.0000 0.0000 rg' || chr(10)
+                || {_path('x', 'y', f'(1.1 * {_PT})', 'h', _RADIUS, '0.0::DOUBLE')} || chr(10) || 'f' || chr(10) || 'Q' FROM r
+            UNION ALL SELECT p_brand, page, 2, p_partkey, 'q' || chr(10) || '1.0000 1.0000 0.0000 rg' || chr(10) || {_n('x')} || ' ' || {_n('y')} || ' ' || {_n('w')} || ' ' || {_n('h')} || ' re' || chr(10) || 'f' || chr(10) || 'Q' FROM l
+            UNION ALL SELECT p_brand, page, 3, p_partkey, 'BT ' || p_partkey || ' ET' FROM one)
+        SELECT p_brand, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY p_brand, page ORDER BY layer, n, op) AS INTEGER) AS op_no, CAST(layer AS INTEGER) AS layer, op FROM ops"""
+)
+def page_operations(spark, sf_dir):
+    """What is painted on the pages of the documents, in order: backgrounds, boxes, bands, texts; blocks that a page end breaks are left to other queries."""
+    one = _laid(spark, sf_dir).filter("page = last_page AND NOT (kind = 'image' AND coalesce(image, 1) = 0)")
+    top = 10 + F.col("y_um") / 1000
+    number = F.col("p_partkey").alias("n")
+    pages = one.select("p_brand", "page").distinct().select("p_brand", "page", F.lit(210.0).alias("width_mm"), F.lit(297.0).alias("height_mm"), F.when(F.col("page") % 3 != 0, "202225").alias("colour"))
+    code = one.filter("kind = 'code'")
+    boxes = code.select("p_brand", "page", number, F.lit(18.3).alias("x_mm"), top.alias("y_mm"), F.lit(174.1).alias("width_mm"), ((F.col("end_um") - F.col("y_um")) / 1000).alias("height_mm"), F.lit("FFFFFF").alias("fill"), F.lit("000000").alias("border"), F.lit("FF0000").alias("accent"))
+    bands = code.select("p_brand", "page", number, F.lit(20.3).alias("x_mm"), (top + 2).alias("y_mm"), F.lit(170.1).alias("width_mm"), F.lit(4.676).alias("height_mm"), F.lit("FFFF00").alias("colour"))
+    texts = one.select("p_brand", "page", number, F.concat(F.lit("BT "), F.col("p_partkey").cast("string"), F.lit(" ET")).alias("op"))
+    return paint.operations(pages, boxes, bands, texts, "p_brand")
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rect, CAST(l_quantity AS BIGINT) % 7 AS budget, l_partkey AS p FROM lineitem),
+        s AS (SELECT doc, rect, budget, k, (p + 3 * k) % 4 AS glyphs, (p + k) % 5 <> 4 AND glyphs > 0 AS near FROM (SELECT *, unnest(range(0, 5)) AS k FROM r)),
+        f AS (SELECT doc, rect, CAST(-1 AS BIGINT) AS k, budget AS rest, false AS hit FROM r
+              UNION ALL SELECT f.doc, f.rect, s.k, rest - CASE WHEN near AND glyphs <= rest THEN glyphs ELSE 0 END, near AND glyphs <= rest FROM f JOIN s ON s.doc = f.doc AND s.rect = f.rect AND s.k = f.k + 1)
+        SELECT doc, CAST(rect * 10 + k AS BIGINT) AS n, CASE WHEN hit THEN CAST(rect AS BIGINT) END AS rect FROM f WHERE k >= 0"""
+)
+def copied_texts(spark, sf_dir):
+    """Texts at and beside the rectangles of line numbers: hits at the edges, near misses, and budgets that run out."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), F.row_number().over(order).cast("long").alias("rect"), (F.col("l_quantity").cast("long") % 7).alias("glyphs"), F.col("l_partkey").alias("p"))
+    rects = rows.select("doc", "page", "rect", F.lit(50.0).alias("x"), (F.col("rect") * 40.0).alias("y"), F.lit(20.0).alias("width"), F.lit(11.0).alias("height"), "glyphs")
+    shows = rows.select("doc", "page", "rect", "p", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    at = ((F.col("p") + F.col("k")) % 5).cast("int") + 1
+    # inside; just within the tolerance at each edge; beyond it
+    x = F.element_at(F.array(*map(F.lit, (55.0, 49.25, 70.75, 60.0, 71.0))), at)
+    y = F.col("rect") * 40.0 + F.element_at(F.array(*map(F.lit, (3.0, 0.0, 11.75, -0.75, 5.0))), at)
+    texts = shows.select("doc", "page", (F.col("rect") * 10 + F.col("k")).alias("n"), x.alias("x"), y.alias("y"), ((F.col("p") + 3 * F.col("k")) % 4).alias("glyphs"))
+    return paint.hidden_texts(texts, rects).select("doc", "n", "rect")

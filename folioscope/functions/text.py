@@ -138,9 +138,17 @@ def sniff_format(body: Column) -> Column:
     )
 
 
+#: Bytes that name a format and, of all but JPEGs and drawings, hold the size.
+HEAD_BYTES = 30
+
+
 def image_size(body: Column) -> Column:
-    """(width, height) from the header of a PNG, GIF, JPEG, WebP or SVG; null where it cannot be read."""
-    return F.pandas_udf(_sizes, "width int, height int")(body)
+    """(width, height) from the header of a PNG, GIF, JPEG, WebP or SVG; null where it cannot be read.
+
+    Of PNG, GIF and WebP only the first bytes go to Python.
+    """
+    short = F.hex(F.substring(body, 1, 12)).rlike("^(?:89504E470D0A1A0A|474946383[79]61|52494646.{8}57454250)")
+    return F.pandas_udf(_sizes, "width int, height int")(F.when(short, F.substring(body, 1, HEAD_BYTES)).otherwise(body))
 
 
 def pixel_size(body: bytes | None) -> tuple[int, int] | None:
@@ -186,7 +194,7 @@ def _jpeg_size(b: bytes) -> tuple[int, int] | None:
     return None
 
 
-_SVG = re.compile(rb"<svg\b([^>]*)>", re.S)
+_SVG = re.compile(rb"""<svg\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _LENGTH = re.compile(rb"""(?:^|\s)(width|height|viewBox)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 _PIXELS = {b"": 1.0, b"px": 1.0, b"pt": 96 / 72, b"pc": 16.0, b"in": 96.0, b"cm": 96 / 2.54, b"mm": 96 / 25.4}
 
@@ -228,6 +236,11 @@ def raster_scale(w: Column, h: Column) -> Column:
     return F.when((w > 0) & (h > 0), F.least(s, F.sqrt(F.lit(16e6) / (w * h))).cast("float"))
 
 
+def raster_pixels(side: Column, scale: Column) -> Column:
+    """Pixels of a side of a drawing at its scale, one at least."""
+    return F.greatest(F.lit(1), F.round(side * scale.cast("double")).cast("int"))
+
+
 def blend_on_white(channel: Column, alpha: Column) -> Column:
     """A colour channel (0 to 255) laid over white with an alpha of 0 to 255, rounded down."""
     return F.floor((channel * alpha + 255 * (255 - alpha)) / 255).cast("int")

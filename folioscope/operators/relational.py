@@ -179,12 +179,27 @@ def image_outcomes(responses: DataFrame) -> DataFrame:
     """url, content_type, body: format, pixels and outcome of each image."""
     kind = F.coalesce(T.format_from_content_type(F.coalesce("content_type", F.lit(""))), T.sniff_format(F.col("body")), F.lit("png"))
     rows = responses.withColumn("format", kind).withColumn("_s", T.image_size(F.col("body")))
-    small = (F.col("width_px") < K.MIN_IMAGE_PIXELS) | (F.col("height_px") < K.MIN_IMAGE_PIXELS)
+    # drawings count as they are rasterized
+    scale = F.when(F.col("format") == "svg", T.raster_scale(F.col("width_px"), F.col("height_px")))
+    drawn = lambda side: F.when(scale.isNull(), F.col(side)).otherwise(T.raster_pixels(F.col(side), scale))
+    small = (drawn("width_px") < K.MIN_IMAGE_PIXELS) | (drawn("height_px") < K.MIN_IMAGE_PIXELS)
     rows = rows.withColumn("width_px", F.col("_s.width")).withColumn("height_px", F.col("_s.height")).drop("_s")
     failed = F.when(~F.col("url").rlike("^https?://"), "unsupported").when(F.col("body").isNull() | (F.length("body") == 0), "network").when(F.col("width_px").isNull(), "decode")
     return rows.withColumn("reason", failed).withColumn("outcome", F.when(failed.isNotNull(), "failed").when(small, "skipped").otherwise("loaded"))
 
 
+def prepared_images(outcomes: DataFrame, max_width_mm: Column, max_height_mm: Column) -> DataFrame:
+    """Loaded images with the pixels they are printed from, their resolution, the factor that fits them, and their size on paper.
+
+    A drawing is rasterized beyond its own pixels, and its resolution grows alike, so its size on paper is the same.
+    """
+    scale = F.when(F.col("format") == "svg", T.raster_scale(F.col("width_px"), F.col("height_px")).cast("double"))
+    px = lambda side: F.when(scale.isNull(), F.col(side)).otherwise(T.raster_pixels(F.col(side), scale))
+    rows = outcomes.filter("outcome = 'loaded'").withColumns({"print_width_px": px("width_px"), "print_height_px": px("height_px"), "dpi": 96.0 * F.coalesce(scale, F.lit(1.0))})
+    wide, high = T.natural_mm(F.col("print_width_px"), F.col("dpi")), T.natural_mm(F.col("print_height_px"), F.col("dpi"))
+    return rows.withColumn("fit", T.fit_scale(wide, high, max_width_mm, max_height_mm)).withColumns({"width_mm": wide * F.col("fit"), "height_mm": high * F.col("fit")})
+
+
 def with_outcome(blocks: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Image blocks with their outcome; one without a response failed in the network."""
     known = outcomes.select(F.col("url").alias("_u"), "outcome", "reason")

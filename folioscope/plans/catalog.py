@@ -325,7 +325,7 @@ def image_collapse(spark, sf_dir):
 @query(
     """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'png' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'png' WHEN 5 THEN 'webp' WHEN 6 THEN 'jpeg' ELSE 'svg' END AS format,
        CASE WHEN p_partkey % 8 NOT IN (2, 4) THEN p_size ELSE 0 END AS width_px, CASE WHEN p_partkey % 8 NOT IN (2, 4) THEN p_size + 7 ELSE 0 END AS height_px,
-       CASE WHEN p_partkey % 8 IN (2, 4) THEN 'failed' WHEN p_size < 24 THEN 'skipped' ELSE 'loaded' END AS outcome,
+       CASE WHEN p_partkey % 8 IN (2, 4) THEN 'failed' WHEN p_size < CASE WHEN p_partkey % 8 = 7 THEN 12 ELSE 24 END THEN 'skipped' ELSE 'loaded' END AS outcome,
        CASE p_partkey % 8 WHEN 2 THEN 'network' WHEN 4 THEN 'decode' END AS reason FROM part"""
 )
 def image_outcome(spark, sf_dir):
@@ -356,8 +356,21 @@ def _image_outcomes(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT p_brand, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size >= 24) AS loaded, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size < 24) AS skipped,
-       count(*) FILTER (p_partkey % 8 IN (2, 4) OR p_partkey % 9 = 0) AS failed, count(*) FILTER (p_partkey % 8 = 7 AND p_partkey % 9 <> 0 AND p_size >= 24) AS rasterized FROM part GROUP BY p_brand"""
+    """WITH i AS (SELECT *, p_partkey % 8 = 7 AS svg, CAST(CAST(2.1 AS FLOAT) AS DOUBLE) AS s FROM part WHERE p_partkey % 8 NOT IN (2, 4) AND p_size >= CASE WHEN p_partkey % 8 = 7 THEN 12 ELSE 24 END),
+        p AS (SELECT p_partkey, p_retailprice, CASE WHEN svg THEN CAST(round(p_size * s) AS INTEGER) ELSE p_size END AS w, CASE WHEN svg THEN CAST(round((p_size + 7) * s) AS INTEGER) ELSE p_size + 7 END AS h, CASE WHEN svg THEN 96 * s ELSE 96::DOUBLE END AS dpi FROM i),
+        m AS (SELECT *, w * 25.4 / dpi AS mm, h * 25.4 / dpi AS mh FROM p), f AS (SELECT *, greatest(0.01, least(1.0, 8.0 / mm, p_retailprice / 100 / mh)) AS k FROM m)
+        SELECT p_partkey, CAST(w AS INTEGER) AS width_px, CAST(h AS INTEGER) AS height_px, CAST(round(dpi, 6) AS DOUBLE) AS dpi, CAST(round(mm * k, 6) AS DOUBLE) AS width_mm, CAST(round(mh * k, 6) AS DOUBLE) AS height_mm FROM f"""
+)
+def image_prepared(spark, sf_dir):
+    """Images as they are printed: drawings rasterized beyond their own pixels, all fitted into eight mm by a hundredth of a price."""
+    prices = read_table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 100).alias("room"))
+    rows = relational.prepared_images(_image_outcomes(spark, sf_dir).join(prices, "p_partkey"), F.lit(8.0), F.col("room"))
+    return rows.select("p_partkey", F.col("print_width_px").alias("width_px"), F.col("print_height_px").alias("height_px"), *(F.round(c, 6).alias(c) for c in ("dpi", "width_mm", "height_mm")))
+
+
+@query(
+    """SELECT p_brand, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size >= CASE WHEN p_partkey % 8 = 7 THEN 12 ELSE 24 END) AS loaded, count(*) FILTER (p_partkey % 8 NOT IN (2, 4) AND p_partkey % 9 <> 0 AND p_size < CASE WHEN p_partkey % 8 = 7 THEN 12 ELSE 24 END) AS skipped,
+       count(*) FILTER (p_partkey % 8 IN (2, 4) OR p_partkey % 9 = 0) AS failed, count(*) FILTER (p_partkey % 8 = 7 AND p_partkey % 9 <> 0 AND p_size >= 12) AS rasterized FROM part GROUP BY p_brand"""
 )
 def image_counts(spark, sf_dir):
     """Outcomes of image blocks, counted; one without a response has failed."""

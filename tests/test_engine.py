@@ -262,3 +262,17 @@ def test_query_matches_sql(spark, sf_dir, name):
 def test_names_and_oracles():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(re.fullmatch(r"[a-z0-9_]+", n) for n in entry.queries())
+
+
+def test_image_sizes_as_columns(spark):
+    """The first bytes of a header give what the whole body gives, cut anywhere."""
+    le = lambda n, k: n.to_bytes(k, "little")
+    png = b"\x89PNG\r\n\x1a\n" + bytes(8) + (70_000).to_bytes(4, "big") + (9).to_bytes(4, "big") + b"rest"
+    webp = [b"RIFFabcdWEBPVP8X" + bytes(8) + le(69_999, 3) + le(8, 3), b"RIFFabcdWEBPVP8L" + bytes(4) + b"\x2f" + le(29 | 16_382 << 14, 4) + bytes(9), b"RIFFabcdWEBPVP8 " + bytes(4) + b"abc\x9d\x01\x2a" + le(30 | 1 << 14, 2) + le(20, 2), b"RIFFabcdWEBPXXXX" + bytes(20)]
+    bodies = [png, b"GIF89a" + le(300, 2) + le(2, 2) + b"more", *webp, b"<svg width='3' height='4' title='a > b'>", b"<svg title='>' width='7' height='8'>", b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x05\x00\x06\x03", b"", None]
+    bodies += [b[:k] for b in bodies[:6] for k in (7, 9, 12, 16, 20, 23, 24, 25, 29)]
+    rows = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in enumerate(bodies)], "i int, body binary")
+    rows = rows.withColumn("s", T.image_size(F.col("body")))
+    got = {r.i: (r.s.width, r.s.height) for r in rows.collect()}
+    assert got == {i: T.pixel_size(b) or (None, None) for i, b in enumerate(bodies)}
+    assert got[0] == (70_000, 9) and got[2] == (70_000, 9) and got[3] == (30, 16_383) and got[4] == (30, 20) and got[7] == (7, 8) and got[8] == (6, 5)

@@ -639,9 +639,12 @@ def list_refresh(spark, sf_dir):
     return refreshed_lists(held, got)
 
 
-@query(f"WITH {_PAGE_SQL} SELECT page_id, CASE WHEN contains(title, ' | ') AND length(trim(split_part(title, ' | ', 1))) >= 15 THEN trim(split_part(title, ' | ', 1)) ELSE title END AS title, {_HOST} AS author, {_NAME} AS output_name, 'en' AS lang FROM raw")
+@query(
+    f"""WITH {_PAGE_SQL} SELECT page_id, CASE WHEN contains(title, ' | ') AND length(trim(split_part(title, ' | ', 1))) >= 15 THEN trim(split_part(title, ' | ', 1)) ELSE title END AS title, {_HOST} AS author, {_NAME} AS output_name, 'en' AS lang, 'a maker' AS creator, 'a maker' AS producer,
+        strftime(TIMESTAMP '1970-01-01' + to_seconds(page_id * 100003), 'D:%Y%m%d%H%M%SZ') AS created, strftime(TIMESTAMP '1970-01-01' + to_seconds(page_id * 100003), 'D:%Y%m%d%H%M%SZ') AS modified FROM raw"""
+)
 def metadata(spark, sf_dir):
-    return document_metadata(_articles(spark, sf_dir), lang="en")
+    return document_metadata(_articles(spark, sf_dir), lang="en", creator="a maker", made_s=F.col("page_id") * 100003)
 
 
 @query(f"WITH {_PAGE_SQL} SELECT page_id, pos, kind, text FROM blocks")

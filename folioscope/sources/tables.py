@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
@@ -67,10 +67,18 @@ def settled_attempts(attempts: DataFrame, key: str = "url") -> DataFrame:
     return out.select(key, F.coalesce("_t.class", F.lit("network")).alias("class"), tries.alias("attempts"), (F.lit(WAIT_MS) * (tries - 1) * tries / 2).cast("int").alias("waited_ms"))
 
 
-def document_metadata(articles: DataFrame, *, author: str | None = None, lang: str | None = None) -> DataFrame:
-    """What a document tells of itself: title, author (by default the host), its name and language."""
+def document_metadata(articles: DataFrame, *, author: str | None = None, lang: str | None = None, creator: str | None = None, made_s: Column | None = None) -> DataFrame:
+    """What a document tells of itself: title, author (by default the host), its name and language, what made it (twice), and when (twice).
+
+    made_s: seconds since 1970; without it, now.  An empty title or author, and no language, are null.
+    """
     by = F.lit(author) if author else T.host(F.col("url"))
-    return articles.select("page_id", "title", by.alias("author"), T.output_name(F.col("url")).alias("output_name"), F.lit(lang).cast("string").alias("lang"))
+    date = T.pdf_date(F.unix_timestamp() if made_s is None else made_s)
+    named = lambda c: F.nullif(c, F.lit(""))
+    return articles.select(
+        "page_id", named(F.col("title")).alias("title"), named(by).alias("author"), T.output_name(F.col("url")).alias("output_name"), named(F.lit(lang).cast("string")).alias("lang"),
+        F.lit(creator).cast("string").alias("creator"), F.lit(creator).cast("string").alias("producer"), date.alias("created"), date.alias("modified"),
+    )
 
 
 def run_summary(articles: DataFrame) -> DataFrame:

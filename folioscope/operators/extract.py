@@ -139,11 +139,19 @@ def clean_title(raw: str) -> str:
 
 def choose_container(root: Element, least: int) -> tuple[Element | None, int]:
     every, sizes = list(root.walk()), measure(root)
+    # elements by what the first part of a selector asks for
+    by: dict[str, list[Element]] = {}
+    for e in every:
+        by.setdefault(e.tag, []).append(e)
+        if e.attrs:
+            for key in {*(f".{c}" for c in e.classes()), *(f"[{name}" for name in e.attrs), f"#{e.attrs.get('id')}"}:
+                by.setdefault(key, []).append(e)
+    named = lambda s: s.split("=")[0] if s[0] == "[" else "." + s.split(".")[1] if s[0] == "." else s
     found: list[tuple[int, int, Element]] = []
     best = 0
     for selectors in (K.PLATFORM_SELECTORS, K.STRUCTURE_SELECTORS, ("body",)):
         for s in selectors:
-            found += [(*sizes[id(e)], e) for e in every if e.matches(s)]
+            found += [(*sizes[id(e)], e) for e in by.get(named(s), ()) if e.matches(s)]
         best = max((f[0] for f in found), default=0)
         if best >= least:
             break

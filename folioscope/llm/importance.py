@@ -15,7 +15,8 @@ Scale: texts are read once, and nothing is shuffled but partial column sums (pre
 each task) and, for the ranks, three numbers a document, dealt by ranges of the score: the
 rank is the place in the range behind the sizes of the ranges before it.  The driver sees one
 sum a bucket and one size a range.  Blocks hold some ``BLOCK_BYTES`` of text, so a matrix row
-of a very long text is a block of its own.
+of a very long text is a block of its own.  The table is written in row groups of some
+``GROUP_BYTES``: a reader holds one of them decoded, however large a file is.
 
 Defined cases: null, empty and word-free texts have no features and weight 0; a row without
 an id has no noise, so no score, and is never drawn nor counted among those to draw from;
@@ -40,6 +41,8 @@ from folioscope.llm.shared import LOWER, WORD_CHARS, blocks, cut, drop_folder, e
 BUCKETS, RUNS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: The gains go to every task, eight bytes a bucket.
 MAX_BUCKETS = 1 << 22
+#: Row groups of the matrix; their size is looked at after every few blocks, as one is large.
+GROUP_BYTES, GROUP_CHECK = 4 << 20, 4
 
 #: Lower-cased word bytes; a space for everything between words.
 _WORDS = bytes(int(LOWER[b]) if WORD_CHARS[LOWER[b]] else 0x20 for b in range(256))
@@ -79,6 +82,11 @@ def count_matrix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _CSR)
 
 
+def write_matrix(matrix: DataFrame, folder: str) -> None:
+    """The blocks as a table whose row groups are small enough for any reader."""
+    matrix.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", GROUP_CHECK).option("parquet.page.size.row.check.max", GROUP_CHECK).parquet(folder)
+
+
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """How many features fall into each bucket."""
 
@@ -152,7 +160,7 @@ def resample(
     """Per document row: doc_id, n_words, n_features, weight, score, and rank if it is drawn."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
-    count_matrix(docs, id_col=id_col, text_col=text_col, buckets=buckets, runs=runs).write.parquet(folder)
+    write_matrix(count_matrix(docs, id_col=id_col, text_col=text_col, buckets=buckets, runs=runs), folder)
     matrix = spark.read.schema(_CSR).parquet(folder)
     wanted = count_matrix(target.select(F.lit(None).alias("doc_id"), F.col(target_col).alias("text")), buckets=buckets, runs=runs)
     gains = bucket_gains(column_sums(matrix, buckets), column_sums(wanted, buckets))

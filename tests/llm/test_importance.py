@@ -1,5 +1,6 @@
 """Importance resampling against a plain version that counts with dictionaries."""
 
+import glob
 import hashlib
 import math
 import random
@@ -7,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from folioscope.llm import importance, queries
@@ -90,3 +92,15 @@ def test_blocks_hold_the_whole_matrix(spark):
     rows = {d: (n, sum(b.counts[lo:hi])) for b in matrix.collect() for d, n, lo, hi in zip(b.ids, b.n_words, b.row_ptr, b.row_ptr[1:])}
     assert rows == {i: (i, i) for i in range(50)}
     assert importance.column_sums(matrix, 16).sum() == sum(range(50))
+
+
+def test_matrix_is_written_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A reader decodes a row group at a time, so a file of many large blocks has many of them."""
+    kept = []
+    monkeypatch.setattr(importance, "GROUP_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(importance, "drop_folder", lambda _, folder: kept.append(folder))
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(60_000))) for i in range(12)]
+    assert len(importance.resample(spark.createDataFrame(docs, SCHEMA).coalesce(1), spark.createDataFrame(docs[:1], SCHEMA)).collect()) == 12
+    (folder,) = kept
+    sizes = [f.metadata.row_group(k).num_rows for p in glob.glob(f"{folder.removeprefix('file:')}/*.parquet") for f in [pq.ParquetFile(p)] for k in range(f.num_row_groups)]
+    assert sum(sizes) >= 12 and max(sizes) <= importance.GROUP_CHECK

@@ -6,9 +6,9 @@ in its own order.  :func:`hidden_texts` finds the texts that are line numbers, w
 and badges: those that begin within a marker's rectangle, as long as the rectangle's glyphs
 last.
 
-Scale: all is keyed by document and page.  Texts and rectangles meet by an equi-join on
-bands of height; what is left is a fold over a page's texts in their order, one stream of
-pages, which holds the budgets of one page.
+Scale: all is keyed by document and page.  Texts and rectangles are dealt and sorted once;
+what is left is a fold over a page's texts in their order, one stream of pages, which holds
+the rectangles and budgets of one page, by bands of height.
 
 Defined cases: texts that touch no rectangle, without glyphs, or longer than what is left of
 a budget stay as they are; of several rectangles the first with a budget counts; pages
@@ -17,9 +17,11 @@ without any operation are not there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,25 +103,45 @@ def hidden_texts(shows: DataFrame, rects: DataFrame, key: str = "doc") -> DataFr
     rects: (key, page, rect, x, y, width, height, glyphs).  On a page, in the order of n, a
     text takes its glyphs from the first rectangle that it begins in and that has as many left.
     """
-    band = lambda y: F.floor(y / BAND_PT).cast("int")
-    spread = rects.select(key, "page", "rect", F.col("x").alias("rx"), F.col("y").alias("ry"), "width", "height", F.col("glyphs").alias("budget"), F.explode(F.sequence(band(F.col("y") - TOLERANCE_PT), band(F.col("y") + F.col("height") + TOLERANCE_PT))).alias("_b"))
-    inside = (F.col("x") >= F.col("rx") - TOLERANCE_PT) & (F.col("x") <= F.col("rx") + F.col("width") + TOLERANCE_PT) & (F.col("y") >= F.col("ry") - TOLERANCE_PT) & (F.col("y") <= F.col("ry") + F.col("height") + TOLERANCE_PT)
-    near = shows.filter("glyphs > 0").withColumn("_b", band(F.col("y"))).join(spread, [key, "page", "_b"]).filter(inside)
-    met = near.groupBy(key, "page", "n").agg(F.first("glyphs").alias("_g"), F.array_sort(F.collect_list(F.struct("rect", "budget"))).alias("_near"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, left = None, {}
-        for rows in batches:
+    own = [c for c in shows.columns if c not in (key, "page", "n")]
+    spot = [F.col(c).cast("double") for c in ("x", "y")]
+    columns = [key, "page", "_is_text", "_o", "_x", "_y", "_g", "_w", "_h", "_text"]
+    none = F.lit(None).cast("double")
+    texts = shows.select(key, "page", F.lit(True), F.col("n").cast("long"), *[none] * 5, F.struct("n", *own)).toDF(*columns)
+    empty = F.lit(None).cast(texts.schema["_text"].dataType)
+    marks = rects.select(key, "page", F.lit(False), F.col("rect").cast("long"), *spot, F.col("glyphs").cast("double"), F.col("width").cast("double"), F.col("height").cast("double"), empty).toDF(*columns)
+    # one exchange: the rectangles of a page come before its texts
+    dealt = marks.union(texts).repartition(key, "page").sortWithinPartitions(key, "page", "_is_text", "_o", "_g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, left, bands = None, {}, {}
+        for batch in batches:
+            owners = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            is_text = batch.column(2).to_numpy(zero_copy_only=False)
+            said = dict(zip(["n", *own], batch.column(9).flatten()))
+            spots = [pc.if_else(batch.column(2), said[c].cast(pa.float64()), batch.column(k)) for c, k in (("x", 4), ("y", 5), ("glyphs", 6))]
             taken = []
-            for owner, glyphs, some in zip(zip(rows[key], rows["page"]), rows["_g"], rows["_near"]):
+            for owner, text, n, x, y, glyphs, w, h in zip(owners, is_text.tolist(), *(c.to_numpy(zero_copy_only=False).tolist() for c in (batch.column(3), *spots, *batch.columns[7:9]))):
                 if owner != of:
-                    of, left = owner, {}
-                hit = next((r["rect"] for r in some if glyphs <= left.setdefault(r["rect"], r["budget"])), None)
-                if hit is not None:
-                    left[hit] -= glyphs
-                taken.append(hit)
-            yield rows[[key, "page", "n"]].assign(rect=pd.Series(taken, rows.index, "Int64"))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.select(key, "page", "n").schema)
-    found = met.repartition(key, "page").sortWithinPartitions(key, "page", "n").mapInPandas(run, f"{kinds}, rect long")
-    return shows.join(found, [key, "page", "n"], "left")
+                    of, left, bands = owner, {}, {}
+                if text:
+                    hit = None
+                    # without a place or glyphs no comparison holds
+                    if glyphs > 0 and x == x and abs(y) < math.inf:
+                        for rect, x0, x1, y0, y1 in bands.get(y // BAND_PT, ()):
+                            if x0 <= x <= x1 and y0 <= y <= y1 and glyphs <= left[rect]:
+                                left[rect] -= glyphs
+                                hit = rect
+                                break
+                    taken.append(hit)
+                elif None not in owner and abs(y) + abs(h) < math.inf:
+                    left.setdefault(n, glyphs)
+                    y0, y1 = y - TOLERANCE_PT, y + h + TOLERANCE_PT
+                    for k in range(int(y0 // BAND_PT), int(y1 // BAND_PT) + 1):
+                        bands.setdefault(k, []).append((n, x - TOLERANCE_PT, x + w + TOLERANCE_PT, y0, y1))
+            rows = batch.filter(pa.array(is_text))
+            shown = rows.column(9)
+            yield pa.record_batch([*rows.columns[:2], *shown.flatten(), pa.array(taken, pa.int64())], names=[key, "page", "n", *own, "rect"])
+
+    kinds = ", ".join(f"`{c}` {shows.schema[c].dataType.simpleString()}" for c in (key, "page", "n", *own))
+    return dealt.mapInArrow(run, f"{kinds}, rect long")

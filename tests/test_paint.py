@@ -79,3 +79,13 @@ def test_order_of_operations(spark):
     assert "\n28.35 310.39 m\n" not in got[1].op and got[1].op.split("\n")[2] == "29.06 310.39 m"
     assert got[2].op.split("\n")[:3] == ["q", "0.0000 0.0000 0.0000 rg 1.0000 1.0000 1.0000 RG 0.80 w", "31.18 396.85 m"]
     assert got[2].op.count(" c\n") == 4 + 2 and got[2].op.endswith("f\nQ")
+
+
+def test_hidden_texts_are_dealt_once(spark):
+    """Texts and rectangles meet in one exchange, and a text without a place, a page or glyphs has no rectangle."""
+    rects = spark.createDataFrame([(1, 1, 7, 0.0, 0.0, 9.0, 9.0, 5), (None, 1, 8, 0.0, 0.0, 9.0, 9.0, 5)], "doc int, page int, rect long, x double, y double, width double, height double, glyphs int")
+    shows = spark.createDataFrame([("a", 1, 1, 1, 1.0, 1.0, 2), ("b", 1, 1, 2, None, 1.0, 1), ("c", 1, 1, 3, 1.0, None, 1), ("d", 1, 1, 4, 1.0, 1.0, None), ("e", None, 1, 5, 1.0, 1.0, 1), ("f", 1, 1, 6, 1.0, 1.0, 3)], "said string, doc int, page int, n int, x double, y double, glyphs int")
+    got = paint.hidden_texts(shows, rects)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert got.columns == ["doc", "page", "n", "said", "x", "y", "glyphs", "rect"]
+    assert {r.said: r.rect for r in got.collect()} == {"a": 7, "b": None, "c": None, "d": None, "e": None, "f": 7}

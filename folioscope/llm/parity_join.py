@@ -16,8 +16,9 @@ elements, differ in at most n (1 - t) / t elements.
    are left out unless a set has more of them than the pieces beyond D + 1.
 3. What is left is put in the order of how many sets have a key; the most frequent ones, as
    many as a pair shares but one, may go as well (a pair still shares one of the others).
-4. Sets that share a key are tied to their neighbour in the order of size, if sizes allow a
-   link.  Linked sets are thereby connected by ties; ties are no links yet.
+4. Sets that share a key are put in the order of size, and in each run whose neighbours'
+   sizes allow a link all are tied to the first.  Linked sets are thereby connected by ties;
+   ties are no links yet.
 5. Each connected group of ties is verified: pairs whose dense sketches differ in more bits
    than their sizes allow are no links, and the others are counted element by element.
 
@@ -258,20 +259,29 @@ def _one_head_each(head: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _ties(selected: DataFrame, percent: int) -> DataFrame:
-    """Ties (a, b) between neighbours by size among the sets that have a key."""
+    """Ties (a, b) of the sets that have a key, by size: of each run whose neighbours could be linked, every set to the first one.
+
+    The keys of a group of near copies mostly agree in which set comes first, but not in who is whose neighbour.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros((3, 0), np.int64)
+        head = 0  # the first set of the run that the last row is in
         for batch in batches:
             if not batch.num_rows:
                 continue
             gram, n, sid = np.concatenate([last, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
             ids = sid & -2
-            tied = (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (ids[1:] != ids[:-1])
-            a, b = ids[:-1][tied], ids[1:][tied]
+            goes_on = np.r_[False, (gram[1:] == gram[:-1]) & (100 * n[:-1] >= percent * n[1:])]
+            at = np.maximum.accumulate(np.where(goes_on, 0, np.arange(len(ids))))
+            heads = ids[at]
+            if last.size:
+                heads[at == 0] = head
+            tied = goes_on & (heads != ids)
+            a, b = heads[tied], ids[tied]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-            last = np.array([gram[-1:], n[-1:], sid[-1:]])
+            last, head = np.array([gram[-1:], n[-1:], sid[-1:]]), heads[-1]
 
     return selected.repartition("gram").sortWithinPartitions("gram", "n", "sid").mapInArrow(run, "a long, b long")
 

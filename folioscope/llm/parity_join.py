@@ -26,7 +26,7 @@ Keys are streamed in sorted order, so a key that a third of all sets has takes t
 proportion to it but no memory.  A group of ties beyond ``BLOCK_SETS`` sets or
 ``BLOCK_SHINGLES`` elements is dealt into blocks, and every two blocks meet in a task of
 their own; each task gives a spanning forest of its links, never all pairs.  Components come
-from minimum propagation on DataFrames.
+from contraction on DataFrames, which looks a tie up once, not in every round.
 
 Defined cases: a text of fewer words than a shingle is its whole sequence; null, empty and
 word-free texts have no set and are linked with nothing; equal sets are linked; a component is

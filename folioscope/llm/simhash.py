@@ -8,8 +8,8 @@ together, level by level, adding up differing bits and dropping a pair as soon a
 exceeds the budget.  A leaf pair is a link.  A bucket gives back a spanning forest of its
 links, not all of them, so what leaves a bucket is linear in it.
 
-Components over the fingerprints come from repeated minimum propagation with pointer
-jumping on DataFrames; nothing is gathered on the driver but one count a round.
+Components over the fingerprints come from repeated contraction of the links on
+DataFrames; nothing is gathered on the driver but one count a round.
 
 Scale: copies collapse to their fingerprint before any bucket is formed.  A bucket with
 more than ``hot_bucket`` fingerprints is dealt again by three fields of its other bits
@@ -24,6 +24,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import cut
+from folioscope.llm.shared import cut, drop_folder, ensure_checkpoint_dir
 
 SHINGLE, SEED, BITS = 3, 42, 64
 BUDGET = 2
@@ -218,24 +219,44 @@ def _sub_field(j: int, budget: int = BUDGET) -> str:
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links, root being the smallest node reachable.
 
-    Each round hooks every node to the smallest root among its neighbours and then jumps
-    pointers; it ends when no label changes.
+    Each round gives every node the first of its neighbours and itself, in an order that is
+    dealt anew by hash, and goes on from there once more; the links are then those between
+    the nodes given, each once.  So a link is looked up once and not in every round: links
+    inside a group are gone after a round or two, however many they are.
+
+    Rounds are written as Parquet: a checkpoint keeps the estimated size of its plan, which
+    every join multiplies, until the number itself no longer fits the driver.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("root").alias("near"))
-        hooked = label.join(near, label.node == near.a).select("node", "root", F.least("root", "near").alias("best"))
-        # the old root learns of the better root too, so whole trees move at once
-        moved = hooked.filter("best < root").groupBy(F.col("root").alias("node")).agg(F.min("best").alias("better"))
-        own = hooked.select("node", F.col("root").alias("old"), "best").join(moved, "node", "left").select("node", "old", F.least("best", F.coalesce("better", "best")).alias("root"))
-        own = cut(own)
-        jump = own.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = cut(own.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
-        label = new.select("node", "root")
-        if new.filter("old <> root").limit(1).count() == 0:
-            return label
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+    spark = links.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    try:
+        edges = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        passed: list[DataFrame] = []
+        while not passed or not edges.isEmpty():
+            k = len(passed)
+            if k == rounds:
+                raise RuntimeError(f"components have not settled in {rounds} rounds")
+            place = lambda x, k=k: F.struct(F.xxhash64(F.lit(k), x).alias("h"), F.col(x).alias("to"))
+            both = edges.select(F.col("a").alias("node"), place("b").alias("p")).union(edges.select(F.col("b").alias("node"), place("a").alias("p")))
+            first = both.groupBy("node").agg(F.min("p").alias("p")).select("node", F.least("p", place("node"))["to"].alias("to"))
+            onward = first.select(F.col("node").alias("to"), F.col("to").alias("up"))
+            given = kept(first.join(onward, "to").select("node", F.col("up").alias("to")), f"given-{k}")
+            passed.append(given)
+            ends = edges.join(given.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+            ends = ends.join(given.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+            edges = kept(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"links-{k}")
+        label = passed.pop()
+        while passed:
+            onward = label.select(F.col("node").alias("to"), F.col("to").alias("last"))
+            label = passed.pop().join(onward, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+        return cut(label.join(label.groupBy("to").agg(F.min("node").alias("root")), "to").select("node", "root"))
+    finally:
+        drop_folder(spark, folder)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, hot_bucket: int = HOT_BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:

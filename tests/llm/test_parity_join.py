@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from folioscope.llm import parity_join, queries
+from folioscope.llm.simhash import connected_components
 
 SCHEMA = "doc_id long, text string"
 
@@ -135,3 +136,34 @@ def test_sketch_distance_is_a_lower_bound():
     for i in range(40):
         for j in range(i):
             assert int(np.bitwise_count(s[i] ^ s[j]).sum()) <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def join_rows(spark, run):
+    """The rows that all joins of the queries of a call have made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    total = 0
+    executions = store.executionsList()
+    for i in range(before, executions.size()):
+        one = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(one), store.planGraph(one).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total
+
+
+def test_ties_of_a_large_group_are_looked_up_once(spark):
+    """A group of 1,500 sets with some twenty ties each, as many keys of a few sets give them."""
+    rng = random.Random(5)
+    nodes = rng.sample(range(10**9), 1500)
+    ties = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(15_000)})
+    frame = spark.createDataFrame(ties, "a long, b long")
+    roots = []
+    made = join_rows(spark, lambda: roots.extend(connected_components(frame).collect()))
+    assert {r.root for r in roots} == {min(x for t in ties for x in t)} and len(roots) == len({x for t in ties for x in t})
+    assert made < 3 * len(ties)

@@ -5,15 +5,15 @@ reply is trainable.  Examples of one conversation share their prefixes, so a for
 conversation is stored once, as one segment per turn with its place in the conversation,
 and an example is a row of numbers into it: it reads segments 0..turn_no, and its loss mask
 is [loss_start, loss_end).  What is stored is therefore linear in the input even for a
-conversation of millions of turns; :func:`render_examples` writes full strings where they
-are wanted.
+conversation of millions of turns; :func:`expand` makes full strings of them, which
+:func:`render_examples` writes and :func:`conversation_digests` reads back.
 
 Template of a turn: ``<|turn|>`` role newline text ``<|end|>`` newline.  Inside role and
 text a backslash is doubled and every control string gets a backslash after its first
 character; :func:`unescape` undoes both exactly.
 
 Scale: one shuffle by conversation with a sort inside partitions; rows then stream
-through a worker, which holds one Arrow batch, never a conversation.
+through a worker, which holds one Arrow batch; expanding also holds one example or two.
 
 Defined cases: null text and null role count as empty; rows of one turn number are
 ordered by role, then text; null turns come first; null conversation ids form one
@@ -103,69 +103,96 @@ def read_segment(segment: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
+_PLACES = ("conv_id", "turn_no", "segment", "example", "loss_start", "loss_end")
+
+
+def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int | None, int | None, int | None, str]]:
+    """(conv_id, example, loss_start, loss_end, text) of every target turn, text being all turns up to and with it.
+
+    Turns behind the last target are in no example; a conversation that has some ends with its
+    whole text, without a number and a loss.
+    """
+    now, prefix, rest = None, [], False
+    for batch in batches:
+        for conv, turn_no, segment, example, start, end in zip(*(batch.column(c).to_pylist() for c in _PLACES)):
+            if turn_no == 0:
+                if rest:
+                    yield now, None, None, None, "".join(prefix)
+                now, prefix = conv, []
+            prefix.append(segment)
+            rest = example is None
+            if not rest:
+                prefix = ["".join(prefix)]
+                yield conv, example, start, end, prefix[0]
+    if rest:
+        yield now, None, None, None, "".join(prefix)
+
+
 def render_examples(segments: DataFrame) -> DataFrame:
     """Full example strings: (conv_id, example, loss_start, loss_end, text).
 
     What is written grows with the square of a conversation, as every example has all turns
-    before it; conversations are streamed, and a worker holds one prefix, never more.
+    before it; conversations are streamed, and a worker holds one prefix, never more.  An
+    example of 2 GiB or more does not fit a string of Arrow.
     """
-    dealt = segments.select("conv_id", "turn_no", "segment", "example", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    dealt = segments.select(*_PLACES).repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
     names = ["conv_id", "example", "loss_start", "loss_end", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: object = object()
-        prefix: list[str] = []
-        for batch in batches:
-            for conv, turn_no, segment, example, start, end in zip(*(c.to_pylist() for c in batch.columns)):
-                if turn_no == 0 or conv != now:
-                    now, prefix = conv, []
-                prefix.append(segment)
-                if example is not None:
-                    prefix = ["".join(prefix)]
-                    yield pa.record_batch([*(pa.array([v], pa.int64()) for v in (conv, example, start, end)), pa.array(prefix, pa.string())], names=names)
+        for *places, text in expand(batches):
+            if places[1] is not None:
+                yield pa.record_batch([*(pa.array([v], pa.int64()) for v in places), pa.array([text], pa.string())], names=names)
 
     return dealt.mapInArrow(run, "conv_id long, example long, loss_start long, loss_end long, text string")
 
 
 def conversation_digests(segments: DataFrame) -> DataFrame:
-    """Reads the formatted turns back, conversation by conversation, in the order :func:`format_chat` left them."""
+    """Expands every conversation, in the order :func:`format_chat` left it, and reads the examples back.
+
+    A reply is what the loss mask of its example shows; turns are read from the part of an
+    example that is not in the one before, after that one was found to be its beginning.
+    Time grows with the square of a conversation, as the examples do; memory holds two of them.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, examples_chars long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = object()
         state: list = []
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in schema.split(", ")]
+        before = ""
         out: list[tuple] = []
 
         def close() -> None:
             if state:
-                n, turns, chars, loss, size, examples, total = state
-                out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), size, examples, total))
+                n, turns, chars, loss, examples, total = state
+                out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), len(before), examples, total))
 
         def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [[]] * len(kinds)
             return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in batches:
-            out.clear()
-            for conv, turn_no, segment, start, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "segment", "start", "loss_start", "loss_end"))):
-                if turn_no == 0:
-                    close()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                role, text = read_segment(segment)
+        for conv, example, loss_start, loss_end, text in expand(batches):
+            if conv != now:
+                close()
+                now, state, before = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], ""
+                if len(out) >= 1000:
+                    yield batch_of()
+                    out.clear()
+            if not text.startswith(before):
+                raise ValueError(f"example {example} of conversation {conv} does not begin with the one before")
+            for turn in text[len(before) :].split(TURN)[1:]:
+                role, said = read_segment(TURN + turn)
                 state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[4] += len(segment)
-                if loss_start is not None:
-                    reply = unescape(segment[loss_start - start : loss_end - start])
-                    state[2] += len(reply)
-                    state[3].update(reply.encode())
-                    state[5] += 1
-                    state[6] += start + len(segment)
-            yield batch_of()
-        out.clear()
+                state[1].update(f"{role}\n{said}\n".encode())
+            before = text
+            if example is not None:
+                reply = unescape(text[loss_start:loss_end])
+                state[2] += len(reply)
+                state[3].update(reply.encode())
+                state[4] += 1
+                state[5] += len(text)
         close()
         yield batch_of()
 
-    return segments.mapInArrow(run, schema)
+    return segments.select(*_PLACES).mapInArrow(run, schema)

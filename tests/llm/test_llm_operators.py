@@ -182,6 +182,21 @@ def test_chat_examples(spark):
     segments.unpersist()
 
 
+def test_chat_digests_read_expanded_examples(spark):
+    """Every target turn is expanded with all turns before it; what the query reads are these texts."""
+    said = [f"turn {k} <|turn|> [INST]" for k in range(7)]
+    rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(said)] + [(2, 0, "assistant", "a"), (2, 1, "assistant", "<|end|>"), (3, 0, "user", "alone")]
+    segments = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)).orderBy("conv_id", "turn_no").toArrow()
+    full = lambda conv, n: "".join(f"{chat.TURN}{r}\n{chat.escape(t)}{chat.END}\n" for c, _, r, t in rows if c == conv and _ < n)
+    for size in (1, 3, 100):
+        got = [(conv, example, text) for conv, example, _, _, text in chat.expand(iter(segments.to_batches(size)))]
+        assert got == [(1, 0, full(1, 2)), (1, 1, full(1, 4)), (1, 2, full(1, 6)), (1, None, full(1, 7)), (2, 0, full(2, 1)), (2, 1, full(2, 2)), (3, None, full(3, 1))]
+    digests = {r.conv_id: r for r in chat.conversation_digests(spark.createDataFrame(segments).coalesce(1).orderBy("conv_id", "turn_no")).collect()}
+    assert [(digests[c].n_turns, digests[c].n_examples, digests[c].examples_chars, digests[c].formatted_chars) for c in (1, 2, 3)] == [
+        (7, 3, len(full(1, 2) + full(1, 4) + full(1, 6)), len(full(1, 7))), (2, 2, len(full(2, 1) + full(2, 2)), len(full(2, 2))), (1, 0, 0, len(full(3, 1)))
+    ]
+
+
 # ---------------------------------------------------------------- decontamination
 
 

@@ -1,26 +1,31 @@
-"""Near copies by exact Jaccard similarity of word shingles, at least 4/5, without a lost pair.
-
-A SimHash budget of few bits only sees copies far above that similarity, and one wide
-enough for it is a comparison of nearly all pairs; so pairs are found by their shingles:
-
-1. Every text becomes its set of hashed shingles.  Equal sets are one from here on.
-2. Two sets of similarity 4/5 share one of the first n - ceil(4n/5) + 1 elements of the
+"""Near copies: SimHash fingerprints linked by op8's trie self-join, held against the exact Jaccard similarity of 4/5.
+
+Fingerprints find the copies within an error budget; no budget that does without comparing
+nearly all pairs finds all copies of a similarity of 4/5 (about ten bits, up to twenty and
+more), so what is beyond the budget is found by shingles, without a lost pair:
+
+1. Every text becomes its set of hashed shingles.  Equal sets are one from here on.  The
+   fingerprint of a set has the bits that over half of its shingles have.
+2. Fingerprints are linked by the trie self-join of simhash.py within the budget.  The texts
+   of a component of links come together and are held against the real similarity; what
+   holds is a class.
+3. Two sets of similarity 4/5 share one of the first n - ceil(4n/5) + 1 elements of the
    larger and the first n - ceil(8n/9) + 1 of the smaller (the prefix filter), in any order
    that holds for all.  A first order puts only listed, very common shingles last.  Sets
    that meet no other of fitting size there are done.
-3. The elements of the other sets are counted exactly, shingle by shingle, and rare ones
+4. The elements of the other sets are counted exactly, shingle by shingle, and rare ones
    come first in the order that is used from here on.  A set with enough elements of its
    own (a fifth) drops out: its prefix meets nobody.
-4. In the bucket of a shingle the sets are put in order of size, and neighbours whose sizes
+5. In the bucket of a shingle the sets are put in order of size, and neighbours whose sizes
    are within 4/5 are tied: a bucket gives a chain, not its pairs, and sets that could be
-   similar end up in one component of ties.
-5. The texts of a component come together once; there pairs are held against the real
-   similarity, walking from set to set and only looking at sets not yet reached.
+   similar end up in one component of ties.  Ties inside a class are done.
+6. The texts of classes that are tied come together; there pairs are held against the real
+   similarity, walking from class to class and only looking at sets not yet reached.
 
 Scale: prefixes, elements, ties and texts are linear in the input, and each is streamed.
-After step 3 a component is little more than a group of near copies; it is worked off in
+After step 4 a component is little more than a group of near copies; it is worked off in
 one task, in memory in proportion to the shingles of its distinct texts.  The list of common
-shingles and the bit table that keeps other texts out of steps 3 and 5 are bounded; they
+shingles and the bit table that keeps other texts out of steps 2, 4 and 6 are bounded; they
 only save work.
 
 Defined cases: null, empty and word-free texts are one set; texts shorter than a shingle
@@ -40,9 +45,11 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.bwt_dedup import _whole_groups
 from folioscope.llm.shared import LOWER, NON_SPACE, Block, among, blocks, cut, give_back, mix, prefix_hash, span_hash, word_spans
-from folioscope.llm.simhash import connected_components
+from folioscope.llm.simhash import bucket_links, connected_components, majority
 
 SHINGLE = 5
+#: Differing bits of linked fingerprints.
+BUDGET = 5
 #: A shingle that so many texts of some COUNTED shingles have is common; so many are listed.
 COMMON, COUNTED, LISTED = 3, 1 << 21, 200_000
 #: Unlisted elements count up to MANY; listed ones weigh more.
@@ -75,14 +82,18 @@ def _set_id(found: np.ndarray) -> int:
     return int(mix(np.array([mix(found ^ _SEED).sum(dtype=np.uint64)]) + np.uint64(len(found))).view(np.int64)[0])
 
 
-def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
+def similar_groups(sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
     """For each set the first set it is linked to, directly or over others, by a Jaccard similarity of 4/5 or more.
 
-    The prefix filter again, now with the exact number of sets that have an element.
+    The prefix filter again, now with the exact number of sets that have an element.  Sets
+    of one class (equal in known) are linked already and are reached together.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
     label = np.arange(m)
+    known = label if known is None else np.unique(known, return_inverse=True)[1]
+    mates = np.argsort(known, kind="stable")
+    first_mate = np.searchsorted(known[mates], np.arange(m + 1))
     # elements alone in their slot are in one set only and need not be put in order
     mask = np.uint64((1 << int(4 * size.sum() + 1).bit_length()) - 1)
     met = np.zeros(int(mask) + 1, np.uint8)
@@ -108,12 +119,17 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
     own, values, owner = element, element[by], owner[by]
     waits = np.ones(m, bool)
     held = left = m
+
+    def reach(one: int, seed: int) -> list[int]:
+        found = mates[first_mate[known[one]] : first_mate[known[one] + 1]]
+        label[found], waits[found] = seed, False
+        return found.tolist()
+
     for seed in range(m):
         if not waits[seed]:
             continue
-        waits[seed] = False
-        left -= 1
-        queue = [seed]
+        queue = reach(seed, seed)
+        left -= len(queue)
         while queue and left:
             if left * 2 < held:
                 keep = waits[owner]
@@ -126,18 +142,19 @@ def similar_groups(sets: list[np.ndarray]) -> np.ndarray:
             other = np.unique(owner[at])
             n = size[one]
             for k in other[waits[other] & (5 * np.minimum(n, size[other]) >= 4 * np.maximum(n, size[other]))].tolist():
+                if not waits[k]:
+                    continue
                 place = np.minimum(np.searchsorted(sets[one], sets[k]), n - 1)
                 if 9 * int((sets[one][place] == sets[k]).sum()) >= 4 * int(n + size[k]):
-                    label[k] = seed
-                    waits[k] = False
-                    left -= 1
-                    queue.append(k)
+                    found = reach(k, seed)
+                    left -= len(found)
+                    queue += found
     return label
 
 
 def _read(rows: DataFrame, shingle: int) -> DataFrame:
-    """Of each row its set and the set's size (common is null); and common shingles with their number of texts."""
-    names = ["doc_id", "key", "tag", "set_id", "n", "common"]
+    """Of each row its set, the set's fingerprint and size (common is null); and common shingles with their number of texts."""
+    names = ["doc_id", "key", "tag", "set_id", "fp", "n", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -147,13 +164,14 @@ def _read(rows: DataFrame, shingle: int) -> DataFrame:
             often = texts >= COMMON
             k = int(often.sum())
             none = pa.nulls(k, pa.int64())
-            return pa.record_batch([none, none, none, none, pa.array(texts[often]), pa.array(values[often].view(np.int64))], names=names)
+            return pa.record_batch([none, none, none, none, none, pa.array(texts[often]), pa.array(values[often].view(np.int64))], names=names)
 
         for batch in batches:
             for block in blocks(batch.column(3)):
                 sets = shingle_sets(block, shingle)
                 part = batch.slice(block.first, block.rows)
-                yield pa.record_batch([*part.columns[:3], pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=names)
+                prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.record_batch([*part.columns[:3], pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=names)
                 held += sets
                 if sum(map(len, held)) > COUNTED:
                     yield count()
@@ -161,7 +179,7 @@ def _read(rows: DataFrame, shingle: int) -> DataFrame:
         if held:
             yield count()
 
-    return rows.select("doc_id", "key", "tag", "text").mapInArrow(run, "doc_id long, key long, tag long, set_id long, n long, common long")
+    return rows.select("doc_id", "key", "tag", "text").mapInArrow(run, "doc_id long, key long, tag long, set_id long, fp long, n long, common long")
 
 
 def _prefix_size(n: np.ndarray) -> np.ndarray:
@@ -336,16 +354,16 @@ def _refined(counted: DataFrame) -> DataFrame:
 
 
 def _confirmed(texts: DataFrame, shingle: int) -> DataFrame:
-    """(set_id, root) of the sets that are linked to another one, from the texts of every component of ties."""
+    """(set_id, root) of the sets that are linked to another one, from the texts of every component (tied); sets of equal known are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "tied", 1 << 10):
-            tied, ids = table.column("tied").to_numpy(), table.column("set_id").to_numpy()
+            tied, ids, known = (table.column(c).to_numpy() for c in ("tied", "set_id", "known"))
             sets = [s for block in blocks(table.column("text")) for s in shingle_sets(block, shingle)]
             edges = np.flatnonzero(np.r_[True, tied[1:] != tied[:-1], True])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 own, at = np.unique(ids[a:b], return_index=True)
-                label = similar_groups([sets[a + i] for i in at])
+                label = similar_groups([sets[a + i] for i in at], known[a + at])
                 # ids are in order, so the first set of a group has the smallest
                 if (linked := np.flatnonzero(label != np.arange(len(label)))).size:
                     yield pa.record_batch([pa.array(own[linked]), pa.array(own[label[linked]])], names=["set_id", "root"])
@@ -353,6 +371,15 @@ def _confirmed(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.repartition("tied").sortWithinPartitions("tied").mapInArrow(run, "set_id long, root long")
 
 
+def _linked(sets: DataFrame) -> DataFrame:
+    """(set_id, key, tag, known, tied) of the sets whose fingerprint is linked to another set's by the trie self-join, or equal to it; tied names the component."""
+    # all buckets are dealt again: 36 rows of each fingerprint, whatever their number
+    roots = connected_components(bucket_links(sets.select("fp").distinct(), BUDGET, 0))
+    tied = sets.join(roots, sets.fp == roots.node, "left").select("set_id", "key", "tag", F.col("set_id").alias("known"), F.coalesce("root", "fp").alias("tied"))
+    several = tied.groupBy("tied").count().filter("count > 1").select("tied")
+    return tied.join(several, "tied", "left_semi")
+
+
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, the other columns of wanted, text): the text of one row of each set wanted."""
     return among(rows, wanted, "tag", "key long, tag long, text string").join(wanted, ["key", "tag"]).drop("key", "tag")
@@ -371,16 +398,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     common, texts = listed.column("common").to_numpy().view(np.uint64), listed.column("texts").to_numpy()
     by = np.argsort(common)
     sets = read.filter("common IS NULL").select("doc_id", "key", "tag", "set_id")
-    one_row = lambda ids, *more: sets.join(ids, "set_id").groupBy("set_id", *more).agg(F.min(F.struct("key", "tag")).alias("r")).select("set_id", *more, "r.key", "r.tag")
+    one_row = cut(read.filter("common IS NULL").groupBy("set_id", "fp").agg(F.min(F.struct("key", "tag")).alias("r")).select("set_id", "fp", "r.key", "r.tag"))
+
+    near = cut(_confirmed(_among(held, cut(_linked(one_row))), shingle))
+    one_row = one_row.drop("fp")
 
-    met = cut(_met(_prefixes(held, common[by], texts[by], shingle)).distinct())
-    active = cut(one_row(met))
+    met = _met(_prefixes(held, common[by], texts[by], shingle)).distinct()
+    active = cut(one_row.join(met, "set_id"))
     prefixes = _refined(_counted(_elements(_among(held, active), common[by], texts[by], shingle)))
-    ties = cut(_ties(prefixes).distinct())
-    tied = connected_components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("tied"))
-    wanted = cut(one_row(tied, "tied"))
-    links = cut(_confirmed(_among(held, wanted), shingle))
+    ties = _ties(prefixes).distinct().join(near.toDF("a", "x"), "a", "left").join(near.toDF("b", "y"), "b", "left")
+    ties = cut(ties.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b"))
+    tied = connected_components(ties).select(F.col("node").alias("known"), F.col("root").alias("tied"))
+    wanted = one_row.join(near, "set_id", "left").withColumn("known", F.coalesce("root", "set_id")).drop("root").join(tied, "known")
+    links = cut(_confirmed(_among(held, cut(wanted)), shingle))
 
-    rooted = sets.join(links, "set_id", "left").select("doc_id", "key", "tag", F.coalesce("root", "set_id").alias("root"))
+    rooted = sets.join(links, "set_id", "left").join(near.toDF("set_id", "near"), "set_id", "left").select("doc_id", "key", "tag", F.coalesce("root", "near", "set_id").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "key", "tag")).alias("b")).select("b.key", "b.tag")
     return held.join(best, ["key", "tag"], "left_semi").dropDuplicates(["key", "tag"]).select("document.*")

@@ -57,11 +57,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts[:n], ends[min(shingle, len(words)) - 1 :])), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; none of no hashes."""
     counts = np.zeros(BITS, np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,11 +165,14 @@ def trie_links(keys: np.ndarray, bucket: np.ndarray, budget: int = BUDGET, most:
 
 
 def bucket_links(distinct: DataFrame, budget: int = BUDGET, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Links (a, b) between fingerprints: a spanning forest of every bucket's links."""
+    """Links (a, b) between fingerprints: a spanning forest of every bucket's links.  At hot_bucket 0 all buckets are dealt again."""
     field = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1)
     dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), field(*f).alias("v")) for k, f in enumerate(fields(budget))))).alias("f")).select("fp", (F.col("f.k") * (1 << 22) + F.col("f.v")).alias("bucket"))
-    counts = dealt.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket", F.lit(True).alias("hot"))
-    dealt = dealt.join(counts, "bucket", "left")
+    if hot_bucket:
+        counts = dealt.groupBy("bucket").count().filter(F.col("count") > hot_bucket).select("bucket", F.lit(True).alias("hot"))
+        dealt = dealt.join(counts, "bucket", "left")
+    else:
+        dealt = dealt.withColumn("hot", F.lit(True))
     # a hot bucket is dealt again by as many fields of a mixed-radix split of its other bits
     sub = F.array(*(F.struct(F.lit(j).alias("j"), F.expr(_sub_field(j, budget)).alias("s")) for j in range(len(fields(budget)))))
     none = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).cast("long").alias("s")))

@@ -7,12 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscope.llm import bwt_dedup, chat, decontaminate, html_content, langid, mixing, near_copies, pii, quality, queries, simhash, tokencount
+from folioscope.llm.shared import blocks
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -598,6 +600,55 @@ def test_pipeline_near_copies_brute_force(spark, sf_dir, monkeypatch, common):
     assert sorted(r.doc_id for r in kept.collect()) == brute_near_copies(rows)
 
 
+def set_print(text, shingle=5):
+    """The fingerprint of a text in the near-copy stage."""
+    block = next(blocks(pa.array([text])))
+    return simhash.majority(near_copies.shingle_sets(block, shingle)[0])
+
+
+def test_pipeline_near_copies_by_fingerprint(spark, sf_dir, monkeypatch):
+    """With no tie of shingles, copies within the budget of bits are linked by their fingerprints, and only if they are similar."""
+    monkeypatch.setattr(near_copies, "_ties", lambda prefixes: spark.createDataFrame([], "a long, b long"))
+    rng = random.Random(15)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, want = [], set()
+    for size, changed in ((150, 1), (150, 3), (400, 1), (400, 8), (900, 1), (900, 3), (900, 15)):
+        base = say(size)
+        copy = ["Unew" if k % (size // changed) == 9 else w for k, w in enumerate(base)]
+        pair = [" ".join(base), " ".join(copy)]
+        near = (set_print(pair[0]) ^ set_print(pair[1])).bit_count() <= near_copies.BUDGET
+        want |= {len(rows)} if near else {len(rows), len(rows) + 1}
+        rows += pair
+    assert 7 < len(want) < 14
+    # a text without words has fingerprint zero; a few words may come within the budget of it, and are not similar
+    few = next(t for t in (" ".join(say(6)) for _ in range(100_000)) if set_print(t).bit_count() <= near_copies.BUDGET)
+    want |= {len(rows), len(rows) + 1}
+    rows += [few, ""]
+    kept = dict(corpus_pipeline.STAGES)["simhash near-duplicates"](spark, docs_of(spark, list(enumerate(rows))), sf_dir)
+    assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_simhash_all_buckets_dealt_again(spark):
+    """Five differing bits in five of six fields, among fingerprints that are far from all others."""
+    rng = random.Random(5)
+    a = rng.getrandbits(63)
+    b = a ^ (1 << 2 | 1 << 12 | 1 << 25 | 1 << 40 | 1 << 50)
+    prints = [a, b, a ^ (1 << 2 | 1 << 12 | 1 << 25 | 1 << 40 | 1 << 50 | 1 << 60), *(rng.getrandbits(63) for _ in range(50))]
+    got = {hot: {frozenset(r) for r in simhash.bucket_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 5, hot).collect()} for hot in (0, 50_000)}
+    want = {frozenset((prints[1], prints[2])), frozenset((a, b))}
+    assert got[0] == got[50_000] == want
+
+
+def test_similar_groups_of_classes():
+    """Sets of one class are reached together, whatever they share; unlike ones without shared elements stay apart."""
+    a, b, c, d = (np.arange(k, k + 100, dtype=np.uint64) for k in (0, 500, 505, 900))
+    none = np.zeros(0, np.uint64)
+    assert near_copies.similar_groups([a, b, c, d]).tolist() == [0, 1, 1, 3]
+    assert near_copies.similar_groups([a, b, c, d], np.array([7, 3, 5, 7])).tolist() == [0, 1, 1, 0]
+    assert near_copies.similar_groups([a, b, c, d], np.array([7, 3, 7, 5])).tolist() == [0, 0, 0, 3]
+    assert near_copies.similar_groups([none, a, d]).tolist() == [0, 1, 2]
+
+
 # ---------------------------------------------------------------- language
 
 

@@ -34,9 +34,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of rows whose word 5-shingles have a Jaccard similarity of 0.8 or more the one with the smallest doc_id stays.
 
-    op8's budget of two bits is a similarity of about 0.98, and a budget of bits for 0.8 would
-    compare nearly all pairs; so this is the part of op8 that finds such pairs by their
-    shingles.  Of rows without words one stays.
+    Fingerprints are linked by op8's trie self-join within five bits and held against the exact
+    similarity; a budget of bits for all copies of 0.8 would compare nearly all pairs, so those
+    beyond it are found by their shingles.  Of rows without words one stays.
     """
     return near_copies.keep_one(docs)
 
